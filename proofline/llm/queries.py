@@ -21,3 +21,5 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": _over(simhash.op7, "documents"),
     "op10_quality": _over(quality.op10, "documents", "labels"),
 }
+
+ORACLE_SQL: dict[str, str] = {}
