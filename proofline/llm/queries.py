@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, simhash, toxicity
+from . import decontam, pieces, quality, records, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,9 @@ def _over(f: Callable[..., DataFrame], *tables: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _over(decontam.op1, "documents", "benchmark"),
     "op2_toxicity": _over(toxicity.op2, "documents", "labels"),
+    "op3_sentencepiece": _over(pieces.op3, "documents"),
     "op7_simhash": _over(simhash.op7, "documents"),
+    "op8_token_records": _over(records.op8, "documents"),
     "op10_quality": _over(quality.op10, "documents", "labels"),
 }
 
