@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pieces, quality, records, simhash, toxicity
+from . import decontam, extract, kdtree, licenses, pieces, quality, records, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,15 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": _over(decontam.op1, "documents", "benchmark"),
     "op2_toxicity": _over(toxicity.op2, "documents", "labels"),
     "op3_sentencepiece": _over(pieces.op3, "documents"),
+    "op4_url_filter": _over(urls.op4, "pages"),
+    "op5_top_k": _over(kdtree.op5, "embeddings"),
+    "op6_main_text": _over(extract.op6, "pages"),
     "op7_simhash": _over(simhash.op7, "documents"),
     "op8_token_records": _over(records.op8, "documents"),
+    "op9_licenses": _over(licenses.op9, "documents"),
     "op10_quality": _over(quality.op10, "documents", "labels"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": kdtree.OP5_SQL,
+}
