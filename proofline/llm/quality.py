@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample
@@ -21,7 +22,7 @@ from .common import fold, labelled_sample
 #: 2**BITS weights, 2 MB as 64-bit floats: what is broadcast has this size whatever the corpus.
 BITS = 18
 #: Labelled documents that the model is fitted on, at most, of either class.
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 2_000
 #: The rates, penalties and passes of the updates.
 ALPHA, BETA, L1, L2, EPOCHS = 0.4, 1.0, 1e-3, 1e-3, 4
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -78,31 +79,37 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     Tasks make the features; what the driver gets is bounded by the sample. One class alone, or no label, gives the weights that such rows give.
     """
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for f in frames:
-            made = [features(t, hashes) for t in f["text"]]
-            yield pd.DataFrame({"y": f["y"], "at": [a.astype(np.int32) for a, _ in made], "v": [v.astype(np.float32) for _, v in made]})
+        for b in batches:
+            made = [features(t, hashes) for t in b.column(0).to_pylist()]
+            at, v = pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column(1), at, v], ["y", "at", "v"])
 
     sample = labelled_sample(docs, labels, "quality", per_class).limit(3 * per_class)
-    rows = sample.mapInPandas(make, "y int, at array<int>, v array<float>").toPandas()
-    data = [(np.asarray(a, np.int64), np.asarray(v, float), int(y)) for y, a, v in zip(rows["y"], rows["at"], rows["v"])]
-    data.sort(key=lambda r: (len(r[0]), r[2], zlib.crc32(r[0].tobytes())))  # an order that doesn't hang on the tasks'
-    return fit_ftrl(data)
+    table = sample.mapInArrow(make, "y int, at array<int>, v array<float>").toArrow()
+    rows = [(at.values.to_numpy(), v.values.to_numpy(), y.as_py()) for y, at, v in zip(table["y"], table["at"], table["v"])]
+    rows.sort(key=lambda r: (len(r[0]), r[2], zlib.crc32(r[0].tobytes())))  # an order that doesn't hang on the tasks'
+    return fit_ftrl(rows)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """({id_col}, score): a row for each row of docs. A null or empty text has the bias alone. Repeated rows and null ids stay; other columns aren't returned."""
+    return docs.select(id_col, quality_column(docs, weights, F.col(text_col)).alias("score"))
+
+
+def quality_column(docs: DataFrame, weights: np.ndarray, text: Column) -> Column:
+    """The score of a text, as score_quality() has it."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, w = _Hashes(), sent.value
         for f in frames:
-            dots = np.fromiter((w[at] @ v for at, v in (features(t, hashes) for t in f["text"])), float, len(f))
-            yield pd.DataFrame({"id": f["id"], "score": 1 / (1 + np.exp(-np.clip(dots, -30, 30)))})
+            dots = np.fromiter((w[at] @ v for at, v in (features(t, hashes) for t in f)), float, len(f))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(dots, -30, 30))))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id string, score double").select(F.col("id").cast(kind).alias(id_col), "score")
+    return score(F.coalesce(text, F.lit("")))
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
