@@ -20,6 +20,7 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: A worker remembers the ids of so many words, and of as many older ones. Longer words are searched each time.
-CACHE, CACHED_CHARS = 300_000, 64
+CACHE, CACHED_CHARS = 150_000, 64
+#: A task gives out rows once it has encoded so many characters.
+BATCH_CHARS = 1 << 20
 #: What a fallback to bytes costs less than the worst piece.
 FALLBACK_COST = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -127,6 +130,19 @@ class Pieces:
                 j += 1
                 found = get(text[i:j]) if j <= end else None
 
+    def follow(self, text: str, at: int, back: list, last: list) -> list[int]:
+        """The ids on the way back from boundary at, in order."""
+        out: list[int] = []
+        while at:
+            i = back[at]
+            if last[at] is None:
+                out += self.unseen(text[i:at])[::-1]
+            else:
+                out.append(last[at])
+            at = i
+        out.reverse()
+        return out
+
     def unseen(self, char: str) -> list[int]:
         """The ids of a character that has no piece."""
         own = [self.bytes[b] for b in char.encode()]
@@ -154,8 +170,6 @@ class StreamingViterbi:
         return self._advance(self.pieces.longest)
 
     def finish(self) -> list[int]:
-        if self.tried < len(self.text) <= self.BLOCK:  # a word: nothing survives but its end
-            self._try_block(len(self.text))
         return self._advance(0) + self._commit(len(self.text))
 
     def _advance(self, ahead: int) -> list[int]:
@@ -187,16 +201,12 @@ class StreamingViterbi:
 
     def _commit(self, at: int) -> list[int]:
         """Gives out the ids before boundary at, and forgets what they stand for."""
-        groups, j = [], at
-        while j > 0:
-            i = self.back[j]
-            groups.append(self.pieces.unseen(self.text[i:j]) if self.last[j] is None else [self.last[j]])
-            j = i
+        out = self.pieces.follow(self.text, at, self.back, self.last)
         base = self.best[at]
         self.text, self.best = self.text[at:], [s - base for s in self.best[at:]]
         self.back, self.last = [max(0, b - at) for b in self.back[at:]], self.last[at:]
         self.tried = max(0, self.tried - at)
-        return [i for group in reversed(groups) for i in group]
+        return out
 
 
 class Codec:
@@ -208,11 +218,16 @@ class Codec:
         self.older: dict[str, bytes] = {}
 
     def _search(self, span: str) -> bytes:
+        n = len(span)
+        if n <= CACHED_CHARS:  # the window holds all of it
+            best, back, last = [0.0] + [-math.inf] * n, [0] * (n + 1), [None] * (n + 1)
+            self.pieces.relax(span, 0, n, best, back, last)
+            return array("I", self.pieces.follow(span, n, back, last)).tobytes()
         search = StreamingViterbi(self.pieces)
         ids = []
         for at in range(0, len(span), 1 << 16):
             ids += search.feed(span[at : at + (1 << 16)])
-        return np.array(ids + search.finish(), "<u4").tobytes()
+        return array("I", ids + search.finish()).tobytes()
 
     def _literal(self) -> bytes:
         return np.array(self.pieces.unseen(MARK), "<u4").tobytes()
@@ -267,13 +282,14 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
         for f in frames:
-            rows = []
-            for text in f["text"]:
+            rows, held = [], 0
+            for at, (doc_id, text) in enumerate(zip(f["id"], f["text"]), 1):
                 ids = own.encode(text)
-                rows.append((ids.astype(np.int32), len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text))
-            out = pd.DataFrame(rows, columns=["ids", "n_ids", "ids_crc32", "exact"])
-            out.insert(0, "id", f["id"].to_numpy())
-            yield out
+                rows.append((doc_id, ids.astype(np.int32), len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text))
+                held += len(text)
+                if held > BATCH_CHARS or at == len(f):
+                    yield pd.DataFrame(rows, columns=["id", "ids", "n_ids", "ids_crc32", "exact"])
+                    rows, held = [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
