@@ -45,14 +45,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """(_id, y): the labels to learn from, those outside the held-out fold. Null ids, null labels and labels other than 0 and 1 aren't used; repeats count once."""
+    return labels.where((fold(F.col("doc_id")) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).distinct()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, y) of at most per_class labelled documents of either class outside the held-out fold.
 
     The documents are those whose ids hash lowest, so the choice is the same on every run. Only the chosen ids, 2 * per_class
-    at most, are broadcast; texts never move. Null ids, null labels and labels other than 0 and 1 aren't used.
+    at most, are broadcast; texts never move. An id that repeats among the documents brings one of its texts.
     """
-    known = labels.where((fold(F.col("doc_id")) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).distinct()
+    known = labelled(labels, label).join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(ids, "_id").select("text", "y")
+    return texts.join(ids, "_id").groupBy("_id", "y").agg(F.max("text").alias("text")).select("text", "y")

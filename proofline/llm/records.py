@@ -18,6 +18,7 @@ the usual stores by their URI. Readers take one file a task; where a file's docu
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -63,6 +64,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: the library's threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,12 +81,21 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        chunks = [CHUNK.findall(t) if self.byte_level and not any(s in t for s in self.special) else None for t in texts]
-        new = set().union(*filter(None, chunks)).difference(known)
+        whole = [not self.byte_level or any(s in t for s in self.special) for t in texts]
+        chunks, ends = [], []
+        for t, w in zip(texts, whole):
+            if not w:
+                chunks += CHUNK.findall(t)
+            ends.append(len(chunks))
+        found = [*map(known.get, chunks)]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = {chunks[i] for i in missing}
         known.update((c, older[c]) for c in new if c in older)
-        if missing := list(new.difference(known)):
-            known.update(zip(missing, self._library(missing)))
-        return [np.frombuffer(self._library([t])[0] if own is None else b"".join(map(known.__getitem__, own)), self.kind) for t, own in zip(texts, chunks)]
+        if unknown := [c for c in new if c not in known]:
+            known.update(zip(unknown, self._library(unknown)))
+        for i in missing:
+            found[i] = known[chunks[i]]
+        return [np.frombuffer(self._library([t])[0] if w else b"".join(found[lo:hi]), self.kind) for t, w, lo, hi in zip(texts, whole, [0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)

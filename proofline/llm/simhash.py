@@ -15,9 +15,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, settle
@@ -43,16 +43,14 @@ def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row for each row of docs; fp is the fingerprint as a signed long. Null texts have fingerprint 0."""
+def fingerprint_column(text: Column, shingle: int = 3) -> Column:
+    """The fingerprint of a text as a signed long; null and empty texts have 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((simhash64(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((simhash64(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return fp(text)
 
 
 def _masks(distance: int) -> list[int]:
@@ -108,18 +106,23 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
 
 
+def fingerprint_groups(each: DataFrame, distance: int = 2) -> DataFrame:
+    """(fp, first_id, component): a row for each distinct fingerprint of each (fp, doc_id), with its smallest id; component is a fingerprint that names those linked to it."""
+    classes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    label = components(close_pairs(classes, distance))
+    return classes.join(label, classes.fp == label.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of docs: component_id is the smallest id reachable over links of fingerprints that differ in at most distance bits, itself included.
 
     Null and empty texts share fingerprint 0 and are linked like any other. A null id gets its group's smallest id, or null if all are null.
     Repeated rows stay repeated. Other columns aren't returned.
     """
-    each = settle(fingerprints(docs, shingle, id_col, text_col))
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    label = components(close_pairs(classes, distance))
-    named = classes.join(label, classes.fp == label.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    first = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    whole = named.join(first, "label").select("fp", "component_id")
+    each = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col).cast("string"), shingle).alias("fp")))
+    named = fingerprint_groups(each, distance)
+    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    whole = named.join(first, "component").select("fp", "component_id")
     return each.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,11 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token's weight is the log-odds of standing in a toxic against a clean document, under a Dirichlet prior that follows the token's
-share of both; weights of tokens whose counts chance explains are 0. Less a drift, so that clean text scores below
-0 on average, the weights of a document's tokens form a sequence whose every maximal-scoring segment is found in one linear scan.
-Segments are judged by the extreme-value law of such maxima: a segment of score S in n tokens is expected K n exp(-lambda S) times by
-chance. A document's evidence is the sum of lambda S - ln(K n) over its segments that chance doesn't explain, and a logistic curve
-makes it a score from 0 to 1.
+A token's weight is the log-odds of standing in a toxic against a clean document. Its Dirichlet prior is what the tokens of the same beginning
+(five characters) show, and theirs is even odds, so that a form of a word that was never seen is judged by its kin. Weights that chance explains are 0.
+Less a drift, so that clean text scores below 0 on average, the weights of a document's tokens form a sequence whose every maximal-scoring segment is found in
+one linear scan. Segments are judged by the extreme-value law of such maxima: a segment of score S in n tokens is expected
+K n exp(-lambda S) times by chance. A document's evidence is the sum of lambda S - ln(K n) over its segments that chance doesn't explain, and
+a logistic curve makes it a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import fold, labelled, labelled_sample
 
-#: Token weights are kept in 2**BUCKET_BITS buckets, 1 MB as 32-bit floats: what is broadcast has this size whatever the corpus.
-BUCKET_BITS = 18
+#: Tokens are counted in 2**TOKEN_BITS buckets, beginnings in 2**KIN_BITS: what is broadcast has a fixed size, whatever the corpus.
+TOKEN_BITS, KIN_BITS, KIN_CHARS = 18, 16, 5
 #: Labelled documents that the model is fitted on, at most, of either class.
 SAMPLE_PER_CLASS = 6_000
+#: Documents that the priors count as, of a token and of a beginning.
+TOKEN_PRIOR, KIN_PRIOR = 1.0, 1.0
 DRIFT = 0.5
 TOKEN = re.compile(r"\w+")
 #: A worker forgets its tokens' buckets beyond so many.
@@ -33,16 +35,14 @@ CACHE = 200_000
 
 
 class _Buckets(dict):
-    """Token -> bucket, remembered."""
-
-    def __init__(self, bits: int = BUCKET_BITS):
-        super().__init__()
-        self.mask = (1 << bits) - 1
+    """Token -> its bucket and its beginning's, in one number; remembered."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        at = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) & self.mask
+        own = zlib.crc32(token.encode("utf-8", "surrogatepass")) & (1 << TOKEN_BITS) - 1
+        kin = zlib.crc32(token[:KIN_CHARS].encode("utf-8", "surrogatepass")) >> 32 - KIN_BITS
+        at = self[token] = own << KIN_BITS | kin
         return at
 
 
@@ -73,18 +73,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray
-    rate: float
-    k: float
-    slope: float = 1.0
-    bias: float = 0.0
+    tokens: np.ndarray  # weight by token bucket, NaN where none was seen
+    kin: np.ndarray  # weight by beginning's bucket, of tokens that weren't seen
+    rate: float = 1.0
+    k: float = 1.0
+    slope: float = 0.0
+    bias: float = -30.0
+
+    def weights(self, ids: np.ndarray) -> np.ndarray:
+        own = self.tokens[ids >> KIN_BITS]
+        return np.where(np.isnan(own), self.kin[ids & (1 << KIN_BITS) - 1], own)
 
     def evidence(self, ids: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's evidence, and the significant segments as (start, end, lambda S - ln(K n)), in tokens."""
         if not len(ids):
             return 0.0, []
         limit = np.log(max(self.k * len(ids), 1.0))
-        found = [(a, b, self.rate * s - limit) for a, b, s in maximal_segments(self.weights[ids] - DRIFT)]
+        found = [(a, b, self.rate * s - limit) for a, b, s in maximal_segments(self.weights(ids) - DRIFT)]
         found = [x for x in found if x[2] > 0]
         return sum(x[2] for x in found), found
 
@@ -119,6 +124,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return float(a), float(b)
 
 
+def _likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of counts against the classes' shares."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(n > 0, n * np.log(n / ((toxic + clean) * p)), 0.0) for n, p in ((toxic, share), (clean, 1 - share))]
+    return 2 * (parts[0] + parts[1])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Fits the model on labelled documents outside the held-out fold, at most per_class of either class.
 
@@ -126,42 +138,59 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     Without documents of both classes every weight is 0 and every score the share of toxic labels seen (0 if none).
     """
     sample = labelled_sample(docs, labels, "toxic", per_class)
-    size = 1 << BUCKET_BITS
+    size, kin_size = 1 << TOKEN_BITS, 1 << KIN_BITS
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, n = _Buckets(), np.zeros((2, size + 1), np.int64)
+        buckets, n = _Buckets(), np.zeros((2, size + kin_size + 1), np.int64)
         for f in frames:
             for t, y in zip(f["text"], f["y"]):
-                n[y, np.unique(token_ids(t, buckets))] += 1
-                n[y, size] += 1
+                ids = token_ids(t, buckets)
+                n[y, np.unique(ids >> KIN_BITS)] += 1
+                n[y, size + np.unique(ids & kin_size - 1)] += 1
+                n[y, size + kin_size] += 1
         at = np.flatnonzero(n.sum(0))
         yield pd.DataFrame({"bucket": at, "clean": n[0, at], "toxic": n[1, at]})
 
     rows = sample.mapInPandas(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    n = np.zeros((2, size + 1))
+    n = np.zeros((2, size + kin_size + 1))
     n[0, rows["bucket"]], n[1, rows["bucket"]] = rows["clean"], rows["toxic"]
-    seen, (clean, toxic) = n[:, size], n[:, :size]
-    model = ToxicityModel(np.zeros(size, np.float32), 1.0, 1.0, 0.0, -30.0)
+    seen, token_n, kin_n = n[:, -1], n[:, :size], n[:, size:-1]
+    model = ToxicityModel(np.full(size, np.nan, np.float32), np.zeros(kin_size, np.float32))
     if not seen.all():
         model.bias = 30.0 if seen[1] else -30.0
         return model
-    prior = 0.5 * (clean + toxic + 1) / (seen.sum() + 2)  # half a document, at the bucket's own share
-    odds = [np.log((c + prior) / (m - c + 0.5)) for c, m in ((clean, seen[0]), (toxic, seen[1]))]
-    weights = odds[1] - odds[0]
+    # Counts as if both classes had as many documents.
+    level = (seen.sum() / (2 * seen))[:, None]
+    share = seen[1] / seen.sum()
+    kin_share = (kin_n[1] * level[1] + KIN_PRIOR / 2) / ((kin_n * level).sum(0) + KIN_PRIOR)
+    kin_of = np.full(size, -1, np.int64)
     # Only differences that chance doesn't make among so many buckets count: the root of the likelihood ratio against sqrt(2 ln tests).
-    expected = (clean + toxic) * (seen[1] / seen.sum())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / expected), 0) + np.where(clean > 0, clean * np.log(clean / (clean + toxic - expected)), 0))
-    weights = np.where(ratio >= 2 * np.log(max((clean + toxic > 0).sum(), 100)), weights, 0.0)
-    model.weights = np.clip(weights, -8, 8).astype(np.float32)
-    share = clean / max(clean.sum(), 1)
-    scores = model.weights - DRIFT
-    if not (scores[share > 0] > 0).any():
-        share = share + 1e-9 * (scores > 0)
-        share /= share.sum()
-    model.rate = _solve_rate(scores.astype(float), share)
-    steps = share[scores > 0]
-    model.k = float(np.clip(steps.sum(), 1e-6, 1.0))  # segments begin at positive tokens: so many a token of clean text
+    limit = 2 * np.log(max((n.sum(0) > 0).sum(), 100))
+    kin_sure = _likelihood_ratio(kin_n[1], kin_n[0], share) >= limit
+    model.kin = np.where(kin_sure, np.clip(np.log(kin_share / (1 - kin_share)), -8, 8), 0.0).astype(np.float32)
+
+    def kins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets, own = _Buckets(), {}
+        for f in frames:
+            for t in f["text"]:
+                ids = np.unique(token_ids(t, buckets))
+                own.update(zip((ids >> KIN_BITS).tolist(), (ids & kin_size - 1).tolist()))
+        yield pd.DataFrame({"bucket": list(own.keys()), "kin": list(own.values())}, dtype=np.int64)
+
+    known = sample.mapInPandas(kins, "bucket long, kin long").groupBy("bucket").agg(F.min("kin").alias("kin")).toPandas()
+    kin_of[known["bucket"]] = known["kin"]
+    at = np.flatnonzero(kin_of >= 0)
+    prior = np.where(kin_sure[kin_of[at]], kin_share[kin_of[at]], 0.5) * TOKEN_PRIOR
+    odds = np.log((token_n[1, at] * level[1] + prior) / (token_n[0, at] * level[0] + TOKEN_PRIOR - prior))
+    sure = _likelihood_ratio(token_n[1, at], token_n[0, at], share) >= limit
+    model.tokens[at] = np.where(sure | kin_sure[kin_of[at]], np.clip(odds, -8, 8), 0.0)
+    clean = token_n[0, at] / max(token_n[0].sum(), 1)
+    scores = model.tokens[at].astype(float) - DRIFT
+    if not (scores[clean > 0] > 0).any():
+        clean = clean + 1e-9 * (scores > 0)
+        clean /= clean.sum()
+    model.rate = _solve_rate(scores, clean)
+    model.k = float(np.clip(clean[scores > 0].sum(), 1e-6, 1.0))  # segments begin at positive tokens: so many a token of clean text
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets = _Buckets()
@@ -170,11 +199,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
 
     fitted = sample.mapInPandas(judge, "y int, e double").limit(4 * per_class).toPandas()
     x, y = np.log1p(fitted["e"].to_numpy()), fitted["y"].to_numpy()
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
-    model.slope, model.bias = logistic(x, y, weight)
+    # Each class weighs what it does among all labels to learn from, of which the sample may have less of one.
+    whole = {r["y"]: r["n"] for r in labelled(labels, "toxic").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.array([whole.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)])[y]
+    model.slope, model.bias = logistic(x, y, weight * len(y) / max(weight.sum(), 1e-9))
     return model
 
 
+def toxicity_column(docs: DataFrame, model: ToxicityModel, text: Column) -> Column:
+    """The score of a text, as score_toxicity() has it."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets, m = _Buckets(), sent.value
+        for f in frames:
+            yield pd.Series([m.score(m.evidence(token_ids(t, buckets))[0]) for t in f], dtype=float)
+
+    return score(F.coalesce(text, F.lit("")))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """({id_col}, score, passages): a row for each row of docs; passages are the significant segments as (start, end, evidence) in tokens.
 
