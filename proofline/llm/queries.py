@@ -29,5 +29,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontam.OP1_SQL,
     "op5_top_k": kdtree.OP5_SQL,
 }
