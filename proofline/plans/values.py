@@ -13,6 +13,7 @@ from ..functions.sexagesimal import dec_arcminutes, edge_distance, normalise_dec
 from ..functions.text import clean_read, page_class, printed_date, rescaled, tokens
 from ..operators import profile
 from ..operators.gates import DEC_VERSION, gate_dec_rows, gate_ra_rows
+from ..operators.rows import in_scope, indexed_rows, voted_rows, with_provenance
 from ..sources.records import population
 from .registry import Registry, table
 
@@ -190,6 +191,22 @@ def run_span(spark, sf_dir):
     return profile.run_span(rows.select((F.col("o_orderkey") % 97).cast("int").alias("page"), dec_arcminutes(F.col("value")).alias("v")), "page", "v")
 
 
+_BAND_SQL = f"""
+    SELECT o_custkey AS page, [o_orderkey::INTEGER, o_orderkey::INTEGER + 15] AS row_y, state AS extractor_state, value AS extractor_value, gate_state, gate_reason, gate_version, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS row_index,
+        'PLAIN' AS transport, 'UNESTABLISHED' AS source_authenticity
+    FROM (SELECT o_orderkey, o_custkey, g.* EXCLUDE (o_orderkey) FROM ({GATE_DEC_SQL}) AS g JOIN (SELECT o_orderkey, o_custkey FROM orders) AS o USING (o_orderkey)) AS x"""
+
+
+@query(_BAND_SQL)
+def extracted_rows(spark, sf_dir):
+    """Raw reads of each order's band taken all the way to gated row records."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    form = lambda x, y: F.format_string(" %02d %02d\n", k % x, c % y)
+    reads = F.array(F.when(k % 5 != 0, form(36, 70)), F.when(k % 4 == 0, F.lit(None)).when(k % 3 == 0, form(35, 69)).otherwise(form(36, 70)), F.when(k % 10 == 0, F.lit(None)).when(c % 2 == 0, form(36, 70)).otherwise(form(34, 68)))
+    bands = in_scope(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"]).select(c.alias("page"), F.array(k.cast("int"), k.cast("int") + 15).alias("row_y"), reads.alias("raw_reads"))
+    return with_provenance(indexed_rows(voted_rows(bands, "dec")), {"transport": "PLAIN"}).drop("raw_reads", "normalised")
+
+
 _RA, _DEC = "((o_orderkey % 86400) / 240.0)", "(-20.0 - (o_custkey % 900) / 60.0)"
 _V = [f"cos(radians({_RA})) * cos(radians({_DEC}))", f"sin(radians({_RA})) * cos(radians({_DEC}))", f"sin(radians({_DEC}))"]
 _DOT = " + ".join(f"v{i} * ({E_TERMS[i]!r})" for i in range(3))

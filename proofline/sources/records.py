@@ -73,6 +73,13 @@ def _grey(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return luma.astype(float)
 
 
+def images(spark: SparkSession, path: str, all_: bool = False) -> DataFrame:
+    """(page, height, width, channels, data): page images decoded in the JVM, BGR bytes; with all_ also files that can't be decoded, whose height is not positive."""
+    read = spark.read.format("image").option("dropInvalid", not all_).load(path)
+    name = F.regexp_replace(F.element_at(F.split("image.origin", "/"), -1), r"\.[^.]*\z", "")
+    return read.select(name.alias("page"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
 def ink_profiles(spark: SparkSession, path: str, axis: str = "x", column: tuple[int, int] = SEARCH, strict: bool = True) -> DataFrame:
     """(page, page_state, pos, ink): for each page image the share of ink in each pixel column (axis x) or row (axis y) of a window of columns.
 
@@ -94,13 +101,5 @@ def ink_profiles(spark: SparkSession, path: str, axis: str = "x", column: tuple[
                 start = lo if axis == "x" else 0
                 yield pd.DataFrame({"page": page, "page_state": None, "pos": np.arange(start, start + len(ink)), "ink": ink})
 
-    images = spark.read.format("image").option("dropInvalid", False).load(path)
-    name = F.regexp_replace(F.element_at(F.split("image.origin", "/"), -1), r"\.[^.]*\z", "")
-    parts = images.select(name.alias("page"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
-    return parts.mapInPandas(run, "page string, page_state string, pos int, ink double")
-
+    return images(spark, path, all_=True).mapInPandas(run, "page string, page_state string, pos int, ink double")
 
-def read_bands(bands: DataFrame, engine, column: str = "raw_reads") -> DataFrame:
-    """bands with an array of reads by an engine, a function from a pandas Series of band structs to one of lists of texts; each read is one vote. No engine comes with this library: reads are data where one isn't at hand."""
-    run = F.pandas_udf(engine, "array<string>")
-    return bands.withColumn(column, run(F.struct(*bands.columns)))
