@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from proofline import schemas
 from proofline.operators import integrity, profile, seal
-from proofline.sources import records, sinks
+from proofline.operators.rows import in_scope, voted_rows
+from proofline.sources import fetch, records, sinks, transcribe
 from proofline.streaming.resume import done_pages, latest, resume
 
 
@@ -58,6 +59,47 @@ def test_ink_profiles(spark, tmp_path):
     assert {r["page"] for r in rows if r["page_state"] == "SOURCE_INPUT_INVALID"} == {"small", "broken"}
 
 
+def test_transcription(spark, tmp_path):
+    """Two bands of ink in a field between separators, read by an engine that tells how much ink it sees."""
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    ink = lambda x, y: 300 <= y < 312 or 340 <= y < 350 or 100 <= y < 110
+    field = lambda x: 1105 <= x < 1170
+    png(folder / "p1.png", 1400, 500, lambda x, y: 0 if ink(x, y) and x % 3 == 0 and (field(x) or 1030 <= x < 1050 or 1225 <= x < 1335) else 255)
+    png(folder / "blank.png", 1300, 500, lambda x, y: 255)
+    png(folder / "tiny.png", 20, 20, lambda x, y: 255)
+    engine = lambda band, variant: f" {(band == 0).any(axis=1).sum():02d} {variant[2]}\n"
+    rows = {(r["page"], tuple(r["row_y"] or ())): r for r in transcribe.transcribe_ra(spark, str(folder), engine).collect()}
+    assert set(rows) == {("p1", (300, 312)), ("p1", (340, 350)), ("blank", ()), ("tiny", ())}
+    assert rows["p1", (300, 312)]["raw_reads"] == ["12 30", "12 40", "12 22"] and rows["p1", (300, 312)]["ra_column"] == [1107, 1168]
+    assert rows["blank", ()]["page_state"] == "RA_COLUMN_UNRESOLVED" and rows["tiny", ()]["page_state"] == "SOURCE_INPUT_INVALID"
+    dec = transcribe.transcribe_dec(spark, str(folder), engine)
+    assert {(r["page"], tuple(r["row_y"])) for r in dec.collect()} == {("p1", (100, 110)), ("p1", (300, 312)), ("p1", (340, 350))}
+    gated = voted_rows(dec, "dec").where("row_y[0] = 300").first()
+    assert gated["normalised"] == ["-12 30", "-12 40", "-12 22"] and gated["extractor_state"] == "MANUAL_REVIEW_REQUIRED" and gated["gate_state"] == "UNREADABLE"
+
+
+def test_fetching_tries_again(spark):
+    pages = spark.createDataFrame([("p1", "good"), ("p2", "bad"), ("p3", "late")], "page string, source_url string")
+    tried = []
+
+    def get(url):
+        tried.append(url)
+        if url == "bad" or url == "late" and tried.count("late") < 3:
+            raise OSError("no route")
+        return url.encode()
+
+    got = {r["page"]: (r["content"], r["detail"]) for r in fetch.fetched(pages.coalesce(1), get, pause_s=0).collect()}
+    assert got == {"p1": (b"good", None), "p2": (None, "OSError: no route"), "p3": (b"late", None)}
+
+
+def test_scope(spark):
+    rows = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert in_scope(rows, ["a", "b"]).columns == ["a", "b"] and in_scope(rows, ["a", "b"], "b").columns == ["b"]
+    with pytest.raises(ValueError, match="c"):
+        in_scope(rows, ["a", "b"], "c")
+
+
 def test_integrity(spark):
     body = b"x" * 60
     pages = spark.createDataFrame([("a", body), ("b", body), ("c", b"short"), ("d", None), ("e", body)], "name string, content binary")
