@@ -40,13 +40,13 @@ RULES = [
 
 def host_of(url: Column) -> Column:
     """What follows the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
-    rest = F.element_at(F.split(F.coalesce(url, F.lit("")), "://", 2), 2)
+    rest = F.get(F.split(F.coalesce(url, F.lit("")), "://", 2), 1)
     return F.coalesce(F.translate(F.regexp_extract(rest, r"\A([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ?, # or the end; empty without ://."""
-    rest = F.element_at(F.split(F.coalesce(url, F.lit("")), "://", 2), 2)
+    rest = F.get(F.split(F.coalesce(url, F.lit("")), "://", 2), 1)
     return F.coalesce(F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 

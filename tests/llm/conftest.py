@@ -1,0 +1,6 @@
+"""These tests' helpers are beside them."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))

@@ -1,0 +1,167 @@
+"""SentencePiece coding against the library and a whole search; token-id records against the files."""
+
+import os
+import random
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from helpers import awkward, documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from proofline.llm import pieces, records
+from proofline.llm.common import shared_dir
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Pieces.load(MODEL)
+
+
+def whole_search(vocabulary, text):
+    """The best score of any path, by trying every piece at every place."""
+    best = [0.0] + [-float("inf")] * len(text)
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + vocabulary.longest) + 1):
+            if (found := vocabulary.ids.get(text[i:j])) is not None:
+                best[j] = max(best[j], best[i] + found[1])
+            elif j == i + 1:
+                best[j] = max(best[j], best[i] + vocabulary.fallback)
+    return best[-1]
+
+
+def score_of(vocabulary, ids):
+    """A path's score; a run of byte ids counts once for each character."""
+    total, run = 0.0, b""
+    for i in [*ids, None]:
+        if i is not None and i in vocabulary.bytes:
+            run += vocabulary.raw[i]
+            continue
+        total += vocabulary.fallback * len(run.decode())
+        run = b""
+        if i is not None:
+            total += vocabulary.scores[i]
+    return total
+
+
+@given(st.text(alphabet="abehtrs ing.,\n\u00e9\u65e5\U0001f600", max_size=60), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_stream_finds_a_best_path_whatever_its_parts(text, size):
+    v = pieces.Pieces.load(MODEL) if not hasattr(test_stream_finds_a_best_path_whatever_its_parts, "v") else test_stream_finds_a_best_path_whatever_its_parts.v
+    test_stream_finds_a_best_path_whatever_its_parts.v = v
+    run = pieces.MARK + text.replace(" ", pieces.MARK)
+    search = pieces.StreamingViterbi(v)
+    ids = [i for at in range(0, len(run), size) for i in search.feed(run[at : at + size])]
+    ids += search.finish()
+    assert abs(score_of(v, ids) - whole_search(v, run)) < 1e-6
+    assert b"".join(v.raw[i] for i in ids).decode() == " " + text
+
+
+def test_stream_commits_as_it_goes(vocabulary):
+    search, held = pieces.StreamingViterbi(vocabulary), 0
+    for _ in range(300):
+        search.feed("▁then" * 40)
+        held = max(held, len(search.text))
+    assert held < 3 * pieces.StreamingViterbi.BLOCK
+
+
+def as_unigram(vocabulary):
+    """The library's own search over the same pieces and scores."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda n, data: varint(n << 3 | 2) + varint(len(data)) + data
+    listed, _ = pieces.read_model(MODEL)
+    out = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + varint(kind)) for (p, _, kind), s in zip(listed, vocabulary.scores))
+    for number, value in pieces._fields(open(MODEL, "rb").read()):
+        if number == 2:
+            value = b"".join(varint(n << 3) + varint(1 if n == 3 else v) for n, v in pieces._fields(value) if isinstance(v, int))
+        if number != 1:
+            out += field(number, value)
+    return sentencepiece.SentencePieceProcessor(model_proto=out)
+
+
+def test_same_as_the_library(spark, vocabulary):
+    library, codec = as_unigram(vocabulary), pieces.Codec(vocabulary)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", " ", "a  b", "\n", "é" * 300]
+    for t in texts:
+        mine, theirs = codec.encode(t).tolist(), library.encode(t)
+        # Paths of one score are equally good.
+        assert mine == theirs or abs(score_of(vocabulary, mine) - score_of(vocabulary, theirs)) < 1e-3
+
+
+def test_round_trip(spark):
+    coded = pieces.op3(documents(spark, awkward()))
+    rows = coded.collect()
+    assert len(rows) == len(awkward()) and all(r["exact"] for r in rows)
+    assert all(r["n_ids"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in pieces.decode_pieces(coded).collect())
+    assert texts == sorted((str(d), t or "") for d, t in awkward())
+    assert pieces.op3(documents(spark, [])).count() == 0
+
+
+def test_unigram_models_keep_their_scores():
+    v = pieces.Pieces([("<unk>", 0.0, pieces.UNKNOWN), ("a", -1.0, 1), ("ab", -1.5, 1), ("b", -1.0, 1), ("▁x▁y", -1.0, 1), ("▁", -3.0, 1), ("x", -1.0, 1), ("y", -1.0, 1)])
+    codec = pieces.Codec(v)
+    assert codec.encode("abba x y").tolist() == [5, 2, 3, 1, 4] and not v.whole
+    assert codec.encode("c").tolist() == [5, 0]
+
+
+def wanted_records(docs):
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    start, out = 0, []
+    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_records(spark):
+    docs = [*awkward(), (50, "a  <|endoftext|>b"), (51, "x  y\x1c\x1d z\x85 \xa0 q"), (52, "\r\n \n\n  a\x0b b it's we'll 12ab__c")]
+    got = [tuple(r) for r in records.op8(documents(spark, docs)).orderBy("start").collect()]
+    assert got == wanted_records(docs)
+    assert records.op8(documents(spark, [])).count() == 0
+
+
+def test_files_of_bounded_size_and_shuffled_reads(spark):
+    docs = [(i, f"text number {i} " * (i % 40)) for i in range(300)]
+    folder = shared_dir(spark)
+    manifest = records.write_records(documents(spark, docs), folder, BYTE_BPE, file_bytes=4096)
+    assert manifest.count() > 8
+    whole = {r["doc_id"]: (r["start"], r["ids"]) for r in records.read_records(manifest, folder).collect()}
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    assert {d: i for d, (_, i) in whole.items()} == {d: [*tokenizer.encode(t).ids, 2] for d, t in docs}
+    index = records.offset_index(manifest, folder).collect()
+    random.Random(1).shuffle(index)
+    read = records.read_at(spark.createDataFrame(index[:50], "file string, offset long, start long, n_tokens long"), folder).collect()
+    assert len(read) == 50 and all(whole[r["doc_id"]][1] == r["ids"] for r in read)
+
+
+def test_damage_is_found(spark):
+    folder = shared_dir(spark)
+    manifest = records.write_records(documents(spark, [(1, "some text"), (2, "more text")]), folder, BYTE_BPE)
+    path = folder.removeprefix("file://") + "/" + manifest.first()["file"]
+    data = bytearray(open(path, "rb").read())
+    for at in (3, 20, len(data) - 1):
+        torn = bytearray(data)
+        torn[at] ^= 1
+        open(path, "wb").write(torn)
+        with pytest.raises(Exception, match="damaged"):
+            records.read_records(manifest, folder).collect()
+    open(path, "wb").write(data[:-3])
+    with pytest.raises(Exception, match="damaged"):
+        records.read_records(manifest, folder).collect()
+    assert os.path.exists(path + ".idx")
