@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,43 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs whose sizes sum to most or just beyond."""
+    lo = held = 0
+    for hi, size in enumerate(sizes, 1):
+        held += size
+        if held >= most or hi == len(sizes):
+            yield lo, hi
+            lo, held = hi, 0
+
+
+class Memo:
+    """What a function gives for short strings, remembered. At size strings they become the older half, and the half before is forgotten: what is asked for often stays.
+
+    compute takes a list of distinct strings and gives a list of bytes; strings longer than longest are computed each time.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], size: int, longest: int = 64):
+        self.compute, self.size, self.longest = compute, size, longest
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        if len(self.known) > self.size:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = [*map(known.get, keys)]
+        missing = [i for i, value in enumerate(found) if value is None]
+        new = {keys[i] for i in missing}
+        got = {k: older[k] for k in new if k in older}
+        if unknown := [k for k in new if k not in got]:
+            got.update(zip(unknown, self.compute(unknown)))
+        for i in missing:
+            found[i] = got[keys[i]]
+        known.update((k, v) for k, v in got.items() if len(k) <= self.longest)
+        return found
+
+
 def labelled(labels: DataFrame, label: str) -> DataFrame:
     """(_id, y): the labels to learn from, those outside the held-out fold. Null ids, null labels and labels other than 0 and 1 aren't used; repeats count once."""
     return labels.where((fold(F.col("doc_id")) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).distinct()

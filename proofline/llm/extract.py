@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cuts
+
 # Elements of HTML by how they are read.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -490,13 +492,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         labeller, slots, paths = sent.value, _Slots(), {}
         for f in frames:
             out: list[str] = []
-            lo = held = 0
-            sizes = [*map(len, f)]
-            for hi, size in enumerate(sizes, 1):
-                held += size
-                if held > 1 << 20 or hi == len(sizes):
-                    out += main_texts(f.iloc[lo:hi].tolist(), labeller, slots, paths)
-                    lo, held = hi, 0
+            for lo, hi in cuts([*map(len, f)], 1 << 20):
+                out += main_texts(f.iloc[lo:hi].tolist(), labeller, slots, paths)
             yield pd.Series(out)
 
     return pages.select(id_col, *keep, text(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))

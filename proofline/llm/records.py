@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import Memo, cuts, settle, shared_dir
 
 END_ID = 2
 #: A file is closed once it has so many bytes.
@@ -46,7 +46,8 @@ _LENGTH, _CHECK, _HEAD, _INDEX = struct.Struct("<Q"), struct.Struct("<I"), struc
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Cuts at places where the pretokenizer cuts too, though at fewer of them: round white space, and between letters and a mark that ends a word.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?*#$%&|)"
-CHUNK = re.compile(f" ?[{LETTERS}]+(?![^{SPACE}{MARKS}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD = re.compile(f" ?[{LETTERS}]+")
+CHUNK = re.compile(f"{WORD.pattern}(?![^{SPACE}{MARKS}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 MANIFEST = "part int, seq int, file string, n_records long, n_ids long, n_bytes long"
 
 
@@ -58,8 +59,7 @@ def masked_crc(data: bytes) -> int:
 class Encoder:
     """Token ids of texts by the tokenizers library, as arrays of unsigned 32-bit integers.
 
-    Byte-level pretokens never merge with one another, so the ids of a text are those of its chunks; each distinct chunk is given to the library once and remembered
-    (the oldest are forgotten).
+    Byte-level pretokens never merge with one another, so the ids of a text are those of its chunks; a chunk is given to the library once and remembered.
     A text that holds a special token goes to the library whole.
     """
 
@@ -71,31 +71,34 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable characters of Latin-1 stand for themselves, the other bytes follow from 256 on.
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = dict(zip((b for b in range(256) if b not in kept), range(256, 512)))
+        self.memo = Memo(self._chunks, CACHE)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """A chunk of letters is one pretoken, and the model's alone; others go through all of the library's steps."""
+        tokenize, kind, alphabet = self.model.tokenize, self.kind.char, self.alphabet
+        out = [array(kind, [t.id for t in tokenize(c.encode().decode("latin-1").translate(alphabet))]).tobytes() if WORD.fullmatch(c) else None for c in chunks]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._library([chunks[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
         whole = [not self.byte_level or any(s in t for s in self.special) for t in texts]
-        chunks, ends = [], []
+        chunks: list[str] = []
+        ends = []
         for t, w in zip(texts, whole):
             if not w:
                 chunks += CHUNK.findall(t)
             ends.append(len(chunks))
-        found = [*map(known.get, chunks)]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = {chunks[i] for i in missing}
-        known.update((c, older[c]) for c in new if c in older)
-        if unknown := [c for c in new if c not in known]:
-            known.update(zip(unknown, self._library(unknown)))
-        for i in missing:
-            found[i] = known[chunks[i]]
-        return [np.frombuffer(self._library([t])[0] if w else b"".join(found[lo:hi]), self.kind) for t, w, lo, hi in zip(texts, whole, [0, *ends], ends)]
+        ids = self.memo(chunks)
+        return [np.frombuffer(self._library([t])[0] if w else b"".join(ids[lo:hi]), self.kind) for t, w, lo, hi in zip(texts, whole, [0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -136,13 +139,8 @@ def _store(uri: str):
 def _encoded(frames: Iterator[pd.DataFrame], encode: Encoder) -> Iterator[tuple[str | None, np.ndarray]]:
     """(id, ids) of each row, some texts at a time."""
     for f in frames:
-        lo = held = 0
-        sizes = [*map(len, f["text"])]
-        for hi, size in enumerate(sizes, 1):
-            held += size
-            if held > 1 << 20 or hi == len(sizes):
-                yield from zip(f["id"].iloc[lo:hi], encode(f["text"].iloc[lo:hi].tolist()))
-                lo, held = hi, 0
+        for lo, hi in cuts([*map(len, f["text"])], 1 << 20):
+            yield from zip(f["id"].iloc[lo:hi], encode(f["text"].iloc[lo:hi].tolist()))
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
