@@ -106,9 +106,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = _text_array(rare)
     n = F.size("_w")
     at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(wanted, F.get("_w", i)))
-    begun = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.get(postings, F.array_position(wanted, F.get("_w", i)).cast("int") - 1), lambda p: F.struct((i - p["at"]).alias("start"), p["t"].alias("t"))))))
-    begun = F.filter(begun, lambda x: x["start"] >= 0)
-    looked = F.when(F.arrays_overlap("_w", wanted), begun).otherwise(F.array().cast("array<struct<start:int,t:int>>"))
+    # A template and where it would begin as one number: distinct numbers are told by hashing, distinct structs only by comparing all.
+    many = len(templates)
+    begun = F.flatten(F.transform(at, lambda i: F.transform(F.get(postings, F.array_position(wanted, F.get("_w", i)).cast("int") - 1), lambda p: (i - p["at"]).cast("long") * many + p["t"])))
+    begun = F.array_distinct(F.filter(begun, lambda x: x >= 0))
+    looked = F.when(F.arrays_overlap("_w", wanted), begun).otherwise(F.array().cast("array<bigint>"))
+    looked = F.transform(looked, lambda x: F.struct(F.floor(x / many).cast("int").alias("start"), (x % many).cast("int").alias("t")))
 
     def judged(x: Column) -> Column:
         t = F.get(template, x["t"])
@@ -148,3 +151,41 @@ def op9(docs: DataFrame) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in items) + "]"
+
+
+_VALUES = ", ".join(f"({k}, {_sql_list(t['words'])}, {_sql_list(t['key'])}, {t['key_at']}, '{t['label']}', {t['base']})" for k, t in enumerate(_templates()))
+OP9_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(t, words, key, key_at, label, base)),
+d AS (
+    SELECT doc_id, row_number() OVER () AS r,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+template_words AS (SELECT t, unnest(generate_series(0, len(words) - 1)) AS i, unnest(words) AS word FROM t),
+frequency AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT r, unnest(w) AS word FROM d) AS x WHERE word IN (SELECT word FROM template_words) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM template_words) AS x LEFT JOIN frequency USING (word)),
+weights AS (SELECT t, i, word, idf / sum(idf) OVER (PARTITION BY t) AS weight FROM template_words JOIN idf USING (word)),
+rare AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY max(idf) DESC, min(i)) AS k FROM template_words JOIN idf USING (word) GROUP BY t, word) AS x WHERE k <= {RARE_WORDS}),
+place AS (SELECT r, unnest(generate_series(0, len(w) - 1)) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
+begun AS (SELECT DISTINCT r, t, p - i AS start FROM place JOIN (SELECT t, i, word FROM template_words SEMI JOIN rare USING (t, word)) AS x USING (word) WHERE p >= i),
+seen AS (
+    SELECT b.r, b.t, b.start, round(least(sum(CASE WHEN p.word = w.word THEN weight ELSE 0 END), 1), 6) AS share
+    FROM begun AS b JOIN weights AS w USING (t) LEFT JOIN place AS p ON p.r = b.r AND p.p = b.start + w.i GROUP BY b.r, b.t, b.start
+),
+good AS (
+    SELECT s.r, s.start, label, base FROM seen AS s JOIN t USING (t) JOIN d USING (r)
+    WHERE d.w[s.start + 1 + key_at:s.start + key_at + len(key)] = key AND share >= CASE WHEN base THEN 1.0 ELSE {LEAST_SHARE} END
+),
+found AS (
+    SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM good GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN found USING (r) LEFT JOIN (SELECT r, max(share) AS score FROM seen GROUP BY r) AS s USING (r)
+"""

@@ -31,4 +31,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontam.OP1_SQL,
     "op5_top_k": kdtree.OP5_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }

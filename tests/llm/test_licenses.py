@@ -54,6 +54,11 @@ def test_every_notice_finds_itself(spark):
     assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, (_, label, _) in enumerate(licenses.NOTICES))
 
 
+def test_a_long_file_of_names(spark):
+    row = licenses.op9(documents(spark, [(1, "cc by mit license " * 40_000)])).first()
+    assert (row["n_base"], row["first_word"], row["last_word"], row["labels"]) == (80_000, 0, 159_998, "cc-by,mit")
+
+
 def test_no_documents(spark):
     assert licenses.op9(documents(spark, [])).count() == 0
 
