@@ -132,7 +132,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
     )
     whole = whole.withColumn("spans", F.when(F.size("at") > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]).cast("long"))
+    # Counted by one pass that carries a sum and an end, so that a reader of the counts alone needn't build the spans.
+    count = F.aggregate(
+        F.array_sort("at"),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")),
+    )
+    n_hit = F.coalesce(count["n"], F.lit(0).cast("long"))
     return whole.withColumn("n_hit", n_hit).select(
         F.col("_id").alias(id_col), F.col("_h").alias("text_hash"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated")
     )

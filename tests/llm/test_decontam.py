@@ -57,6 +57,13 @@ def test_many_windows_join_by_shuffle(spark, monkeypatch):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_a_long_document_of_passages(spark):
+    item = " ".join(f"p{i}" for i in range(10))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    row = decontam.op1(documents(spark, [(1, (item + " gap ") * 8000)]), bench).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (88_000, 80_000, 1)
+
+
 def test_empty_tables(spark):
     docs, items = passages()
     assert run(spark, [], items) == set()
