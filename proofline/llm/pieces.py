@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memo, cuts
+
 MARK = "▁"
 #: A worker remembers the ids of so many words, and of as many older ones. Longer words are searched each time.
-CACHE, CACHED_CHARS = 150_000, 64
-#: A task gives out rows once it has encoded so many characters.
-BATCH_CHARS = 1 << 20
+CACHE, CACHED_CHARS = 300_000, 64
+#: A task encodes so many characters at a time, and gives out rows once it has encoded as many.
+BATCH_CHARS = 1 << 21
 #: What a fallback to bytes costs less than the worst piece.
 FALLBACK_COST = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -209,49 +211,129 @@ class StreamingViterbi:
         return out
 
 
+class Lockstep:
+    """The same search over many short spans of one length at once: a window of the pieces' lengths moves over all of them, a character a step.
+
+    Substrings are looked up by 64-bit hashes, length by length. Spans with a character that has no piece are left out.
+    """
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: Pieces):
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_length: dict[int, list[tuple[str, int, float]]] = {}
+        for p, (i, score) in pieces.ids.items():
+            by_length.setdefault(len(p), []).append((p, i, score))
+        for n, own in by_length.items():
+            hashes = self._hashes([p for p, _, _ in own], n)
+            order = np.argsort(hashes)
+            if (np.diff(hashes[order]) == 0).any():
+                raise ValueError("two pieces have one hash")
+            end = np.uint64(0xFFFFFFFFFFFFFFFF)
+            self.tables[n] = (np.append(hashes[order], end), np.append(np.array([i for _, i, _ in own])[order], 0), np.append(np.array([s for _, _, s in own])[order], -np.inf))
+
+    @staticmethod
+    def _codes(spans: list[str], n: int) -> np.ndarray:
+        return np.frombuffer("".join(spans).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
+
+    def _hashes(self, spans: list[str], n: int) -> np.ndarray:
+        out = np.zeros(len(spans), np.uint64)
+        for column in self._codes(spans, n).T:
+            out = out * self.FACTOR + column
+        return out
+
+    def __call__(self, spans: list[str]) -> list[bytes | None]:
+        """The ids of spans of one length; None for those left out."""
+        n = len(spans[0])
+        codes = self._codes(spans, n)
+        best = np.full((n + 1, len(spans)), -np.inf)
+        best[0] = 0.0
+        back, last = np.zeros((n + 1, len(spans)), np.int16), np.zeros((n + 1, len(spans)), np.uint32)
+        hashes: dict[int, np.ndarray] = {}
+        whole = np.ones(len(spans), bool)
+        longest = max(self.tables, default=0)
+        for j in range(1, n + 1):
+            hashes = {k + 1: h * self.FACTOR + codes[:, j - 1] for k, h in hashes.items() if k < longest} | {1: codes[:, j - 1]}
+            # The longer of two pieces that lead to one score wins, as where it is tried first.
+            for k in sorted(hashes.keys() & self.tables.keys(), reverse=True):
+                keys, ids, scores = self.tables[k]
+                at = np.searchsorted(keys, hashes[k])
+                total = best[j - k] + scores[at]
+                better = (keys[at] == hashes[k]) & (total > best[j])
+                if k == 1:
+                    whole &= keys[at] == hashes[k]
+                np.copyto(best[j], total, where=better)
+                np.copyto(back[j], k, where=better)
+                np.copyto(last[j], ids[at], where=better, casting="unsafe")
+        whole &= best[n] > -np.inf
+        out, where = np.zeros((len(spans), n), "<u4"), np.full(len(spans), n)
+        rows, filled = np.flatnonzero(whole), np.full(len(spans), n)
+        while len(rows):
+            filled[rows] -= 1
+            out[rows, filled[rows]] = last[where[rows], rows]
+            where[rows] -= back[where[rows], rows]
+            rows = rows[where[rows] > 0]
+        raw, starts = out.tobytes(), filled.tolist()
+        return [raw[4 * (r * n + starts[r]) : 4 * (r + 1) * n] if w else None for r, w in enumerate(whole.tolist())]
+
+
 class Codec:
     """Encodes and decodes texts, remembering the ids of distinct words."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.lockstep = Lockstep(pieces)
+        self.memo = Memo(self._search_all, CACHE, CACHED_CHARS)
 
     def _search(self, span: str) -> bytes:
-        n = len(span)
-        if n <= CACHED_CHARS:  # the window holds all of it
-            best, back, last = [0.0] + [-math.inf] * n, [0] * (n + 1), [None] * (n + 1)
-            self.pieces.relax(span, 0, n, best, back, last)
-            return array("I", self.pieces.follow(span, n, back, last)).tobytes()
         search = StreamingViterbi(self.pieces)
         ids = []
         for at in range(0, len(span), 1 << 16):
             ids += search.feed(span[at : at + (1 << 16)])
         return array("I", ids + search.finish()).tobytes()
 
+    def _search_all(self, spans: list[str]) -> list[bytes]:
+        """Short spans of a length are searched in step if they are many, all others one by one."""
+        found: dict[str, bytes | None] = {}
+        by_length: dict[int, list[str]] = {}
+        for span in spans:
+            by_length.setdefault(len(span), []).append(span)
+        for n, own in by_length.items():
+            if n <= CACHED_CHARS and len(own) >= 16:
+                found.update(zip(own, self.lockstep(own)))
+        return [found.get(span) or self._search(span) for span in spans]
+
     def _literal(self) -> bytes:
         return np.array(self.pieces.unseen(MARK), "<u4").tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text. An empty text has none; any other gets a space in front."""
+    def _spans(self, text: str) -> list[str | None]:
+        """Where a text may be cut; a literal U+2581, which is no space, stands as None."""
         if not text:
-            return np.zeros(0, "<u4")
-        out = []
-        for k, part in enumerate(text.split(MARK)):  # a literal U+2581 is no space
+            return []
+        out: list[str | None] = []
+        for k, part in enumerate(text.split(MARK)):
             if k:
-                out.append(self._literal())
+                out.append(None)
             part = ("" if k else MARK) + part.replace(" ", MARK)
-            spans = self.pieces.spans.findall(part) if self.pieces.whole else [part] * bool(part)
-            if len(self.known) > CACHE:
-                self.known, self.older = {}, self.known
-            known = self.known
-            for span in spans:
-                if (ids := known.get(span)) is None:
-                    ids = self.older.get(span) or self._search(span)
-                    if len(span) <= CACHED_CHARS:
-                        known[span] = ids
-                out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+            out += self.pieces.spans.findall(part) if self.pieces.whole else [part] * bool(part)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts. An empty text has none; any other gets a space in front."""
+        spans, ends = [], []
+        for t in texts:
+            spans += self._spans(t)
+            ends.append(len(spans))
+        if any(MARK in t for t in texts):
+            kept = [s for s in spans if s is not None]
+            ids = iter(self.memo(kept))
+            found = [self._literal() if s is None else next(ids) for s in spans]
+        else:
+            found = self.memo(spans)
+        return [np.frombuffer(b"".join(found[lo:hi]), "<u4") for lo, hi in zip([0, *ends], ends)]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids; the space in front goes. Bytes that aren't UTF-8 become U+FFFD, ids out of range raise."""
@@ -282,14 +364,13 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
         for f in frames:
-            rows, held = [], 0
-            for at, (doc_id, text) in enumerate(zip(f["id"], f["text"]), 1):
-                ids = own.encode(text)
-                rows.append((doc_id, ids.astype(np.int32), len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text))
-                held += len(text)
-                if held > BATCH_CHARS or at == len(f):
-                    yield pd.DataFrame(rows, columns=["id", "ids", "n_ids", "ids_crc32", "exact"])
-                    rows, held = [], 0
+            for lo, hi in cuts([*map(len, f["text"])], BATCH_CHARS):
+                texts = f["text"].iloc[lo:hi].tolist()
+                coded = own.encode_all(texts)
+                rows = [(ids.astype(np.int32), len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == t) for ids, t in zip(coded, texts)]
+                out = pd.DataFrame(rows, columns=["ids", "n_ids", "ids_crc32", "exact"])
+                out.insert(0, "id", f["id"].iloc[lo:hi].to_numpy())
+                yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

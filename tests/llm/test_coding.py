@@ -73,6 +73,16 @@ def test_stream_commits_as_it_goes(vocabulary):
     assert held < 3 * pieces.StreamingViterbi.BLOCK
 
 
+def test_spans_in_step_are_searched_as_one_by_one(spark, vocabulary):
+    codec = pieces.Codec(vocabulary)
+    spans = {w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for w in codec._spans(r["text"] or "")}
+    spans |= {"▁" * n for n in range(1, 60)} | {"aé日\U0001f600"[:n] * k for n in range(1, 5) for k in range(1, 12)}
+    for n in {len(s) for s in spans}:
+        own = [s for s in spans if len(s) == n]
+        for span, ids in zip(own, codec.lockstep(own)):
+            assert ids == codec._search(span) or ids is None and any(c not in vocabulary.ids for c in span)
+
+
 def as_unigram(vocabulary):
     """The library's own search over the same pieces and scores."""
 
