@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled, labelled_sample
+from .common import fold, labelled, labelled_sample, settle
 
 #: Tokens are counted in 2**TOKEN_BITS buckets, beginnings in 2**KIN_BITS: what is broadcast has a fixed size, whatever the corpus.
 TOKEN_BITS, KIN_BITS, KIN_CHARS = 18, 16, 5
@@ -137,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     Tasks count, per bucket, the documents of either class that have it; the counts that reach the driver are at most one row a bucket.
     Without documents of both classes every weight is 0 and every score the share of toxic labels seen (0 if none).
     """
-    sample = labelled_sample(docs, labels, "toxic", per_class)
+    sample = settle(labelled_sample(docs, labels, "toxic", per_class))  # it is read several times
     size, kin_size = 1 << TOKEN_BITS, 1 << KIN_BITS
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
