@@ -46,6 +46,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of df that it has none of, made from those given."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 def cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """(start, end) of runs whose sizes sum to most or just beyond."""
     lo = held = 0
