@@ -123,6 +123,30 @@ def missing_ranges(spark, sf_dir):
     return sets.missing_ranges(table(spark, sf_dir, "part").where("p_size > 10"), "p_partkey", 1, 2000)
 
 
+def _all_parts(spark, sf_dir):
+    """Part numbers that are there, and the least and the greatest of the whole table."""
+    parts = table(spark, sf_dir, "part")
+    ends = parts.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    return parts.where("p_size > 10"), *((1, 0) if ends[0] is None else ends)
+
+
+@query("SELECT n AS number FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def missing_numbers_of_all(spark, sf_dir):
+    """missing_numbers over the whole table, not the numbers 1 to 2000 alone."""
+    parts, first, last = _all_parts(spark, sf_dir)
+    return sets.missing_numbers(parts.select(F.col("p_partkey").alias("number")), "number", first, last)
+
+
+@query(
+    """
+    SELECT min(n) AS first, max(n) AS last, count(*) AS n FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS x GROUP BY island"""
+)
+def missing_ranges_of_all(spark, sf_dir):
+    """missing_ranges over the whole table."""
+    parts, first, last = _all_parts(spark, sf_dir)
+    return sets.missing_ranges(parts, "p_partkey", first, last)
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') ORDER BY o_orderkey LIMIT 500")
 def resume_todo(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")

@@ -77,3 +77,37 @@ def test_sets(spark):
     present = spark.createDataFrame([(2,), (3,), (7,)], "n int")
     assert sorted(tuple(r) for r in sets.missing_ranges(present, "n", 1, 9).collect()) == [(1, 1, 1), (4, 6, 3), (8, 9, 2)]
     assert sorted(r["n"] for r in sets.missing_numbers(present, "n", 1, 4).collect()) == [1, 4] and sets.missing_numbers(present, "n", 3, 2).count() == 0
+
+
+def test_missing_over_whole_tables(spark):
+    """Without bounds the table's own least and greatest number hold, and no task orders all numbers."""
+    import random
+
+    rng = random.Random(6)
+    values = {rng.randrange(-50_000, 50_000) for _ in range(400)} | set(range(7_000, 7_100)) | {-(10**12), 10**12}
+    present = spark.createDataFrame([(v,) for v in values] * 2 + [(None,)], "n long")
+    at = sorted(values)
+    wanted = [(a + 1, b - 1, b - a - 1) for a, b in zip(at, at[1:]) if b > a + 1]
+    for chunk in (4, 64, 4096):
+        got = sets.missing_ranges(present, "n", chunk=chunk)
+        assert sorted(tuple(r) for r in got.collect()) == wanted
+    near = present.where("n between 7000 and 9000")
+    assert sorted(r["n"] for r in sets.missing_numbers(near, "n").collect()) == sorted(set(range(7_000, max(v for v in at if v <= 9_000))) - values)
+    assert sets.missing_ranges(present.limit(0), "n").count() == sets.missing_numbers(present.limit(0), "n").count() == 0
+
+
+def test_ranges_are_not_ordered_by_one_task(spark):
+    present = spark.range(1, 20_000, 3).withColumnRenamed("id", "n")
+    plan = sets.missing_ranges(present, "n", 1, 20_000)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_missing_queries_see_all_parts(spark):
+    from proofline.plans import reconciliation
+
+    sf = "/root/testdata/sf0.1"
+    parts = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").where("p_size > 10").select("p_partkey").collect()]
+    ends = spark.read.parquet(f"{sf}/part.parquet").selectExpr("min(p_partkey)", "max(p_partkey)").first()
+    gone = set(range(ends[0], ends[1] + 1)) - set(parts)
+    assert max(gone) > 2000 and {r["number"] for r in reconciliation.QUERIES["missing_numbers_of_all"](spark, sf).collect()} == gone
+    assert sum(r["n"] for r in reconciliation.QUERIES["missing_ranges_of_all"](spark, sf).collect()) == len(gone)
