@@ -47,6 +47,12 @@ def pages_by_date(spark, sf_dir):
     return profile.pages_by_date(headers, "date", "o_orderkey")
 
 
+@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1")
+def pages_by_date_of_all(spark, sf_dir):
+    """pages_by_date over all orders, not every fiftieth key alone."""
+    return profile.pages_by_date(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey"), "date", "o_orderkey")
+
+
 LOCATED_SQL = "SELECT d.doc_id, d.source, d.n_chars, m.median, d.n_chars < m.median * 0.8 AS is_candidate FROM documents AS d JOIN (SELECT source, median(n_chars) AS median FROM documents GROUP BY source) AS m ON d.source = m.source"
 
 

@@ -111,3 +111,12 @@ def test_missing_queries_see_all_parts(spark):
     gone = set(range(ends[0], ends[1] + 1)) - set(parts)
     assert max(gone) > 2000 and {r["number"] for r in reconciliation.QUERIES["missing_numbers_of_all"](spark, sf).collect()} == gone
     assert sum(r["n"] for r in reconciliation.QUERIES["missing_ranges_of_all"](spark, sf).collect()) == len(gone)
+
+
+def test_pages_of_every_order(spark):
+    from proofline.plans import audits
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["date"]: r["pages"] for r in audits.QUERIES["pages_by_date_of_all"](spark, sf).collect()}
+    orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(o_orderdate as date) AS d", "o_orderkey AS k").collect()
+    assert {(d, k) for d, pages in got.items() for k in pages} == {tuple(r) for r in orders} and any(r["k"] % 50 for r in orders)
