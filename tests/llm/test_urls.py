@@ -80,3 +80,25 @@ def test_longest_rule_wins(spark):
     df = spark.createDataFrame([("a.b.org", "/x/y")], "h string, p string")
     r, v = urls.rule_of(F.col("h"), F.col("p"), [("allow", "org", "/x/y"), ("block", "b.org", "/x"), ("allow", "a.b.org", "/"), ("block", "org", "/")])
     assert df.select(r, v).first()[0] == "a.b.org/"
+
+
+def test_counts_grow_with_the_input(spark):
+    """Every gram has its own count, more than 65,536 of them, and the tables' differences are those of one machine, whether grams are broadcast or joined."""
+    import zlib
+
+    rng = random.Random(8)
+    slug = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(40))
+    rows = [(i, f"http://{'a.org/' if i % 2 else 'b.com/de/'}{slug()}", "allow" if i % 2 else "block") for i in range(2500)]
+    rows += [(5000 + i, f"http://c.net/{slug()}é", None) for i in range(20)] + [(6000, "", None), (6001, rows[0][1], "block")]
+    df = spark.createDataFrame(rows, "row long, url string, by_rule string")
+    table = urls.settle(urls.gram_table(df))
+    model = urls.UrlModel([urls.count_grams([u.encode() for _, u, v in rows if v == word and zlib.crc32(u.encode()) % 5]) for word in ("allow", "block")])
+    assert {r["w"]: r["a"] for r in table.where("a > 0").collect()} == model.counts[0][urls.ORDER].to_dict()
+    assert table.where("a > 0 or b > 0").count() > 1 << 16
+    totals = tuple(table.selectExpr("sum(a)", "sum(b)").first())
+    assert totals == tuple(int(c[0].sum()) for c in model.counts)
+    ratios = urls.settle(urls.log_ratios(table, totals))
+    wanted = model.difference([u.encode() for _, u, _ in rows])
+    for hot in (1, 1000, 1 << 30):
+        got = {r["row"]: r["d"] for r in urls.differences(df, ratios, hot).collect()}
+        assert len(got) == len(rows) and np.allclose([got[i] for i, _, _ in rows], wanted, atol=1e-8)
