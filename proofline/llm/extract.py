@@ -1,6 +1,6 @@
 """Main text of HTML pages by a recurrent labeller of blocks.
 
-A page becomes a sequence of leaf blocks: runs of text between block-level tags, scripts, styles, comments and the head left out. Each block has a
+A page becomes a sequence of leaf blocks: runs of text between block-level tags, scripts, styles, comments and what a head may hold left out. Each block has a
 vector: the sum of learned vectors of the tags, classes and ids above it (hashed), the mean of learned vectors of its words
 (hashed), and a few measures. A bidirectional LSTM in numpy reads the whole sequence and labels every block main text or not.
 
@@ -25,14 +25,21 @@ from pyspark.sql import functions as F
 from .common import cuts
 
 # Elements of HTML by how they are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input picture source".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input picture source "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text; all but head is taken up to its end tag as it stands.
-RAW = frozenset("script style template noscript textarea title svg math iframe object select button".split())
+#: Their content is no text and is taken up to the end tag as it stands. Without one, script and style take the rest of the page, others nothing but the tag itself.
+RAW = frozenset("script style template noscript textarea title svg iframe object select button".split())
+REST = frozenset({"script", "style"})
+#: None of these holds another of its name: where one begins, the one before it had no end tag.
+SINGLE = frozenset({"noscript", "select", "button"})
 #: An open element of these ends where another of the same group begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_ENDS = {name: re.compile(rf"<(/{'?' * (name in SINGLE)}){name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"\w+|[^\w\s]")
 _PART = re.compile(r"[a-z]+|[0-9]+")
@@ -52,12 +59,16 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, character references decoded, white space made single. A page cut off anywhere is read as far as it goes."""
+    """The leaf blocks of a page in order, character references decoded, white space made single. A page cut off anywhere is read as far as it goes.
+
+    What a head may hold has no text, and anything else ends it, so that it needs no end: its tags are read over.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     links = linked = 0
-    at, size, lower = 0, len(page), None
+    at, size = 0, len(page)
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
 
     def close() -> None:
         nonlocal linked
@@ -93,18 +104,21 @@ def blocks_of(page: str) -> list[Block]:
                     pass
                 links = 0
             continue
-        if name in RAW or name == "head":
-            lower = page.lower() if lower is None and len(page.lower()) == size else lower
-            end = (lower or page).find(f"</{name}", at)
+        if name in RAW:
             if not m[3].endswith("/"):
-                at = size if end < 0 else (page.find(">", end) + 1 or size)
-            if name not in INLINE:
-                parts.append(" ")
+                end = None if name in unclosed else _ENDS[name].search(page, at)
+                if end and end[1]:
+                    at = page.find(">", end.start()) + 1 or size
+                elif name in REST:
+                    at = size
+                elif not end:
+                    unclosed.add(name)
+            parts.append(" ")
             continue
         if name in INLINE:
             if name == "a":
                 links = 1
-            elif name in ("br", "img", "input"):
+            elif name in ("br", "img", "input", "mtd"):
                 parts.append(" ")
             continue
         close()
@@ -113,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
                 while stack and stack[-1][0] in group:
                     stack.pop()
         links = 0
-        if name not in VOID and not m[3].endswith("/") and name not in ("html", "body"):
+        if name not in VOID and not m[3].endswith("/") and name not in ("html", "head", "body"):
             names = " ".join("".join(g) for g in _NAMES.findall(m[3])) if "=" in m[3] else ""
             stack.append((name, f"{name} {names.lower()}" if names else name))
     close()

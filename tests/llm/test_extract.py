@@ -28,6 +28,24 @@ def test_blocks(page, wanted):
     assert texts(page) == wanted
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<head><title>no</title><meta charset=x><body><p>a<p>b", ["a", "b"]), ("<head><title>no</title><style>p{}</style><p>a", ["a"]), ("<head><title>no</title><body>a<header>b</header>c", ["a", "b", "c"]),
+        ("<HEAD><link rel=x><script>no</script></HEAD><p>t", ["t"]), ("<p>a<noscript>b<p>c", ["a b", "c"]), ("<p>a</p><button>b<p>c", ["a", "b", "c"]), ("<object><p>a<svg>b", ["a b"]),
+        ("<p>a<select></selected>b</select>c", ["a c"]), ("<svg><text>no</text></SVG ><p>t", ["t"]), ("<style>no</styles></style><p>t", ["t"]), ("<p>a<style>no<p>b", ["a"]),
+        ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>", ["x y=2 z"]), ("<p>a <math><mi>b</mi><p>c", ["a b", "c"]), ("<button>" * 3 + "a</button>b", ["b"]), ("<button>a<p>b<button>no</button>c", ["a", "b c"]),
+    ],
+)
+def test_ends_left_out(page, wanted):
+    """Elements without end tags take no text with them, end tags go by whole names, and math is text."""
+    assert texts(page) == wanted
+
+
+def test_many_without_end_tags():
+    assert len(texts("<object><p>a" * 50_000)) == 50_000
+
+
 def test_paths():
     block = extract.blocks_of('<div class="Main Post" id=top><ul><li><a href="/">x</a> y</ul></div>')[0]
     assert block.path == "div main post top/ul/li" and block.linked == 1
