@@ -126,6 +126,27 @@ def hash_chain(spark, sf_dir):
     return seal.chain_breaks(spark.createDataFrame(rows, "name string, payload string, recorded string, parent string"))
 
 
+@query(
+    """
+    WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 <> 0 THEN sha256('{"order":' || o_orderkey || '}') END AS own, sha256('{"order":' || CASE WHEN o_orderkey % 89 = 0 THEN -1 ELSE o_orderkey END || '}') AS recorded,
+        CASE WHEN o_orderkey % 100 <> 0 THEN sha256('{"order":' || CASE WHEN o_orderkey % 83 = 0 THEN -2 ELSE o_orderkey - 1 END || '}') END AS parent FROM orders)
+    SELECT k::VARCHAR AS name, CASE WHEN own IS NULL THEN 'payload is no JSON' WHEN own <> recorded THEN 're-derived hash differs from the recorded one' ELSE 'parent is not in the chain' END AS reason
+    FROM l WHERE own IS NULL OR own <> recorded OR parent NOT IN (SELECT own FROM l WHERE own IS NOT NULL)"""
+)
+def hash_chain_of_orders(spark, sf_dir):
+    """A link for each order, bound to the order before it but for every hundredth; payloads, records and parents are broken by key."""
+    k = F.col("o_orderkey")
+    link = lambda n, form: F.format_string(form, n.cast("long"))
+    hashed = lambda n: F.sha2(link(n, '{"order":%d}'), 256)
+    links = table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("name"),
+        F.when(k % 97 == 0, "{").otherwise(link(k, '{ "order" : %d }')).alias("payload"),
+        hashed(F.when(k % 89 == 0, -1).otherwise(k)).alias("recorded"),
+        F.when(k % 100 != 0, hashed(F.when(k % 83 == 0, -2).otherwise(k - 1))).alias("parent"),
+    )
+    return seal.chain_breaks(links)
+
+
 @query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['missing B2', 'unexpected B3'] ELSE ['no value_basis in B1'] END AS lacks FROM nation")
 def bound_requirements(spark, sf_dir):
     docs = F.array(

@@ -120,3 +120,14 @@ def test_pages_of_every_order(spark):
     got = {r["date"]: r["pages"] for r in audits.QUERIES["pages_by_date_of_all"](spark, sf).collect()}
     orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(o_orderdate as date) AS d", "o_orderkey AS k").collect()
     assert {(d, k) for d, pages in got.items() for k in pages} == {tuple(r) for r in orders} and any(r["k"] % 50 for r in orders)
+
+
+def test_chain_over_a_table(spark):
+    from proofline.plans import audits
+
+    sf = "/root/testdata/sf0.01"
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    got = {int(r["name"]): r["reason"] for r in audits.QUERIES["hash_chain_of_orders"](spark, sf).collect()}
+    there = {k for k in keys if k % 97}
+    wanted = {k: "payload is no JSON" if k % 97 == 0 else "re-derived hash differs from the recorded one" if k % 89 == 0 else "parent is not in the chain" for k in keys if k % 97 == 0 or k % 89 == 0 or k % 100 and (k % 83 == 0 or k - 1 not in there)}
+    assert got == wanted and len(set(got.values())) == 3
