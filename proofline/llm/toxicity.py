@@ -53,22 +53,24 @@ def token_ids(text: str | None, buckets: _Buckets) -> np.ndarray:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a sequence, disjoint and in order, in one linear scan.
 
-    Only places of positive score can begin or end one, so that the loop runs over these.
+    Only places of positive score can begin or end one, so that the loop runs over these. Each segment that is kept remembers where its own search to
+    the left stopped; later searches go from stop to stop, so that none passes the same segments twice.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum up to its end
-    for i in np.flatnonzero(scores > 0).tolist():
-        now = (i, i + 1, float(total[i]), float(total[i + 1]))
+    at = np.flatnonzero(scores > 0)
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to its end, the last one before it whose sum before is less (-1: none)
+    for i, lo, hi in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        start, j = i, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= now[3]:
+            while j >= 0 and kept[j][2] >= lo:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= hi:
                 break
-            now = (kept[j][0], now[1], kept[j][2], now[3])
+            start, _, lo, _, stop = kept[j]
             del kept[j:]
-        kept.append(now)
-    return [(a, b, hi - lo) for a, b, lo, hi in kept]
+            j = stop
+        kept.append((start, i + 1, lo, hi, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
 @dataclass

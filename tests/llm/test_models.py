@@ -1,6 +1,10 @@
 """Toxicity and quality: held-out accuracy on the tables, edge cases, and parts against plain versions."""
 
+import math
 import random
+import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -38,6 +42,61 @@ def test_segments_have_the_scores_of_the_definition(scores):
     assert all(sum(scores[a:b]) == s for a, b, s in got)
 
 
+def test_segments_of_a_million_tokens():
+    """Time is linear whatever the shape: rare positive tokens, a rise, a fall, and one segment that takes all."""
+    n = 1_000_000
+    for scores in (np.tile([1.0, -2.0], n // 2), np.tile([1.0, -0.5], n // 2), np.concatenate([np.tile([1.0, -1.25], n // 4), np.tile([1.25, -1.0], n // 4), [float(n)]]), np.ones(n)):
+        began = time.process_time()
+        got = toxicity.maximal_segments(scores)
+        assert time.process_time() - began < 5 and all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
+
+
+def slow_score(model, text):
+    """Evidence and score of a text, token by token, from the definitions."""
+    weights = []
+    for token in re.findall(r"\w+", text.lower()):
+        own = model.tokens[zlib.crc32(token.encode()) % (1 << toxicity.TOKEN_BITS)]
+        kin = model.kin[zlib.crc32(token[: toxicity.KIN_CHARS].encode()) >> 32 - toxicity.KIN_BITS]
+        weights.append(float(kin if math.isnan(own) else own) - toxicity.DRIFT)
+    evidence = sum(max(0.0, model.rate * s - math.log(max(model.k * len(weights), 1.0))) for _, _, s in slow_segments(weights))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * math.log1p(evidence) + model.bias))))
+
+
+def test_scores_by_their_definition(spark):
+    docs, labels = training(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["nasty", "vile", "villain", "Nastier", "w1", "w2", "w3", "zzz"]) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents(spark, rows), model).collect()}
+    assert all(abs(got[i] - slow_score(model, t)) < 1e-6 for i, t in rows)
+
+
+def slow_ftrl(rows, size, epochs, seed=7):
+    """Follow-the-regularised-leader, coordinate by coordinate."""
+    z, n = [0.0] * size, [0.0] * size
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            at, values, y = rows[k]
+            w = [weight(i) for i in at]
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, values))))))
+            for i, wi, v in zip(at, w, values):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * wi
+                n[i] += g * g
+    return [weight(i) for i in range(size)]
+
+
+def test_updates_by_their_definition():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        at = np.unique(rng.integers(0, 64, rng.integers(1, 9)))
+        rows.append((at, rng.normal(size=len(at)), int(rng.integers(0, 2))))
+    assert np.allclose(quality.fit_ftrl(rows, 6, 3), slow_ftrl(rows, 64, 3), atol=1e-12)
+
+
 def measured(spark, query, label, threshold):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = query(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", label).collect()
