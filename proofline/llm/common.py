@@ -30,13 +30,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share, below the session's spark.checkpoint.dir. Only where that is unset (local tests) a temporary folder stands in."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only a local master may do without it and gets a temporary folder; a cluster raises, as each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="proofline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/proofline-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The name of a new folder in shared_root()."""
+    return f"{shared_root(spark)}/proofline-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

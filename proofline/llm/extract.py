@@ -4,12 +4,14 @@ A page becomes a sequence of leaf blocks: runs of text between block-level tags,
 vector: the sum of learned vectors of the tags, classes and ids above it (hashed), the mean of learned vectors of its words
 (hashed), and a few measures. A bidirectional LSTM in numpy reads the whole sequence and labels every block main text or not.
 
-It is trained here, once a process and in a few seconds, on pages that a seeded generator composes of menus, headers, notices, adverts, sidebars,
-forms, articles, reader comments and footers in many layouts, whose labels are known. It is applied in tasks, batch by batch.
+It is trained here, in a few seconds, on pages that a seeded generator composes of menus, headers, notices, adverts, sidebars,
+forms, articles, reader comments and footers in many layouts, whose labels are known; its weights are written to the shared folder and reread by whoever comes later.
+It is applied in tasks, batch by batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -19,10 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cuts
+from .common import cuts, shared_root
 
 # Elements of HTML by how they are read.
 INLINE = frozenset(
@@ -30,16 +33,21 @@ INLINE = frozenset(
     "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text and is taken up to the end tag as it stands. Without one, script and style take the rest of the page, others nothing but the tag itself.
-RAW = frozenset("script style template noscript textarea title svg iframe object select button".split())
+#: Their content is taken up to their own end tag as it stands. Without one, script and style take the rest of the page, the others nothing but the tag itself.
+RAW = frozenset("script style textarea title".split())
 REST = frozenset({"script", "style"})
+#: What stands in them is left out if their own end tag closes them; where an element around them ends first, or the page, only their tag is left out.
+OUT = frozenset("template noscript svg iframe object select button".split())
 #: None of these holds another of its name: where one begins, the one before it had no end tag.
 SINGLE = frozenset({"noscript", "select", "button"})
 #: An open element of these ends where another of the same group begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ENDS = {name: re.compile(rf"<(/{'?' * (name in SINGLE)}){name}(?=[\s/>])", re.I | re.A) for name in RAW}
+#: A quoted value stands behind =, and before white space, / or > if it has a < in it. Any other quote is a character like others, so that one without a partner takes no text with it.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"<]*+"|"[^"]*+"(?=[\s/>])|'[^'<]*+'|'[^']*+'(?=[\s/>]))|=)*+)>|[^<]+|<""", re.S)
+_UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
+_LEFT_OUT = re.compile(rf"<(?:{'|'.join(sorted(OUT))})(?=[\s/>])", re.I | re.A)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"\w+|[^\w\s]")
 _PART = re.compile(r"[a-z]+|[0-9]+")
@@ -54,82 +62,192 @@ CACHE = 100_000
 @dataclass
 class Block:
     text: str
-    path: str
+    path: frozenset[int]  # slots of the tags and name parts above it
     linked: int  # characters inside links
 
 
+class _Path:
+    """Slots of open elements: those of an element and of all above it. Paths with the same slots are one object, so that what they take is bounded by the slots, not by the depth."""
+
+    known: dict[frozenset[int], _Path] = {}
+
+    def __init__(self, slots: frozenset[int]):
+        self.slots, self.inner, self.blocks = slots, {}, {}
+
+    @classmethod
+    def of(cls, slots: frozenset[int]) -> _Path:
+        if (found := cls.known.get(slots)) is None:
+            if len(cls.known) >= CACHE:
+                cls.known.clear()
+            found = cls.known[slots] = cls(slots)
+        return found
+
+    def within(self, tag: str, names: str) -> _Path:
+        """The path of an element that stands here."""
+        if (found := self.inner.get((tag, names))) is None:
+            if len(self.inner) >= CACHE // 100:
+                self.inner.clear()
+            found = self.inner[tag, names] = _Path.of(self.slots | {_slot(f"t {tag}"), *(_slot(f"n {p}") for p in _PART.findall(names))})
+        return found
+
+    def block(self, tag: str | None) -> frozenset[int]:
+        """The slots of a block whose innermost element has this tag, which counts again as such."""
+        if (found := self.blocks.get(tag)) is None:
+            if len(self.blocks) >= CACHE // 100:
+                self.blocks.clear()
+            found = self.blocks[tag] = self.slots | {_slot(f"in {tag}")} if tag else self.slots
+        return found
+
+
+def _slot(item: str) -> int:
+    return zlib.crc32(item.encode("utf-8", "surrogatepass")) % PATH_SLOTS
+
+
+def _tokens(page: str, left_out: dict[int, int]) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, text or "", tag with a / in front if it is an end tag, attributes) of a page in order; raw contents and comments are passed over.
+
+    left_out: where elements that are left out begin and end. Each character is looked at a bounded number of times: a tag whose quotes run to the end of the page ends
+    at the next > instead, as do all tags behind it.
+    """
+    at, size = 0, len(page)
+    last_end = page.rfind(">")
+    quotes = True
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
+    while at < size:
+        start = at
+        if at in left_out:
+            at = left_out[at]
+            yield start, at, " ", "", ""
+            continue
+        tag = page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?")
+        if tag and at > last_end:
+            yield start, size, page[at:], "", ""
+            return
+        m = _TOKEN.match(page, at) if quotes or not tag else _UNQUOTED.match(page, at)
+        if tag and quotes and m[2] is None and (plain := _UNQUOTED.match(page, at)):
+            quotes, m = False, plain
+        if m is None:
+            at += 1
+            yield start, at, "<", "", ""
+            continue
+        at += len(m[0])
+        if m[2] is None:
+            if m[0][0] != "<" or m[0] == "<":
+                yield start, at, m[0], "", ""
+            continue
+        name = m[2].lower()
+        if name in RAW and not m[1]:
+            end = None if name in unclosed or m[3].endswith("/") else _ENDS[name].search(page, at)
+            if end:
+                at = page.find(">", end.start()) + 1 or size
+            elif name in REST and not m[3].endswith("/"):
+                at = size
+            else:
+                unclosed.update({name} - REST if not m[3].endswith("/") else ())
+            yield start, at, " ", "", ""
+        else:
+            yield start, at, "", m[1] + name, m[3]
+
+
+def _spans_left_out(page: str) -> dict[int, int]:
+    """Start and end of each element of OUT that its own end tag closes, outermost ones first met."""
+    out: dict[int, int] = {}
+    if not _LEFT_OUT.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+
+    def pop() -> tuple[str, int]:
+        top = stack.pop()
+        open_[top[0]] -= 1
+        return top
+
+    for start, end, _, tag, attributes in _tokens(page, {}):
+        name = tag.lstrip("/")
+        # A paragraph's end tag is often left away, and ends nothing around it.
+        if not tag or name in INLINE or name in VOID or name == "p":
+            continue
+        if tag[0] != "/":
+            if attributes.endswith("/"):
+                if name in OUT:
+                    out[start] = end
+                continue
+            if name in SINGLE and open_.get(name):
+                while pop()[0] != name:
+                    pass
+            stack.append((name, start))
+            open_[name] = open_.get(name, 0) + 1
+        elif open_.get(name):
+            while (top := pop())[0] != name:
+                pass
+            if name in OUT:
+                out[top[1]] = end
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order, character references decoded, white space made single. A page cut off anywhere is read as far as it goes.
 
-    What a head may hold has no text, and anything else ends it, so that it needs no end: its tags are read over.
+    What a head may hold has no text, and anything else ends it, so that it needs no end: its tags are read over. The time that it takes grows with the page and
+    not faster, whatever is nested, unclosed or unpaired in it.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, _Path]] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
     links = linked = 0
-    at, size = 0, len(page)
-    unclosed: set[str] = set()  # raw elements that have no end tag from here on
+    root = _Path.of(frozenset())
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, "/".join(p for _, p in stack), linked))
+                out.append(Block(text, stack[-1][1].block(stack[-1][0]) if stack else root.slots, linked))
             parts.clear()
         linked = 0
 
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                text = html.unescape(piece) if "&" in piece else piece
-                parts.append(text)
-                linked += len(text) * (links > 0)
-            continue
-        name = name.lower()
-        if m[1]:  # an end tag
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
+    for _, _, piece, tag, attributes in _tokens(page, _spans_left_out(page)):
+        if not tag:
+            text = html.unescape(piece) if "&" in piece else piece
+            parts.append(text)
+            linked += len(text) * (links > 0)
+        elif tag[0] == "/":  # an end tag
+            name = tag[1:]
             if name == "a":
                 links = 0
-            elif name in INLINE:
+            elif name in INLINE or name in OUT:
                 pass
-            elif name == "p" and not any(t == "p" for t, _ in stack):
+            elif name == "p" and not open_.get("p"):
                 close()
-            elif any(t == name for t, _ in stack):
+            elif open_.get(name):
                 close()
-                while stack.pop()[0] != name:
+                while pop() != name:
                     pass
                 links = 0
-            continue
-        if name in RAW:
-            if not m[3].endswith("/"):
-                end = None if name in unclosed else _ENDS[name].search(page, at)
-                if end and end[1]:
-                    at = page.find(">", end.start()) + 1 or size
-                elif name in REST:
-                    at = size
-                elif not end:
-                    unclosed.add(name)
+        elif tag in OUT:
             parts.append(" ")
-            continue
-        if name in INLINE:
-            if name == "a":
+        elif tag in INLINE:
+            if tag == "a":
                 links = 1
-            elif name in ("br", "img", "input", "mtd"):
+            elif tag in ("br", "img", "input", "mtd"):
                 parts.append(" ")
-            continue
-        close()
-        for group in (CLOSES.get(name, ()), ("p",)):
-            if group and any(t in group for t, _ in stack[-3:]):
-                while stack and stack[-1][0] in group:
-                    stack.pop()
-        links = 0
-        if name not in VOID and not m[3].endswith("/") and name not in ("html", "head", "body"):
-            names = " ".join("".join(g) for g in _NAMES.findall(m[3])) if "=" in m[3] else ""
-            stack.append((name, f"{name} {names.lower()}" if names else name))
+        else:
+            close()
+            for group in (CLOSES.get(tag, ()), ("p",)):
+                if group and any(t in group for t, _ in stack[-3:]):
+                    while stack and stack[-1][0] in group:
+                        pop()
+            links = 0
+            if tag not in VOID and not attributes.endswith("/") and tag not in ("html", "head", "body"):
+                names = " ".join("".join(g) for g in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
+                stack.append((tag, (stack[-1][1] if stack else root).within(tag, names)))
+                open_[tag] = open_.get(tag, 0) + 1
     close()
     return out
 
@@ -142,19 +260,6 @@ class _Slots(dict):
         return at
 
 
-def path_slots(path: str) -> np.ndarray:
-    """Hashed tags and name parts above a block, each once; the parts of the innermost element count again as such."""
-    items = set()
-    levels = path.split("/") if path else []
-    for level in levels:
-        tag, _, names = level.partition(" ")
-        items.add(f"t {tag}")
-        items.update(f"n {p}" for p in _PART.findall(names))
-    if levels:
-        items.add(f"in {levels[-1].partition(' ')[0]}")
-    return np.array(sorted({zlib.crc32(x.encode()) % PATH_SLOTS for x in items}), np.int64)
-
-
 @dataclass
 class Page:
     """Blocks as numbers: path slots and word slots with the block that each belongs to, and the measures."""
@@ -167,14 +272,14 @@ class Page:
     measures: np.ndarray
 
 
-def numbered(blocks: list[Block], slots: _Slots, paths: dict[str, np.ndarray]) -> Page:
+def numbered(blocks: list[Block], slots: _Slots, paths: dict[frozenset[int], np.ndarray]) -> Page:
     n = len(blocks)
     words, own, measures = [], [], np.zeros((n, MEASURES))
     for i, b in enumerate(blocks):
         if b.path not in paths:
             if len(paths) >= CACHE:
                 paths.clear()
-            paths[b.path] = path_slots(b.path)
+            paths[b.path] = np.array(sorted(b.path), np.int64)
         found = _WORD.findall(b.text)
         words.append(np.fromiter(map(slots.__getitem__, found), np.int64, len(found)))
         own.append(paths[b.path])
@@ -483,7 +588,26 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Labeller
     return Labeller().fit([numbered(b, slots, paths) for b, _ in made], [y for _, y in made], epochs)
 
 
-def main_texts(pages: list[str], labeller: Labeller, slots: _Slots, paths: dict[str, np.ndarray]) -> list[str]:
+def kept_labeller(spark: SparkSession) -> Labeller:
+    """The trained network: its weights are reread where the shared folder has them, under a name that stands for this module and its parameters; else they are learned and written there."""
+    with open(__file__, "rb") as f:
+        name = hashlib.sha256(f.read() + repr((PAGES, EPOCHS)).encode()).hexdigest()[:24]
+    path, names = f"{shared_root(spark)}/proofline-labeller-{name}", sorted(Labeller().weights)
+    try:
+        found = {r["name"]: r for r in spark.read.schema("name string, shape array<int>, value binary").parquet(path).collect()}
+    except AnalysisException:
+        found = {}  # no such folder yet
+    if sorted(found) != names:
+        net = trained()
+        rows = [(k, [*w.shape], w.tobytes()) for k, w in net.weights.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, value binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return net
+    net = Labeller()
+    net.weights = {k: np.frombuffer(r["value"]).reshape(r["shape"]) for k, r in found.items()}
+    return net
+
+
+def main_texts(pages: list[str], labeller: Labeller, slots: _Slots, paths: dict[frozenset[int], np.ndarray]) -> list[str]:
     """The main text of each page: its main blocks in order, joined by spaces."""
     blocks = [blocks_of(p) for p in pages]
     kept = [k for k, b in enumerate(blocks) if b]
@@ -499,7 +623,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A null or empty page, one without text, and one without main text have an empty text. Repeated rows and null ids stay; columns other than keep aren't returned.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(trained())  # of fixed size
+    sent = pages.sparkSession.sparkContext.broadcast(kept_labeller(pages.sparkSession))  # of fixed size
 
     @F.pandas_udf("string")
     def text(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,9 +2,13 @@
 
 import html
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from proofline.llm import extract
 
@@ -48,7 +52,115 @@ def test_many_without_end_tags():
 
 def test_paths():
     block = extract.blocks_of('<div class="Main Post" id=top><ul><li><a href="/">x</a> y</ul></div>')[0]
-    assert block.path == "div main post top/ul/li" and block.linked == 1
+    items = ["t div", "n main", "n post", "n top", "t ul", "t li", "in li"]
+    assert block.path == {extract._slot(x) for x in items} and block.linked == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<html><head><title>t</title><body><p>one</p><p>two</p></body></html>", ["one", "two"]), ("<head><meta x><body><header><p>menu</p></header><article><p>one", ["menu", "one"]),
+        ("<article><p>a</p><button>x<p>b</p><p>c</p></article>", ["a", "x", "b", "c"]), ("<article><button>x<p>b</p></article><p>c<button>no</button>d", ["x", "b", "c d"]),
+        ("<div>a<svg><g>x</div>b<object>no<p>no</object>c", ["a", "x", "b c"]), ("<svg><svg>no</svg>no</svg>a", ["a"]), ("<div><template><div>no</div>no</template>a</div>", ["a"]),
+        ('<a href="x>text <p class="y">more', ["text", "more"]), ('<img alt="a > b < c">x', ["x"]), ("<a title='1 > 2'class=\"k\">x", ["x"]), ('<a "x>y"<b', ['y"<b']), ("<!-->a--><!--->b<!-- <p> --!>c", ["a-->bc"]),
+        ("<p>a <button>no</p>no</button> b", ["a b"]), ("<iframe><p>no</iframe>a", ["a"]), ("<select><option>no<select><option>no</select>a", ["no a"]),
+    ],
+)
+def test_nothing_is_lost(page, wanted):
+    assert texts(page) == wanted
+
+
+@pytest.mark.parametrize("name", sorted(extract.OUT | {"title", "textarea"}))
+def test_unclosed_elements_keep_what_follows(name):
+    assert texts(f"<p>a</p><div><{name} x=1><p>b</p></div><p>c</p>") == ["a", "b", "c"]
+    assert "".join(texts(f"<{name}>x</{name}><p>a<{name}><p>b<p>c")) == "abc"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", '<a ="', "<a x='\"", '<a "x>', "<div>", "<p class=x>t</p>", "<svg>", "<svg></svg>", "<button>", "</div>", "<", "<!", "<!--", "<title>", "&amp", "plain words and more ", "<li>", "<ul><li>a", "<div class='a b c'>x", "<a b='>", "a<b = "])
+@pytest.mark.parametrize("end", ["", ">", '"', "'>"])
+def test_time_grows_with_the_page(part, end):
+    for size in (1_000_000,):
+        began = time.process_time()
+        blocks = extract.blocks_of(part * (size // len(part)) + end)
+        assert time.process_time() - began < 10
+        assert sum(len(b.path) for b in blocks) <= 20 * size
+
+
+class Plain(HTMLParser):
+    """Every text outside the elements that are left out, for pages whose elements are closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in extract.OUT | extract.RAW
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in extract.OUT | extract.RAW
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data)
+
+
+names = st.sampled_from(["div", "p", "ul", "li", "b", "section", "svg", "button", "select", "template", "object", "iframe", "noscript", "span", "td", "h1", "title", "textarea"])
+trees = st.recursive(st.text("xyz& \n", min_size=1, max_size=6).map(lambda t: t.replace("&", "&amp;")), lambda inner: st.tuples(names, st.sampled_from(["", ' class="a > b"', " id='c'", " hidden"]), st.lists(inner, max_size=4)), max_leaves=25)
+
+
+def written(tree, around=()):
+    if isinstance(tree, str):
+        return tree
+    name, attributes, inner = tree
+    if name in around and name in extract.SINGLE:  # none holds another of its name
+        return "".join(written(x, around) for x in inner)
+    if name in ("title", "textarea", "iframe", "noscript"):
+        inner = [x for x in inner if isinstance(x, str)]
+    return f"<{name}{attributes}>{''.join(written(x, (*around, name)) for x in inner)}</{name}>"
+
+
+@given(st.lists(trees, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_texts_are_kept_once_and_in_order(made):
+    page = "".join(map(written, made))
+    twin = Plain()
+    twin.feed(page)
+    twin.close()
+    assert "".join("".join(texts(page)).split()) == "".join("".join(twin.out).split())
+
+
+def test_forward_pass_by_its_definition():
+    """Page by page and block by block, without batches and padding."""
+    made = extract.generated(12, 23)
+    slots, paths = extract._Slots(), {}
+    pages = [extract.numbered(b, slots, paths) for b, _ in made]
+    net = extract.Labeller(5)
+    w, n = net.weights, extract.HIDDEN
+    for (blocks, _), page, got in zip(made, pages, net.label(pages)):
+        x = []
+        for i, b in enumerate(blocks):
+            found = extract._WORD.findall(b.text)
+            path, word = sum((w["path"][s] for s in b.path), np.zeros(extract.EMBED)), sum((w["word"][slots[t]] for t in found), np.zeros(extract.EMBED))
+            x.append(np.concatenate([path, word / max(1, len(found)), page.measures[i]]))
+        sides = {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, c = np.zeros(n), np.zeros(n)
+            for i in order:
+                z = x[i] @ w[f"x{d}"] + h @ w[f"h{d}"] + w[f"c{d}"]
+                gate = 1 / (1 + np.exp(-z))
+                c = gate[n : 2 * n] * c + gate[:n] * np.tanh(z[2 * n : 3 * n])
+                h = gate[3 * n :] * np.tanh(c)
+                sides[d, i] = h
+        z = np.array([np.concatenate([sides["f", i], sides["b", i], x[i]]) @ w["out"] + w["bias"][0] for i in range(len(x))])
+        sure = abs(z) > 1e-9
+        assert ((z > 0) == got)[sure].all()
+
+
+def test_weights_are_learned_once(spark, monkeypatch):
+    first = extract.kept_labeller(spark)
+    monkeypatch.setattr(extract, "trained", None)
+    again = extract.kept_labeller(spark)
+    assert all((first.weights[k] == again.weights[k]).all() for k in first.weights)
 
 
 def test_gradients_are_the_slopes():
