@@ -6,8 +6,9 @@ aren't committed yet. Whenever the backpointers of all surviving boundaries (tho
 back to one boundary, the ids before it are final and are committed, so that memory follows the longest ambiguous stretch, not
 the text.
 
-Paths always converge where no piece can cross. In a vocabulary whose pieces hold U+2581 in front only, that is before every word, so
-that the ids of a word don't hang on its neighbours and each distinct word is searched once a worker and remembered.
+What follows a committed boundary doesn't hang on what came before it. So a text is handled in segments that are guessed from its white space, many at once, a character
+a step, each with the character behind it: if the search commits the segment's end when it has seen that character, the ids hold wherever the same segment and character
+stand behind a committed boundary, and are remembered. A text in which one guess isn't committed is searched as a whole.
 
 Scores are the model's own if it is a unigram model. A BPE model stores ranks of merges instead; a piece of rank r then scores
 -ln(r + 2), as Zipf's law has it for a list in order of frequency. Characters without a piece fall back to their bytes, as does a literal U+2581,
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import Memo, cuts
 
 MARK = "▁"
-#: A worker remembers the ids of so many words, and of as many older ones. Longer words are searched each time.
+#: A worker remembers the ids of so many segments, and of as many older ones. Longer segments are searched each time.
 CACHE, CACHED_CHARS = 150_000, 64
+#: Boundaries that a search in lanes holds, those of the longest piece and of what isn't committed; where that doesn't do, the segment is searched by itself. Fewer segments than LANES are, too.
+RING, LANES = 128, 16
 #: A task encodes so many characters at a time, and gives out rows once it has encoded as many.
 BATCH_CHARS = 1 << 20
 #: What a fallback to bytes costs less than the worst piece.
@@ -102,8 +105,7 @@ class Pieces:
                 self.raw.append(bytes([int(p[3:5], 16)]))
             else:
                 self.raw.append(b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode())
-        self.whole = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        # Characters that stand in no longer piece have a boundary of all paths on either side.
+        # Where texts are cut into segments to begin with: before spaces, and around characters that no longer piece has.
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = [c for c in "\n\t\r" if c not in inside]
         self.spans = re.compile(f"[{re.escape(''.join(self.alone))}]|{MARK}*[^{MARK}{re.escape(''.join(self.alone))}]+|{MARK}+" if self.alone else f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -211,126 +213,168 @@ class StreamingViterbi:
         return out
 
 
-class Lockstep:
-    """The same search over many short spans of one length at once: a window of the pieces' lengths moves over all of them, a character a step.
+class Lanes:
+    """The same search over many segments at once, a character a step, with rings of RING boundaries.
 
-    Substrings are looked up by 64-bit hashes, length by length. Spans with a character that has no piece are left out.
+    Substrings are looked up by 64-bit hashes, length by length, for the segments in which a piece can still go on. A step at which no piece goes on or ends but
+    from the boundary before it shows that all paths lead through that boundary: the ids before it are committed. Segments with a character that has no piece are left out.
     """
 
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    NONE = np.uint32(0xFFFFFFFF)
 
     def __init__(self, pieces: Pieces):
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[tuple[str, int, float]]] = {}
-        for p, (i, score) in pieces.ids.items():
-            by_length.setdefault(len(p), []).append((p, i, score))
-        for n, own in by_length.items():
-            hashes = self._hashes([p for p, _, _ in own], n)
+        self.tables: list[tuple[np.ndarray, ...]] = []  # by length: hashes of pieces and of what pieces begin with; ids, scores (-inf: no piece), whether longer pieces begin so
+        self.held = 0  # the most boundaries that weren't committed
+        by_length: dict[int, list[str]] = {}
+        for p in pieces.table:
+            by_length.setdefault(len(p), []).append(p)
+        longer = {p[:-1] for p in pieces.table}
+        for n in range(1, pieces.longest + 1):
+            own = by_length.get(n, [])
+            hashes = np.zeros(len(own), np.uint64)
+            for column in np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64).T:
+                hashes = hashes * self.FACTOR + column
             order = np.argsort(hashes)
             if (np.diff(hashes[order]) == 0).any():
                 raise ValueError("two pieces have one hash")
-            end = np.uint64(0xFFFFFFFFFFFFFFFF)
-            self.tables[n] = (np.append(hashes[order], end), np.append(np.array([i for _, i, _ in own])[order], 0), np.append(np.array([s for _, _, s in own])[order], -np.inf))
-
-    @staticmethod
-    def _codes(spans: list[str], n: int) -> np.ndarray:
-        return np.frombuffer("".join(spans).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
-
-    def _hashes(self, spans: list[str], n: int) -> np.ndarray:
-        out = np.zeros(len(spans), np.uint64)
-        for column in self._codes(spans, n).T:
-            out = out * self.FACTOR + column
-        return out
-
-    def __call__(self, spans: list[str]) -> list[bytes | None]:
-        """The ids of spans of one length; None for those left out."""
-        n = len(spans[0])
-        codes = self._codes(spans, n)
-        best = np.full((n + 1, len(spans)), -np.inf)
+            found = [pieces.table[p] or (0, -math.inf) for p in own] + [(0, -math.inf)]
+            order = np.append(order, len(own))
+            self.tables.append((np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))[order], np.array([i for i, _ in found], np.uint32)[order], np.array([x for _, x in found])[order], np.array([p in longer for p in own] + [False])[order]))
+
+    def __call__(self, segments: list[str]) -> list[bytes | None]:
+        """The ids of each segment but its last character, which is only looked at; None where a character has no piece, or the end before the last character isn't committed."""
+        order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
+        sizes = np.array([len(segments[i]) for i in order])
+        codes = np.frombuffer("".join([segments[i] for i in order]).encode("utf-32-le"), "<u4").astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        lanes, steps = len(order), int(sizes[0])
+        best, back, last = np.full((RING, lanes), -np.inf), np.zeros((RING, lanes), np.int16), np.zeros((RING, lanes), np.uint32)
         best[0] = 0.0
-        back, last = np.zeros((n + 1, len(spans)), np.int16), np.zeros((n + 1, len(spans)), np.uint32)
-        hashes: dict[int, np.ndarray] = {}
-        whole = np.ones(len(spans), bool)
-        longest = max(self.tables, default=0)
-        for j in range(1, n + 1):
-            hashes = {k + 1: h * self.FACTOR + codes[:, j - 1] for k, h in hashes.items() if k < longest} | {1: codes[:, j - 1]}
+        done, good = np.zeros(lanes, np.int64), np.ones(lanes, bool)  # the last committed boundary; False: left out
+        out = np.full((lanes, steps), self.NONE)  # by boundary less 1: the id of the piece that ends there on the committed path
+        alive: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(lanes), np.zeros(lanes, np.uint64))]  # by length: lanes whose last characters begin a longer piece, and their hashes
+        for j in range(1, steps + 1):
+            on = int(np.searchsorted(-sizes, -j, side="right"))  # lanes are in order of size
+            code, now = codes[starts[:on] + (j - 1)], best[j % RING]
+            now[:] = -np.inf
+            crossed, going = np.zeros(on, bool), [(np.arange(on), np.zeros(on, np.uint64))]
             # The longer of two pieces that lead to one score wins, as where it is tried first.
-            for k in sorted(hashes.keys() & self.tables.keys(), reverse=True):
-                keys, ids, scores = self.tables[k]
-                at = np.searchsorted(keys, hashes[k])
-                total = best[j - k] + scores[at]
-                better = (keys[at] == hashes[k]) & (total > best[j])
-                if k == 1:
-                    whole &= keys[at] == hashes[k]
-                np.copyto(best[j], total, where=better)
-                np.copyto(back[j], k, where=better)
-                np.copyto(last[j], ids[at], where=better, casting="unsafe")
-        whole &= best[n] > -np.inf
-        out, where = np.zeros((len(spans), n), "<u4"), np.full(len(spans), n)
-        rows, filled = np.flatnonzero(whole), np.full(len(spans), n)
-        while len(rows):
-            filled[rows] -= 1
-            out[rows, filled[rows]] = last[where[rows], rows]
-            where[rows] -= back[where[rows], rows]
-            rows = rows[where[rows] > 0]
-        raw, starts = out.tobytes(), filled.tolist()
-        return [raw[4 * (r * n + starts[r]) : 4 * (r + 1) * n] if w else None for r, w in enumerate(whole.tolist())]
+            for k in range(len(alive), 0, -1):
+                lane, hashed = alive[k - 1]
+                if len(lane) and lane[-1] >= on:
+                    cut = np.searchsorted(lane, on)
+                    lane, hashed = lane[:cut], hashed[:cut]
+                hashed = hashed * self.FACTOR + code[lane]
+                keys, ids, scores, longer = self.tables[k - 1]
+                at = np.searchsorted(keys, hashed)
+                there = np.flatnonzero(keys[at] == hashed)
+                lane, hashed, at = lane[there], hashed[there], at[there]
+                if k > 1:
+                    crossed[lane] = True
+                else:
+                    seen = np.zeros(on, bool)
+                    seen[lane] = True
+                    # The character looked at last needs no piece.
+                    good[:on] &= seen | (sizes[:on] == j)
+                total = best[(j - k) % RING, lane] + scores[at]
+                better = np.flatnonzero(total > now[lane])
+                to = lane[better]
+                now[to], back[j % RING, to], last[j % RING, to] = total[better], k, ids[at[better]]
+                more = np.flatnonzero(longer[at])
+                going.insert(1, (lane[more], hashed[more]))
+            alive = going[: len(self.tables)]
+            if j == 1:
+                continue
+            # All paths to what is left lead through boundary j - 1: the ids up to it are final.
+            met = np.flatnonzero(~crossed & good[:on])
+            place, goal = np.full(len(met), j - 1), done[met]
+            while len(met):
+                out[met, place - 1] = last[place % RING, met]
+                place = place - back[place % RING, met]
+                more = place > goal
+                done[met[~more]] = j - 1
+                met, place, goal = met[more], place[more], goal[more]
+            waits = j - done[:on]
+            self.held = max(self.held, int(waits[good[:on]].max(initial=0)))
+            good[:on] &= waits < RING - len(self.tables)
+        good &= done == sizes - 1
+        kept = out != self.NONE
+        ids, ends = out[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(1)).tolist()
+        found: list[bytes | None] = [None] * lanes
+        for place, (i, lo, hi, whole) in enumerate(zip(order, [0, *ends], ends, good.tolist())):
+            if whole:
+                found[i] = ids[4 * lo : 4 * hi]
+        return found
 
 
 class Codec:
-    """Encodes and decodes texts, remembering the ids of distinct words."""
+    """Encodes and decodes texts, remembering the ids of distinct segments."""
+
+    #: Stands for ids where the search didn't commit a segment's end.
+    OPEN = b"?"
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.lockstep = Lockstep(pieces)
-        self.memo = Memo(self._search_all, CACHE, CACHED_CHARS)
+        self.lanes = Lanes(pieces)
+        self.memo = Memo(self._search_all, CACHE, CACHED_CHARS + 1)
 
-    def _search(self, span: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         search = StreamingViterbi(self.pieces)
-        ids = []
-        for at in range(0, len(span), 1 << 16):
-            ids += search.feed(span[at : at + (1 << 16)])
-        return array("I", ids + search.finish()).tobytes()
-
-    def _search_all(self, spans: list[str]) -> list[bytes]:
-        """Short spans of a length are searched in step if they are many, all others one by one."""
+        ids = array("I")
+        for at in range(0, len(text), 1 << 16):
+            ids.extend(search.feed(text[at : at + (1 << 16)]))
+        ids.extend(search.finish())
+        return ids.tobytes()
+
+    def _search(self, segment: str) -> bytes:
+        """The ids of a segment without its last character, which shows whether a piece goes on over the end."""
+        n = len(segment) - 1
+        if any(segment[i:] in self.pieces.table for i in range(max(0, n - self.pieces.longest), n)):
+            return self.OPEN
+        return self._whole(segment[:n])
+
+    def _search_all(self, segments: list[str]) -> list[bytes]:
+        """Short segments are searched in lanes if they are many, all others one by one."""
+        short = [x for x in segments if len(x) <= CACHED_CHARS + 1]
         found: dict[str, bytes | None] = {}
-        by_length: dict[int, list[str]] = {}
-        for span in spans:
-            by_length.setdefault(len(span), []).append(span)
-        for n, own in by_length.items():
-            if n <= CACHED_CHARS and len(own) >= 16:
-                found.update(zip(own, self.lockstep(own)))
-        return [found.get(span) or self._search(span) for span in spans]
+        for lo in range(0, len(short) if len(short) >= LANES else 0, 1 << 14):
+            some = short[lo : lo + (1 << 14)]
+            found.update(zip(some, self.lanes(some)))
+        return [self._search(x) if (ids := found.get(x)) is None else ids for x in segments]
 
     def _literal(self) -> bytes:
         return np.array(self.pieces.unseen(MARK), "<u4").tobytes()
 
-    def _spans(self, text: str) -> list[str | None]:
-        """Where a text may be cut; a literal U+2581, which is no space, stands as None."""
+    def _segments(self, text: str) -> list[str | None]:
+        """Where a text's ids may be committed, each piece with the character behind it, a space at the end; a literal U+2581, which is no space, stands as None."""
         if not text:
             return []
         out: list[str | None] = []
         for k, part in enumerate(text.split(MARK)):
             if k:
                 out.append(None)
-            part = ("" if k else MARK) + part.replace(" ", MARK)
-            out += self.pieces.spans.findall(part) if self.pieces.whole else [part] * bool(part)
+            spans = self.pieces.spans.findall(("" if k else MARK) + part.replace(" ", MARK))
+            out += [a + b[0] for a, b in zip(spans, [*spans[1:], MARK])]
         return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts. An empty text has none; any other gets a space in front."""
-        spans, ends = [], []
+        segments, ends = [], []
         for t in texts:
-            spans += self._spans(t)
-            ends.append(len(spans))
+            segments += self._segments(t)
+            ends.append(len(segments))
         if any(MARK in t for t in texts):
-            kept = [s for s in spans if s is not None]
-            ids = iter(self.memo(kept))
-            found = [self._literal() if s is None else next(ids) for s in spans]
+            ids = iter(self.memo([s for s in segments if s is not None]))
+            found = [self._literal() if s is None else next(ids) for s in segments]
         else:
-            found = self.memo(spans)
-        return [np.frombuffer(b"".join(found[lo:hi]), "<u4") for lo, hi in zip([0, *ends], ends)]
+            found = self.memo(segments)
+        out = [b"".join(found[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+        for i, (lo, hi) in enumerate(zip([0, *ends], ends) if self.OPEN in found else ()):
+            if self.OPEN in found[lo:hi]:
+                parts = ((MARK if not k else "") + part.replace(" ", MARK) for k, part in enumerate(texts[i].split(MARK)))
+                out[i] = self._literal().join(self._whole(p) for p in parts)
+        return [np.frombuffer(x, "<u4") for x in out]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
