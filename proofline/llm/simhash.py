@@ -7,10 +7,15 @@ PAIRS_UP_TO fingerprints (near copies that differ by a bit here and there) would
 linked by balls instead: two fingerprints differ in at most 2 bits exactly if some value is within 1 bit of both, so each is dealt out
 under the 65 values within 1 bit of it and linked to the smallest that shares one. No such group has more than 65 members, and no
 link is lost.
+
+Near copies with edits all over differ in more bits than any exact search of 64-bit fingerprints can reach. similar_classes() takes wide fingerprints for them: blocks of 32 bits,
+one of which close pairs share (here with high probability, not with certainty), and a sketch of five-word shingles whose Hamming distance verifies the similarity.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,9 +24,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, settle
+from .common import LOWER, UPPER, cuts, settle
 
 PAIRS_UP_TO = 32
+#: A worker forgets its words' hashes beyond so many.
+CACHE = 200_000
+#: A wide fingerprint's parts as (words of a shingle, 64-bit numbers): blocks to find candidates by, two of 32 bits in each number, and the sketch that verifies them.
+BLOCKS, SKETCH = (2, 24), (5, 16)
+#: In crowded blocks each member is compared with so many of its most connected members.
+HUBS = 8
+
+
+def bits_apart(similarity: float, bits: int = 64 * SKETCH[1]) -> int:
+    """In how many bits fingerprints of shingle sets of this Jaccard similarity differ: by the angle between such sets, and half a standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -52,6 +69,59 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     return fp(text)
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+#: Byte -> its bits, each in a byte of its own, so that up to 255 of them add up in one number.
+_SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view(np.uint64).ravel()
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def wide_fingerprints(texts: list[str | None], numbers: tuple[tuple[int, int], ...], hashes: dict | None = None) -> np.ndarray:
+    """SimHash fingerprints of many bits: a row of 64-bit numbers for each text. numbers: (words of a shingle, how many numbers of its own) for each part of a row.
+
+    Words are what white space parts, A-Z lower-cased; a text of fewer words than a shingle is one, one without words has zeros. Bit i is set if it is in more than half of the shingles' i-th hash bits.
+    """
+    hashes = _Hashes() if hashes is None else hashes
+    found = [np.fromiter(map(hashes.__getitem__, (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()), np.uint64) for t in texts]
+    out = np.zeros((len(texts), sum(n for _, n in numbers)), np.uint64)
+    some = np.flatnonzero([len(w) for w in found])
+    if not len(some):
+        return out
+    first = 0
+    for shingle, many in numbers:
+        rows = []
+        for i in some.tolist():
+            w, size = found[i], min(shingle, len(found[i]))
+            h = w[: len(w) - size + 1]
+            for k in range(1, size):
+                h = (h ^ h >> np.uint64(31)) * _MIX[1] + w[k : len(w) - size + 1 + k]
+            rows.append(h)
+        sizes = np.array([len(h) for h in rows])
+        every = np.concatenate(rows)
+        parts = -(-sizes // 255)  # a text's shingles, 255 at a time
+        begin = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        own = np.cumsum(parts) - parts
+        for k in range(many):
+            z = every + np.uint64(int(_MIX[0]) * (first + k + 1) % (1 << 64))
+            z = (z ^ z >> np.uint64(30)) * _MIX[1]
+            z = (z ^ z >> np.uint64(27)) * _MIX[2]
+            z ^= z >> np.uint64(31)
+            columns = z.view(np.uint8).reshape(-1, 8)
+            bits = np.zeros((len(rows), 64), bool)
+            for c in range(8):
+                sums = np.add.reduceat(_SPREAD[columns[:, c]], begin).view(np.uint8).reshape(-1, 8)
+                bits[:, 8 * c : 8 * c + 8] = np.add.reduceat(sums, own, axis=0, dtype=np.uint32) * 2 > sizes[:, None]
+            out[some, first + k] = np.packbits(bits, axis=1).view(np.uint64).ravel()
+        first += many
+    return out
+
+
 def _masks(distance: int) -> list[int]:
     """Masks of the blocks that a key keeps: distance + 3 blocks, all but distance of them."""
     blocks = np.array_split(np.arange(64), distance + 3)
@@ -89,20 +159,68 @@ def close_pairs(fps: DataFrame, distance: int = 2, pairs_up_to: int = PAIRS_UP_T
     return near.unionByName(linked).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node reachable, for each node of links (a, b). Rounds take the smallest label among neighbours, then the label's label; each ends in a written table."""
+def wide_fingerprint_column(text: Column) -> Column:
+    """The wide fingerprint of a text as an array of longs, BLOCKS before SKETCH; null and empty texts have zeros."""
+
+    @F.pandas_udf("array<long>")
+    def wide(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _Hashes()
+        for f in frames:
+            texts, out = f.tolist(), []
+            for lo, hi in cuts([len(t or "") for t in texts], 1 << 20):
+                out.extend(wide_fingerprints(texts[lo:hi], (BLOCKS, SKETCH), hashes).view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    return wide(text)
+
+
+def similar_pairs(classes: DataFrame, distance: int, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches differ in at most distance bits, among those that share a block.
+
+    In a block with more than pairs_up_to members each is compared with the HUBS members that are in most company, which of copies of one text is the text that they were made from:
+    what is compared grows with the members, not with their square.
+    """
+    low = F.lit((1 << 32) - 1)
+    blocks = F.flatten(F.transform(F.slice("fp", 1, BLOCKS[1]), lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(low))))
+    keyed = classes.select("node", F.posexplode(blocks).alias("i", "v"))
+    sizes = keyed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = settle(keyed.join(sizes, ["i", "v"]))
+    few = members.where(F.col("n") <= pairs_up_to).groupBy("i", "v").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    near = few.select(F.posexplode("m").alias("at", "a"), "m").select("a", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("b"))
+    many = members.where(F.col("n") > pairs_up_to)
+    company = many.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = many.join(company, "node").groupBy("i", "v", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max(F.struct("company", (-F.col("node")).alias("x"))).alias("top")).select("i", "v", (-F.col("top.x")).alias("hub"))
+    far = many.join(hubs, ["i", "v"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = near.unionByName(far).distinct()
+    sketch = classes.select("node", F.slice("fp", BLOCKS[1] + 1, SKETCH[1]).alias("s"))
+    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= distance).select("a", "b")
+
+
+def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(key, component): a row for each distinct wide fingerprint of each (key, fp), with its smallest key; those of one component are linked by pairs whose five-word shingles are as similar.
+
+    Keys may be of any type with an order. Rows of one fingerprint, as copies and all texts without words have, are one row here, so that a large group of copies costs no more than a small one.
+    """
+    classes = settle(each.groupBy("fp").agg(F.min("key").alias("key")).select("key", "fp", F.monotonically_increasing_id().alias("node")))
+    label = components(similar_pairs(classes, bits_apart(similarity)))
+    named = classes.select("key", F.col("node").alias("_node")).join(label, F.col("_node") == F.col("node"), "left")
+    return named.select("key", F.coalesce("label", "_node").alias("component"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable, for each node of links (a, b). Rounds take the smallest label among neighbours, then the label's label, until none changes; each ends in a written table."""
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     now = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("m"))
         step = now.join(near, now.node == near.a).select("node", F.least("label", "m").alias("to"), F.col("label").alias("was"))
         jump = now.select(F.col("node").alias("to"), F.col("label").alias("next"))
         after = settle(step.join(jump, "to").select("node", F.least("to", "next").alias("label"), "was"))
-        moved = after.where("label <> was").limit(1).count()
+        moved = after.where("label <> was").limit(1).count() > 0
         now = after.select("node", "label")
-        if not moved:
-            return now
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+    return now
 
 
 def fingerprint_groups(each: DataFrame, distance: int = 2) -> DataFrame:

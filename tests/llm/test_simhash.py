@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import LOWER, awkward, documents
+from pyspark.sql import functions as F
 
 from proofline.llm import simhash
 
@@ -90,3 +91,51 @@ def test_long_chain(spark):
     values = [(1 << i) - 1 for i in range(60)]
     pairs = simhash.close_pairs(spark.createDataFrame([(v,) for v in values], "fp long"), 2, 4)
     assert len({r["label"] for r in simhash.components(pairs).collect()}) == 1
+
+
+def test_wide_fingerprints_by_their_definition():
+    """Bit by bit, from a text's shingles."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 5, 40, 700)] + [None, "", "A  b\nC", "a b c"]
+    numbers = ((2, 2), (5, 1))
+    got = simhash.wide_fingerprints(texts, numbers)
+    most = (1 << 64) - 1
+    for text, row in zip(texts, got.tolist()):
+        w = [xxhash.xxh64_intdigest(x.encode()) for x in (text or "").translate(LOWER).split()]
+        k = 0
+        for size, many in numbers:
+            found = []
+            for i in range(max(1, len(w) - size + 1) if w else 0):
+                h = w[i]
+                for x in w[i + 1 : i + size]:
+                    h = ((h ^ h >> 31) * 0xBF58476D1CE4E5B9 + x) & most
+                found.append(h)
+            for _ in range(many):
+                k += 1
+                mixed = []
+                for h in found:
+                    z = (h + k * 0x9E3779B97F4A7C15) & most
+                    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & most
+                    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & most
+                    mixed.append(z ^ z >> 31)
+                assert row[k - 1] == sum(1 << b for b in range(64) if sum(z >> b & 1 for z in mixed) * 2 > len(mixed))
+    assert (got[-1] == got[-2]).all() and not got[-3].any() and not got[-4].any()
+
+
+def test_near_copies_of_one_text(spark):
+    """A large group of copies with scattered edits is one class, whatever its blocks hold; other texts stay by themselves."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    first = [word() for _ in range(400)]
+    rows = [(0, " ".join(first))]
+    for i in range(1, 1500):
+        w = list(first)
+        for _ in range(6):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(10_000 + i, " ".join(word() for _ in range(200))) for i in range(300)]
+    each = documents(spark, rows).select(F.col("doc_id").alias("key"), simhash.wide_fingerprint_column(F.col("text")).alias("fp"))
+    got = {r["key"]: r["component"] for r in simhash.similar_classes(each).collect()}
+    copies = [got[i] for i in range(1500) if i in got]
+    assert sum(c == got[0] for c in copies) >= 0.98 * len(copies)
+    assert len({got[10_000 + i] for i in range(300)}) == 300 and got[0] not in {got[10_000 + i] for i in range(300)}
