@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What violations begin with.
+FIELD, SCALAR = "forbidden field name status", "forbidden scalar type"
+
+
 def canonical(text: str) -> str:
     """Keys sorted, no spaces, non-ASCII escaped."""
     return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
@@ -24,52 +28,57 @@ def violations(text: str) -> list[str]:
         if isinstance(node, dict):
             for name, value in node.items():
                 if name == "status":
-                    out.append(f"forbidden field name status at {path}")
+                    out.append(f"{FIELD} at {path}")
                 else:
                     todo.append((f"{path}.{name}", value))
         elif isinstance(node, list):
             todo += [(f"{path}[{i}]", value) for i, value in enumerate(node)]
         elif node is None or isinstance(node, (bool, float)):
-            out.append(f"forbidden scalar type {type(node).__name__} at {path}")
+            out.append(f"{SCALAR} {type(node).__name__} at {path}")
     return sorted(out)
 
 
-def _or_null(f, text):
-    try:
-        return f(text) if text is not None else None
-    except ValueError:
-        return None
+FACTS = "canonical string, violations array<string>, deterministic boolean"
 
 
-def canonical_json(text: Column) -> Column:
-    """The canonical form; null for a null or malformed document."""
+def facts(text: Column) -> Column:
+    """struct(canonical, violations, deterministic) of a document, read once: its canonical form, what a sealed document must not hold, and whether canonicalising once more changes nothing.
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_or_null(canonical, t) for t in texts], dtype=object)
+    All null for a null or malformed document, and for one nested deeper than Python's parser goes (about a thousand levels).
+    """
+
+    @F.pandas_udf(FACTS)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                once = canonical(t) if t is not None else None
+                rows.append((None, None, None) if once is None else (once, violations(t), canonical(once) == once))
+            except (ValueError, RecursionError):
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["canonical", "violations", "deterministic"], dtype=object)
 
     return run(text)
 
 
+def canonical_json(text: Column) -> Column:
+    """The canonical form; null where facts() has none."""
+    return facts(text)["canonical"]
+
+
 def canonical_sha256(text: Column) -> Column:
     """SHA-256, in hex, of the canonical form's UTF-8."""
     return F.sha2(canonical_json(text).cast("binary"), 256)
 
 
 def domain_violations(text: Column) -> Column:
-    """Sorted array of violations; empty for an admissible document, null for a malformed one."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_or_null(violations, t) for t in texts], dtype=object)
-
-    return run(text)
+    """Sorted array of violations; empty for an admissible document, null where facts() has none."""
+    return facts(text)["violations"]
 
 
 def is_deterministic(text: Column) -> Column:
-    """Whether canonicalising once more changes nothing; null for a malformed document."""
-    once = canonical_json(text)
-    return once == canonical_json(once)
+    """Whether canonicalising once more changes nothing; null where facts() has none."""
+    return facts(text)["deterministic"]
 
 
 def sha256_of(document: object) -> str:

@@ -6,6 +6,8 @@ constants, not a certified ephemeris tool.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,26 @@ MATRIX = (
 )
 
 
+def _let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """then of a struct of values, each of which is computed once however often then names it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), then), F.lit(0))
+
+
 def b1950_to_j2000(ra_deg: Column, dec_deg: Column) -> Column:
     """struct(ra_deg, dec_deg) in J2000; null if either is null."""
+
+    def rotated(v: Column) -> Column:
+        dot = v["x"] * E_TERMS[0] + v["y"] * E_TERMS[1] + v["z"] * E_TERMS[2]
+        return _let({"x": v["x"], "y": v["y"], "z": v["z"], "dot": dot}, lambda t: _let({n: t[n] - F.lit(E_TERMS[i]) + t[n] * t["dot"] for i, n in enumerate("xyz")}, turned))
+
+    def turned(u: Column) -> Column:
+        return _let({n: u["x"] * row[0] + u["y"] * row[1] + u["z"] * row[2] for n, row in zip("xyz", MATRIX)}, angles)
+
+    def angles(w: Column) -> Column:
+        found = {"ra": F.degrees(F.atan2(w["y"], w["x"])), "dec": F.degrees(F.atan2(w["z"], F.hypot(w["x"], w["y"])))}
+        return _let(found, lambda x: F.struct(F.when(x["ra"] < 0, x["ra"] + 360.0).otherwise(x["ra"]).alias("ra_deg"), x["dec"].alias("dec_deg")))
+
     a, d = F.radians(ra_deg), F.radians(dec_deg)
-    v = [F.cos(a) * F.cos(d), F.sin(a) * F.cos(d), F.sin(d)]
-    dot = sum((v[i] * E_TERMS[i] for i in range(1, 3)), v[0] * E_TERMS[0])
-    u = [v[i] - F.lit(E_TERMS[i]) + v[i] * dot for i in range(3)]
-    w = [u[0] * row[0] + u[1] * row[1] + u[2] * row[2] for row in MATRIX]
-    ra = F.degrees(F.atan2(w[1], w[0]))
-    both = ra_deg.isNotNull() & dec_deg.isNotNull()
-    return F.when(both, F.struct(F.when(ra < 0, ra + 360.0).otherwise(ra).alias("ra_deg"), F.degrees(F.atan2(w[2], F.hypot(w[0], w[1]))).alias("dec_deg")))
+    trig = {"ca": F.cos(a), "sa": F.sin(a), "cd": F.cos(d), "sd": F.sin(d)}
+    out = _let(trig, lambda t: _let({"x": t["ca"] * t["cd"], "y": t["sa"] * t["cd"], "z": t["sd"]}, rotated))
+    return F.when(ra_deg.isNotNull() & dec_deg.isNotNull(), out)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x0B\x1C-\x1F\x85 ]*"
+from .text import WHITE
+
+_SPACE = f"[{WHITE}]*"
 
 
 def _grouped(text: Column, groups: int, prefix: str) -> Column:
@@ -28,7 +30,7 @@ def normalise_ra(text: Column) -> Column:
 
 
 def _parsed(value: Column, sign: str, names: list[str]) -> Column:
-    pattern = rf"\A{_SPACE}{sign}" + r"[\s\x0B\x1C-\x1F]+".join([r"([0-9]{2})"] * len(names)) + rf"{_SPACE}\z"
+    pattern = rf"\A{_SPACE}{sign}" + f"[{WHITE}]+".join([r"([0-9]{2})"] * len(names)) + rf"{_SPACE}\z"
     part = lambda i: F.regexp_extract(value, pattern, i).cast("int")
     return F.when(value.rlike(pattern), F.struct(*[part(i).alias(n) for i, n in enumerate(names, 1)]))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Words that tell a page's class, in the order in which they are looked for.
 PAGE_KEYWORDS = [("DECLINATION", "HEADER_PAGE"), ("CHANNEL NUMBER", "DATA_PAGE"), ("JOB", "JOB_LISTING_PAGE"), ("PAGE", "JOB_LISTING_PAGE")]
 
-_BLANK = r"[\s\x0B\x1C-\x1F\x85 ]"
+# White space, the 29 characters that have Unicode's property or part lines or fields in ASCII.
+WHITE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_BLANK = f"[{WHITE}]"
 
 
 def clean_read(text: Column) -> Column:
@@ -39,8 +41,8 @@ def page_class(text: Column) -> Column:
 
 
 def utc_stamp(ts: Column) -> Column:
-    """yyyy-MM-ddTHH:mm:ssZ of a timestamp in a session whose time zone is UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """yyyy-MM-ddTHH:mm:ssZ of a timestamp, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def printed_date(text: Column, century: int = 19) -> Column:
@@ -49,11 +51,6 @@ def printed_date(text: Column, century: int = 19) -> Column:
     return F.try_to_timestamp(whole, F.lit("d MMM yyyy")).cast("date")
 
 
-def darkness(paper: Column, pixel: Column) -> Column:
-    """How much darker than the paper a pixel is, never below 0."""
-    return F.greatest(paper - pixel, F.lit(0.0))
-
-
 def rescaled(rect: Column, width: Column, height: Column, to_width: Column, to_height: Column, tolerance: float = 0.02) -> Column:
     """A rectangle (x0, y0, x1, y1) of an image in another size of it; null where the two sizes differ in aspect by more than the tolerance."""
     sx, sy = to_width / width, to_height / height

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from ..schemas import SOURCE_AUTHENTICITY
 
 # Fixed values.
@@ -19,12 +20,13 @@ def byte_integrity(published: Column, content: Column) -> Column:
 
 
 def verified_pages(pages: DataFrame, manifest: DataFrame, name: str = "name", content: str = "content", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Every page with published_sha1, local_sha1, local_sha256, byte_integrity, source_authenticity, ok and failure (null, DOWNLOAD, SOURCE_INPUT_INVALID or INTEGRITY, looked for in this order).
+    """Every page, once for each checksum that its name has, with published_sha1, local_sha1, local_sha256, byte_integrity, source_authenticity, ok and failure (null, DOWNLOAD, SOURCE_INPUT_INVALID or INTEGRITY, looked for in this order).
 
     No content: the download failed. Content that is too short is judged before its checksum. A name without a checksum fails.
     """
-    listed = manifest.select(F.col("name").alias("_name"), F.col("sha1").alias("published_sha1"))
-    met = pages.join(listed, pages[name] == listed["_name"], "left").drop("_name")
+    (listed_name,) = unused(pages, "_name")
+    listed = manifest.select(F.col("name").alias(listed_name), F.col("sha1").alias("published_sha1"))
+    met = pages.join(listed, pages[name] == listed[listed_name], "left").drop(listed_name)
     bytes_ = F.col(content).cast("binary")
     failure = (
         F.when(F.col(content).isNull(), "DOWNLOAD").when(F.octet_length(bytes_) < least_bytes, "SOURCE_INPUT_INVALID").when(byte_integrity(F.col("published_sha1"), bytes_) == MISMATCH, "INTEGRITY")
@@ -48,10 +50,18 @@ def first_attempts(pages: DataFrame, position: str, n: int) -> DataFrame:
     return pages.orderBy(position).limit(n)
 
 
+def first_successes(attempts: DataFrame, position: str, n: int, ok: str = "ok") -> DataFrame:
+    """The attempts, by position, up to the nth that succeeded: all of them if fewer did, none if n is 0. Positions that tie with the nth success's come along."""
+    if n <= 0:
+        return attempts.limit(0)
+    reached, last = attempts.where(F.col(ok)).orderBy(position).limit(n).agg(F.count(F.lit(1)), F.max(position)).first()
+    return attempts if reached < n else attempts.where(F.col(position) <= F.lit(last))
+
+
 def drifted(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """(name, expected, found) of tools whose hash isn't the recorded one; a hash that is still to be recorded passes."""
+    """(name, expected, found) of tools whose hash isn't the recorded one; a hash that is marked as still to be recorded passes, one that is null doesn't."""
     met = expected.alias("e").join(found.alias("f"), "name", "left").select("name", F.col("e.sha256").alias("expected"), F.col("f.sha256").alias("found"))
-    return met.where(~F.col("expected").eqNullSafe(F.col("found")) & (F.col("expected") != PENDING))
+    return met.where(~F.col("expected").eqNullSafe(F.col("found")) & ~F.col("expected").eqNullSafe(F.lit(PENDING)))
 
 
 def require_no_drift(expected: DataFrame, found: DataFrame) -> None:

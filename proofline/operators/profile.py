@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+from .sampling import chunk_of, in_order
+
 
 def page_value(rows: DataFrame, page: str, value: str, keep: Column) -> DataFrame:
     """(page, value, votes) for every page: its most frequent value among rows that keep holds for, the smallest of equals; null without any."""
@@ -67,9 +70,10 @@ def pages_by_date(headers: DataFrame, date: str, page: str) -> DataFrame:
 
 def size_locator(listing: DataFrame, folder: str, size: str, share: float = 0.8) -> DataFrame:
     """With median and is_candidate: files smaller than share of their folder's median size. Sizes are counted first, so that a folder's files are never gathered."""
-    counts = listing.where(F.col(size).isNotNull()).groupBy(F.col(folder).alias("_f"), F.col(size).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    medians = counts.groupBy("_f").agg(F.expr("percentile(_s, 0.5, _n)").alias("median"))
-    return listing.join(medians, listing[folder].eqNullSafe(medians["_f"]), "left").drop("_f").withColumn("is_candidate", F.coalesce(F.col(size) < F.col("median") * share, F.lit(False)))
+    (f,) = unused(listing, "_f")
+    counts = listing.where(F.col(size).isNotNull()).groupBy(F.col(folder).alias(f), F.col(size).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    medians = counts.groupBy(f).agg(F.expr("percentile(s, 0.5, n)").alias("median"))
+    return listing.join(medians, listing[folder].eqNullSafe(medians[f]), "left").drop(f).withColumn("is_candidate", F.coalesce(F.col(size) < F.col("median") * share, F.lit(False)))
 
 
 def locator_quality(rows: DataFrame, flagged: Column, positive: Column) -> DataFrame:
@@ -81,14 +85,15 @@ def locator_quality(rows: DataFrame, flagged: Column, positive: Column) -> DataF
 
 def golden_compare(expected: DataFrame, produced: DataFrame, key: list[str], fields: list[str], order: str) -> DataFrame:
     """Each expected row with outcome MATCH, DIFFERENT or NO ROW AT THIS KEY; of produced rows that share a key the last by order counts."""
-    last = produced.groupBy(*key).agg(F.max_by(F.struct(*fields), F.col(order)).alias("_got"))
-    e, g = expected.alias("e"), last.alias("g")
-    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"g.{k}")) for k in key]
-    same = F.lit(True)
-    for f in fields:
-        same = same & F.col(f"e.{f}").eqNullSafe(F.col(f"_got.{f}"))
-    outcome = F.when(F.col("_got").isNull(), "NO ROW AT THIS KEY").when(same, "MATCH").otherwise("DIFFERENT")
-    return e.join(g, on, "left").select("e.*", outcome.alias("outcome"))
+    got, *keys = unused(expected, "_got", *[f"_key{i}" for i in range(len(key))])
+    last = produced.groupBy(*[F.col(k).alias(n) for k, n in zip(key, keys)]).agg(F.max_by(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]), F.col(order)).alias(got))
+    on, same = F.lit(True), F.lit(True)
+    for k, n in zip(key, keys):
+        on = on & expected[k].eqNullSafe(last[n])
+    for i, f in enumerate(fields):
+        same = same & F.col(f"`{f}`").eqNullSafe(F.col(got)[f"f{i}"])
+    outcome = F.when(F.col(got).isNull(), "NO ROW AT THIS KEY").when(same, "MATCH").otherwise("DIFFERENT")
+    return expected.join(last, on, "left").select(*[F.col(f"`{c}`") for c in expected.columns], outcome.alias("outcome"))
 
 
 def match_count(compared: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def match_count(compared: DataFrame) -> DataFrame:
 
 
 def validation_outcomes(truth: DataFrame, rows: DataFrame, key: list[str], value: str = "value", state: str = "state", admissible: Column | None = None) -> DataFrame:
-    """Each true row with its outcome, by exact key: CORRECT_TRANSCRIPTION, INCORRECT_TRANSCRIPTION, STRUCTURALLY_INVALID, the extractor's own state where there is no value, or UNPAIRED."""
+    """Each true row with its outcome, by exact key, once for each output row of its key, as each of them is judged: CORRECT_TRANSCRIPTION, INCORRECT_TRANSCRIPTION, STRUCTURALLY_INVALID, the extractor's own state where there is no value, or UNPAIRED."""
     ok = F.col("_ok")
     produced = rows.select(*key, F.col(value).alias("_value"), F.col(state).alias("_state"), (F.lit(True) if admissible is None else admissible).alias("_ok"), F.lit(True).alias("_there"))
     outcome = (
@@ -144,5 +149,30 @@ def shift_spread(rows: DataFrame, shift: str, window: float) -> DataFrame:
 
 
 def cadence(rows: DataFrame, part: str, order: str, at: str) -> DataFrame:
-    """With step, the difference from the row before: a diagnosis only, which nothing here pairs or fills by."""
-    return rows.withColumn("step", F.col(at) - F.lag(at).over(Window.partitionBy(part).orderBy(order)))
+    """With step, the difference from the row before, null for a part's first: a diagnosis only, which nothing here pairs or fills by.
+
+    Parts are cut into chunks of the order, as samples are; a chunk's first row gets its neighbour from the chunk before, of which one row is known. Ties are broken by the other columns.
+    """
+    chunk, last, part_, of, before = unused(rows, "_chunk", "_last", "_part", "_of", "_before")
+    cut = rows.withColumn(chunk, chunk_of(rows, order))
+    inside = cut.withColumn(last, F.lag(F.struct(at)).over(Window.partitionBy(part, chunk).orderBy(*in_order(rows, order))))
+    ends = cut.groupBy(F.col(part).alias(part_), F.col(chunk).alias(of)).agg(F.max_by(F.struct(at), F.struct(*in_order(rows, order))).alias("x"))
+    ends = ends.select(part_, of, F.lag("x").over(Window.partitionBy(part_).orderBy(of)).alias(before))
+    met = inside.join(ends, inside[part].eqNullSafe(ends[part_]) & inside[chunk].eqNullSafe(ends[of]))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(at) - F.coalesce(last, before)[at]).alias("step"))
+
+
+def page_truth(values: DataFrame, truth: DataFrame, page: str, value: str) -> DataFrame:
+    """(page, value, truth, outcome) for each page of truth (page, truth): MATCH, DIFFERENT, or NO CONSENSUS where values has no value for it. A page that either side has twice is judged for each pair."""
+    met = truth.select(page, "truth").join(values.select(page, value), page, "left")
+    outcome = F.when(F.col(value).isNull(), "NO CONSENSUS").when(F.col(value).eqNullSafe(F.col("truth")), "MATCH").otherwise("DIFFERENT")
+    return met.select(page, value, "truth", outcome.alias("outcome"))
+
+
+def throughput(attempts: DataFrame, at: str, ok: str, total: int) -> DataFrame:
+    """One row of a run's progress from its attempts: done, failed, elapsed_s between the first and the last, per_hour (done ones) and remaining_s for what of total isn't done; null where no time has passed."""
+    ended = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+    good = F.coalesce(F.col(ok), F.lit(False))
+    counted = attempts.agg(F.count_if(good).alias("done"), F.count_if(~good).alias("failed"), F.round(F.max(ended) - F.min(ended), 3).alias("elapsed_s"))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+    return counted.select("*", F.round(F.try_divide(F.col("done") * 3600.0, F.col("elapsed_s")), 3).alias("per_hour"), F.round(F.try_divide(F.col("elapsed_s") * left, F.col("done")), 3).alias("remaining_s"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 #: Positions of a chunk.
 CHUNK = 4096
 
@@ -16,31 +18,35 @@ CHUNK = 4096
 def forward_fill(rows: DataFrame, part: str, order: str, marker: Column, value: str, chunk: int = CHUNK) -> DataFrame:
     """With filled, origin (READ_DIRECTLY on a marked row, DERIVED below one, else null) and source: the value and place of the nearest marked row at or before each row of its part.
 
-    order is a number without ties within a part; a row before the first marked one has no value. Rows whose order is null have none either.
+    order is a number without ties within a part; of marked rows that tie the one of greatest value counts. A row before the first marked one has no value, nor has one whose order is null.
+    Null parts are one part, and repeated rows stay.
     """
-    cut = rows.withColumn("_mark", F.coalesce(marker, F.lit(False))).withColumn("_chunk", F.floor(F.col(order) / chunk))
-    seen = F.when(F.col("_mark"), F.struct(F.col(order).alias("at"), F.col(value).alias("value")))
-    within = Window.partitionBy(part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.withColumn("_own", F.last(seen, ignorenulls=True).over(within))
-    ends = cut.groupBy(part, "_chunk").agg(F.max_by(seen, F.when(F.col("_mark"), F.col(order))).alias("last"))
-    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    enters = ends.select(F.col(part).alias("_part"), F.col("_chunk").alias("_of"), F.last("last", ignorenulls=True).over(before).alias("_before"))
-    met = inside.join(enters, inside[part].eqNullSafe(enters["_part"]) & (inside["_chunk"] == enters["_of"]), "left")
-    found = F.coalesce("_own", "_before")
-    origin = F.when(F.col("_mark"), "READ_DIRECTLY").when(found.isNotNull(), "DERIVED")
-    return met.select(*rows.columns, found["value"].alias("filled"), origin.alias("origin"), found["at"].alias("source"))
+    mark, at, own, part_, of, before_ = unused(rows, "_mark", "_chunk", "_own", "_part", "_of", "_before")
+    cut = rows.withColumn(mark, F.coalesce(marker, F.lit(False)) & F.col(order).isNotNull()).withColumn(at, F.floor(F.col(order) / chunk))
+    seen = F.when(F.col(mark), F.struct(F.col(order).alias("at"), F.col(value).alias("value")))
+    # All rows of one order see the same: those that tie stand in one range.
+    within = Window.partitionBy(part, at).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = cut.withColumn(own, F.max(seen).over(within))
+    ends = cut.groupBy(F.col(part).alias(part_), F.col(at).alias(of)).agg(F.max(seen).alias("last"))
+    before = Window.partitionBy(part_).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    enters = ends.select(part_, of, F.last("last", ignorenulls=True).over(before).alias(before_))
+    met = inside.join(enters, inside[part].eqNullSafe(enters[part_]) & (inside[at] == enters[of]), "left")
+    found = F.when(F.col(order).isNotNull(), F.coalesce(own, before_))
+    origin = F.when(F.col(mark), "READ_DIRECTLY").when(found.isNotNull(), "DERIVED")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], found["value"].alias("filled"), origin.alias("origin"), found["at"].alias("source"))
 
 
 def run_segments(rows: DataFrame, part: str, order: str, marker: Column, chunk: int = CHUNK) -> DataFrame:
-    """With run, the number of marked rows at or before each row of its part: 0 before the first."""
-    cut = rows.withColumn("_mark", F.coalesce(marker, F.lit(False)).cast("long")).withColumn("_chunk", F.floor(F.col(order) / chunk))
-    within = Window.partitionBy(part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.withColumn("_own", F.sum("_mark").over(within))
-    ends = cut.groupBy(part, "_chunk").agg(F.sum("_mark").alias("n"))
-    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    enters = ends.select(F.col(part).alias("_part"), F.col("_chunk").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    met = inside.join(enters, inside[part].eqNullSafe(enters["_part"]) & (inside["_chunk"] == enters["_of"]), "left")
-    return met.select(*rows.columns, (F.col("_own") + F.col("_before")).alias("run"))
+    """With run, the number of marked rows at or before each row of its part: 0 before the first. Rows that tie are in one run; a row whose order is null has none."""
+    mark, at, own, part_, of, before_ = unused(rows, "_mark", "_chunk", "_own", "_part", "_of", "_before")
+    cut = rows.withColumn(mark, F.coalesce(marker, F.lit(False)).cast("long")).withColumn(at, F.floor(F.col(order) / chunk))
+    within = Window.partitionBy(part, at).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = cut.withColumn(own, F.sum(mark).over(within))
+    ends = cut.where(F.col(order).isNotNull()).groupBy(F.col(part).alias(part_), F.col(at).alias(of)).agg(F.sum(mark).alias("n"))
+    before = Window.partitionBy(part_).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    enters = ends.select(part_, of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(before_))
+    met = inside.join(enters, inside[part].eqNullSafe(enters[part_]) & (inside[at] == enters[of]), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(own) + F.col(before_)).alias("run"))
 
 
 def run_spans(segments: DataFrame, part: str, order: str) -> DataFrame:
@@ -51,9 +57,11 @@ def run_spans(segments: DataFrame, part: str, order: str) -> DataFrame:
 def range_join(places: DataFrame, ranges: DataFrame, key: str, at: str, first: str = "first", last: str = "last", width: int = 256) -> DataFrame:
     """Each place with the ranges of its key that hold it, both ends included.
 
+    Null keys and places meet nothing, a range that ends before it begins holds nothing, repeated rows of either side count each. The two sides' columns other than the key are to have different names.
     Ranges are dealt out to blocks of width positions, places to the one that they stand in, and the two meet by key and block: no key's places meet all of its ranges.
     """
+    at_block = next(n for n in unused(places, "_block", "_block_", "_block__") if n not in ranges.columns)
     block = lambda c: F.floor(F.col(c) / width)
-    spread = ranges.where(F.col(last) >= F.col(first)).withColumn("_block", F.explode(F.sequence(block(first), block(last))))
-    met = places.withColumn("_block", block(at)).join(spread, [key, "_block"])
-    return met.where(F.col(at).between(F.col(first), F.col(last))).drop("_block")
+    spread = ranges.where(F.col(last) >= F.col(first)).withColumn(at_block, F.explode(F.sequence(block(first), block(last))))
+    met = places.withColumn(at_block, block(at)).join(spread, [key, at_block])
+    return met.where(F.col(at).between(F.col(first), F.col(last))).drop(at_block)

@@ -1,7 +1,8 @@
 """Exact reconciliation of two extracted sides.
 
-Rows pair by identity alone, page and row together: never by nearness, value, order or tolerance. Each side is collapsed to one row a key before the sides
-meet, so that duplicates never multiply; the last row of a key, by a stated order, stands for it. Both sides shuffle once, by the key.
+Rows pair by identity alone, page and row together: never by nearness, value, order or tolerance. Both sides are gathered in one grouping by the key, which collapses
+each to one row a key, so that duplicates never multiply; the last row of a key, by a stated order, stands for it. That is the only time that rows are shuffled: no
+join is needed to pair them, and what else decides, pages that one side lacks, is a short list.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from ..schemas import RA_FIELDS, SIDE_FIELDS, VERDICTS
 # Version and reasons.
 JOINER_VERSION = "join_radec_v1"
 DUPLICATE = "row_y appears more than once on this page"
+#: Pages of one side alone are sent to all tasks up to so many; beyond it Spark joins them by shuffling.
+BROADCAST_PAGES = 100_000
 INDEX_DIFFERS = "row_index differs between sides (%s vs %s); pairing is by geometry, the index disagreement is recorded only"
 
 
@@ -38,11 +41,16 @@ class Sides:
         return {"left": self.left.upper(), "right": self.right.upper()}
 
 
-def collapsed(side: DataFrame, s: Sides, fields: tuple[str, ...]) -> DataFrame:
-    """(page, row, copies, x): one row a key with the last row's fields in x. Rows without a row key are page-level records and have none."""
-    wanted = dict.fromkeys([s.index, *fields, *s.shared])
-    keyed = side.where(F.col(s.row).isNotNull())
-    return keyed.groupBy(F.col(s.page).alias("page"), F.col(s.row).alias("row")).agg(F.count(F.lit(1)).alias("copies"), F.max_by(F.struct(*wanted), F.col(s.order)).alias("x"))
+def keyed(left: DataFrame, right: DataFrame, s: Sides) -> DataFrame:
+    """(page, row, l_copies, r_copies, l, r): one row a key, with each side's number of rows and its last row's fields. A null row is a page's records that stand for no row."""
+
+    def of(side: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+        x = F.struct(*dict.fromkeys([s.index, *fields, *s.shared]))
+        return side.select(F.col(s.page).alias("page"), F.col(s.row).alias("row"), F.lit(name).alias("side"), x.alias(name), F.col(s.order).alias(f"{name}_order"))
+
+    both = of(left, "l", s.left_fields).unionByName(of(right, "r", s.right_fields), allowMissingColumns=True)
+    copies = [F.count_if(F.col("side") == n).alias(f"{n}_copies") for n in "lr"]
+    return both.groupBy("page", "row").agg(*copies, *[F.max_by(n, f"{n}_order").alias(n) for n in "lr"])
 
 
 def page_sides(left: DataFrame, right: DataFrame, s: Sides = Sides()) -> DataFrame:
@@ -55,34 +63,30 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
+def _one_sided(left: DataFrame, right: DataFrame, s: Sides) -> DataFrame:
+    """The pages that one side lacks altogether: a list that is sent to all tasks if it is short."""
+    pages = page_sides(left, right, s).where("in_left <> in_right").select(F.col("page").alias("_page"), F.lit(True).alias("_alone"))
+    found = pages.limit(BROADCAST_PAGES + 1).collect()
+    return F.broadcast(left.sparkSession.createDataFrame(found, pages.schema).coalesce(1)) if len(found) <= BROADCAST_PAGES else pages
+
+
 def reconcile(left: DataFrame, right: DataFrame, s: Sides = Sides()) -> DataFrame:
     """One record for each key of either side: page, row, the shared columns, pairing_verdict, pairing_reason, row_index_agreement, joiner_version, a struct of each side's fields
     (null where the side has no row), and how many copies of the key each side had.
 
     A key that a side holds more than once is unresolved, whatever the other side has. Null pages are one page. Row indexes are compared, null with null
-    agreeing, and never decide.
+    agreeing, and never decide. Which pages a side lacks is looked up at once, from the page columns alone.
     """
-    a, b = collapsed(left, s, s.left_fields).alias("a"), collapsed(right, s, s.right_fields).alias("b")
-    met = a.join(b, F.col("a.page").eqNullSafe(F.col("b.page")) & (F.col("a.row") == F.col("b.row")), "full_outer")
-    met = met.select(
-        F.when(F.col("a.row").isNotNull(), F.col("a.page")).otherwise(F.col("b.page")).alias("page"),
-        F.coalesce("a.row", "b.row").alias("row"),
-        F.coalesce("a.copies", F.lit(0)).cast("long").alias("l_copies"),
-        F.coalesce("b.copies", F.lit(0)).cast("long").alias("r_copies"),
-        F.col("a.x").alias("l"),
-        F.col("b.x").alias("r"),
-    )
-    # Only whether a page is there at all is asked of it, and pages are few against rows.
-    pages = page_sides(left, right, s).alias("p")
-    met = met.join(pages, met["page"].eqNullSafe(F.col("p.page")), "left").drop(F.col("p.page"))
+    met = keyed(left, right, s).where("row is not null")
+    met = met.join(_one_sided(left, right, s), F.col("page").eqNullSafe(F.col("_page")), "left")
     has_l, has_r = F.col("l_copies") > 0, F.col("r_copies") > 0
     twice = (F.col("l_copies") > 1) | (F.col("r_copies") > 1)
     left_only, right_only = f"UNPAIRED_{s.name['left']}_ONLY", f"UNPAIRED_{s.name['right']}_ONLY"
     verdict = (
         F.when(twice, "PAIRING_UNRESOLVED")
         .when(has_l & has_r, "PAIRED")
-        .when(has_l, F.when(F.col("in_right"), left_only).otherwise("PAGE_MISSING_ON_OTHER_SIDE"))
-        .otherwise(F.when(F.col("in_left"), right_only).otherwise("PAGE_MISSING_ON_OTHER_SIDE"))
+        .when(F.col("_alone"), "PAGE_MISSING_ON_OTHER_SIDE")
+        .otherwise(F.when(has_l, left_only).otherwise(right_only))
     )
     paired = F.col("pairing_verdict") == "PAIRED"
     li, ri = F.col("l")[s.index], F.col("r")[s.index]
@@ -120,30 +124,50 @@ def per_page_counts(records: DataFrame, page: str = "page") -> DataFrame:
     return records.groupBy(page).agg(*counts)
 
 
-def summary(records: DataFrame, left: DataFrame, right: DataFrame, s: Sides = Sides()) -> DataFrame:
-    """One row of counts: keys, page-level records, duplicated keys and pages of either side, pages of one side only, verdicts, index disagreements."""
+def summary(left: DataFrame, right: DataFrame, s: Sides = Sides()) -> DataFrame:
+    """One row of counts: keys, page-level records, duplicated keys and pages of either side, pages of one side only, verdicts, index disagreements.
+
+    Keys are counted page by page; a page tells which of its sides is there, so that its unpaired keys need nothing else to be judged.
+    """
     l, r = s.left, s.right
-    copies = {k: F.col(f"{k}_copies") for k in (l, r)}
-    counted = records.agg(
-        *[F.count_if(c > 0).alias(f"{k}_rows_indexed") for k, c in copies.items()],
-        *[F.count_if(c > 1).alias(f"duplicate_row_y_{k}") for k, c in copies.items()],
-        *[F.count_if(F.col("pairing_verdict") == v).alias(f"n_{v.lower()}") for v in VERDICTS],
-        F.count_if(F.col("row_index_agreement") == "DIFFER").alias("row_index_disagreements_among_paired"),
+    row, twice = F.col("row").isNotNull(), (F.col("l_copies") > 1) | (F.col("r_copies") > 1)
+    has = {n: row & (F.col(f"{n}_copies") > 0) for n in "lr"}
+    paired = has["l"] & has["r"] & ~twice
+    by_page = (
+        keyed(left, right, s)
+        .groupBy("page")
+        .agg(
+            *[(F.sum(f"{n}_copies") > 0).alias(f"in_{n}") for n in "lr"],
+            *[F.sum(F.when(~row, F.col(f"{n}_copies")).otherwise(0)).alias(f"level_{n}") for n in "lr"],
+            *[F.count_if(has[n]).alias(f"rows_{n}") for n in "lr"],
+            *[F.count_if(row & (F.col(f"{n}_copies") > 1)).alias(f"twice_{n}") for n in "lr"],
+            F.count_if(paired).alias("paired"),
+            F.count_if(row & twice).alias("unresolved"),
+            F.count_if(has["l"] & ~has["r"] & ~twice).alias("only_l"),
+            F.count_if(has["r"] & ~has["l"] & ~twice).alias("only_r"),
+            F.count_if(paired & ~F.col("l")[s.index].eqNullSafe(F.col("r")[s.index])).alias("differ"),
+        )
     )
-    skipped = left.select(F.lit(l).alias("k"), F.col(s.row).isNull().alias("skip")).unionByName(right.select(F.lit(r).alias("k"), F.col(s.row).isNull().alias("skip")))
-    skipped = skipped.agg(*[F.count_if(F.col("skip") & (F.col("k") == k)).alias(f"{k}_page_level_records_skipped") for k in (l, r)])
     # A list of pages leaves out what has no name.
     named = F.col("page").isNotNull() & (F.col("page").cast("string") != "")
-    only = {l: F.col("in_left") & ~F.col("in_right"), r: F.col("in_right") & ~F.col("in_left")}
-    pages = page_sides(left, right, s).agg(
-        F.count_if("in_left").alias(f"pages_{l}"),
-        F.count_if("in_right").alias(f"pages_{r}"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    both = F.col("in_l") & F.col("in_r")
+    return by_page.agg(
+        *[total(f"rows_{n}").alias(f"{k}_rows_indexed") for n, k in (("l", l), ("r", r))],
+        *[total(f"twice_{n}").alias(f"duplicate_row_y_{k}") for n, k in (("l", l), ("r", r))],
+        total("paired").alias("n_paired"),
+        total("unresolved").alias("n_pairing_unresolved"),
+        total(F.when(both, F.col("only_l"))).alias(f"n_unpaired_{l.lower()}_only"),
+        total(F.when(both, F.col("only_r"))).alias(f"n_unpaired_{r.lower()}_only"),
+        total(F.when(~both, F.col("only_l") + F.col("only_r"))).alias("n_page_missing_on_other_side"),
+        total("differ").alias("row_index_disagreements_among_paired"),
+        *[total(f"level_{n}").alias(f"{k}_page_level_records_skipped") for n, k in (("l", l), ("r", r))],
+        F.count_if("in_l").alias(f"pages_{l}"),
+        F.count_if("in_r").alias(f"pages_{r}"),
         F.count(F.lit(1)).alias("pages_either_side"),
-        *[F.count_if(c & named).alias(f"n_pages_only_{k}") for k, c in only.items()],
+        F.count_if(F.col("in_l") & ~F.col("in_r") & named).alias(f"n_pages_only_{l}"),
+        F.count_if(F.col("in_r") & ~F.col("in_l") & named).alias(f"n_pages_only_{r}"),
     )
-    # Three one-row tables side by side: each joins on a constant.
-    one = [t.withColumn("_one", F.lit(1)) for t in (counted, skipped, pages)]
-    return one[0].join(F.broadcast(one[1]), "_one").join(F.broadcast(one[2]), "_one").drop("_one")
 
 
 def pages_of_one_side(left: DataFrame, right: DataFrame, s: Sides = Sides()) -> DataFrame:
@@ -163,6 +187,7 @@ def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def last_of_each_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The row of highest order for each key; an order that ties leaves either."""
+    """The row of highest order for each key; of an order's ties the greatest other columns, as far as they have an order, so that the choice is the same on every run."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("x")).select(*key, "x.*")
+    ties = [c for c, kind in rows.dtypes if c in rest and c != order and "map<" not in kind and "variant" not in kind]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *ties)).alias("x")).select(*key, "x.*")

@@ -1,36 +1,76 @@
-"""Deterministic samples of ordered runs. Ranks are taken within a run or stratum; a filter on a rank lets Spark drop the rest before the shuffle."""
+"""Deterministic samples of ordered runs.
+
+A run's rows are numbered chunk by chunk: rows are ordered within a chunk of the order column, and one row a chunk says how many stand before it, so that no run is
+ordered by one task. Chunks are of CHUNK units of a number, or of as many seconds or days; an order of another kind (text) is one chunk a run. Ties are broken by the row's other columns in
+their order, so that only rows that are the same throughout are interchangeable; a null order stands first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+
+from ..functions.names import unused
+from .propagate import CHUNK
+
+
+def in_order(rows: DataFrame, order: str) -> list[Column]:
+    """What rows are ordered by: a column, then all others that have an order."""
+    return [F.col(order), *[F.col(f"`{c}`") for c, kind in rows.dtypes if c != order and "map<" not in kind and "variant" not in kind]]
+
 
+def chunk_of(rows: DataFrame, order: str, chunk: int = CHUNK) -> Column:
+    """The chunk of a row's order; chunks are in order as the rows are."""
+    kind = rows.schema[order].dataType
+    if isinstance(kind, NumericType):
+        return F.floor(F.col(order) / chunk).cast("long")
+    if isinstance(kind, DateType):
+        return F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / chunk)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.floor(F.col(order).cast("timestamp").cast("long") / chunk)
+    return F.lit(0).cast("long")
 
-def _ranked(rows: DataFrame, run: str, order: str) -> DataFrame:
-    whole = Window.partitionBy(run)
-    return rows.withColumn("_i", F.row_number().over(whole.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+
+def ranked(rows: DataFrame, run: str, order: str, chunk: int = CHUNK) -> tuple[DataFrame, str, str]:
+    """rows with each one's number in its run, from 0, and the run's number of rows, in columns whose names are returned with them. Null runs are one run."""
+    at, i, n, part, of, before = unused(rows, "_chunk", "_i", "_n", "_part", "_of", "_before")
+    cut = rows.withColumn(at, chunk_of(rows, order, chunk))
+    inside = cut.withColumn(i, F.row_number().over(Window.partitionBy(run, at).orderBy(*in_order(rows, order))) - 1)
+    sizes = cut.groupBy(F.col(run).alias(part), F.col(at).alias(of)).agg(F.count(F.lit(1)).alias(n))
+    along = Window.partitionBy(part).orderBy(of)
+    sums = sizes.select(part, of, F.coalesce(F.sum(n).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy(part)).alias(n))
+    met = inside.join(sums, inside[run].eqNullSafe(sums[part]) & inside[at].eqNullSafe(sums[of]))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(i) + F.col(before)).alias(i), n), i, n
 
 
 def first_middle_last(rows: DataFrame, run: str, order: str) -> DataFrame:
     """With position (first, middle, last): the three rows of each run, the middle at floor((n - 1) / 2) from 0; all rows of a run of fewer than three, the first and the last."""
-    r = _ranked(rows, run, order)
-    middle = F.floor((F.col("_n") - 1) / 2)
-    name = F.when(F.col("_i") == 0, "first").when(F.col("_i") == F.col("_n") - 1, "last").when((F.col("_n") >= 3) & (F.col("_i") == middle), "middle")
-    return r.withColumn("position", name).where("position is not null").drop("_i", "_n")
+    r, i, n = ranked(rows, run, order)
+    middle = F.floor((F.col(n) - 1) / 2)
+    name = F.when(F.col(i) == 0, "first").when(F.col(i) == F.col(n) - 1, "last").when((F.col(n) >= 3) & (F.col(i) == middle), "middle")
+    return r.withColumn("position", name).where("position is not null").drop(i, n)
 
 
 def at_fractions(rows: DataFrame, run: str, order: str, percents: tuple[int, ...] = (5, 22, 39, 56, 73, 90)) -> DataFrame:
     """The rows at the given percents of each run's length, half rounded up; positions that fall together give one row."""
-    r = _ranked(rows, run, order)
+    r, i, n = ranked(rows, run, order)
     # Whole numbers: floor((percent * (n - 1) + 50) / 100).
-    wanted = F.array(*[F.floor((F.lit(p) * (F.col("_n") - 1) + 50) / 100) for p in percents])
-    return r.where(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
+    wanted = F.array(*[F.floor((F.lit(p) * (F.col(n) - 1) + 50) / 100) for p in percents])
+    return r.where(F.array_contains(wanted, F.col(i).cast("long"))).drop(i, n)
 
 
 def every_kth(rows: DataFrame, run: str, order: str, k: int = 4, start: int = 0) -> DataFrame:
     """Every kth row of each run from the one at start on, counted from 0."""
-    i = F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1
-    return rows.withColumn("_i", i).where((F.col("_i") >= start) & ((F.col("_i") - start) % k == 0)).drop("_i")
+    r, i, n = ranked(rows, run, order)
+    return r.where((F.col(i) >= start) & ((F.col(i) - start) % k == 0)).drop(i, n)
+
+
+def low_middle_high_and_every_kth(rows: DataFrame, run: str, order: str, k: int = 4) -> DataFrame:
+    """With chosen_as (low, middle, high, interval): each run's first, middle and last row, and of the others every kth from the first on."""
+    r, i, n = ranked(rows, run, order)
+    name = F.when(F.col(i) == 0, "low").when(F.col(i) == F.col(n) - 1, "high").when(F.col(i) == F.floor((F.col(n) - 1) / 2), "middle").when(F.col(i) % k == 0, "interval")
+    return r.withColumn("chosen_as", name).where("chosen_as is not null").drop(i, n)
 
 
 def outward(rows: DataFrame, at: str, anchor: Column | int) -> DataFrame:
@@ -41,7 +81,10 @@ def outward(rows: DataFrame, at: str, anchor: Column | int) -> DataFrame:
 
 
 def seeded(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """The n rows of each stratum whose hashes of seed and key are lowest, with rank from 1: the same rows on every run, whatever the partitions. Ties go to the smaller key."""
-    order = Window.partitionBy(stratum).orderBy("_h", key)
-    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")))
-    return hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_h")
+    """The n rows of each stratum whose hashes of seed and key are lowest, with rank from 1: the same rows on every run, whatever the partitions. Ties go to the smaller key, then by the other columns.
+
+    The filter on the rank lets Spark drop the rest of a stratum before the shuffle.
+    """
+    (h,) = unused(rows, "_h")
+    hashed = rows.withColumn(h, F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")))
+    return hashed.withColumn("rank", F.row_number().over(Window.partitionBy(stratum).orderBy(h, *in_order(rows, key)))).where(F.col("rank") <= n).drop(h)

@@ -8,12 +8,16 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_sha256, domain_violations, sha256_of
+from ..functions.canonical import canonical_sha256, facts, sha256_of
+from ..functions.names import unused
+from .sets import same_members, same_order
 
 
 def sealed_hashes(documents: DataFrame, text: str = "text") -> DataFrame:
     """With raw_sha256, canonical_sha256 (null if malformed) and violations."""
-    return documents.withColumns({"raw_sha256": F.sha2(F.col(text).cast("binary"), 256), "canonical_sha256": canonical_sha256(F.col(text)), "violations": domain_violations(F.col(text))})
+    (f,) = unused(documents, "_facts")
+    read = documents.withColumn(f, facts(F.col(text)))
+    return read.withColumns({"raw_sha256": F.sha2(F.col(text).cast("binary"), 256), "canonical_sha256": F.sha2(F.col(f)["canonical"].cast("binary"), 256), "violations": F.col(f)["violations"]}).drop(f)
 
 
 def chain_breaks(links: DataFrame) -> DataFrame:
@@ -21,13 +25,13 @@ def chain_breaks(links: DataFrame) -> DataFrame:
 
     A payload that doesn't hash to its record is broken, and so is a link whose parent is no other link's re-derived hash.
     """
-    hashed = links.withColumn("_own", canonical_sha256(F.col("payload")))
-    parents = hashed.select(F.col("_own").alias("_parent")).distinct()
-    met = hashed.join(parents.withColumn("_there", F.lit(True)), hashed["parent"] == parents["_parent"], "left")
+    hashed = links.select("name", "recorded", "parent", canonical_sha256(F.col("payload")).alias("own"))
+    parents = hashed.select(F.col("own").alias("known")).where("known is not null").distinct()
+    met = hashed.join(parents, F.col("parent") == F.col("known"), "left")
     reason = (
-        F.when(F.col("_own").isNull(), "payload is no JSON")
-        .when(~F.col("_own").eqNullSafe(F.col("recorded")), "re-derived hash differs from the recorded one")
-        .when(F.col("parent").isNotNull() & F.col("_there").isNull(), "parent is not in the chain")
+        F.when(F.col("own").isNull(), "payload is no JSON")
+        .when(~F.col("own").eqNullSafe(F.col("recorded")), "re-derived hash differs from the recorded one")
+        .when(F.col("parent").isNotNull() & F.col("known").isNull(), "parent is not in the chain")
     )
     return met.withColumn("reason", reason).where("reason is not null").select("name", "reason")
 
@@ -42,6 +46,30 @@ def requirements(document: Column, required: list[str]) -> Column:
     return F.array_sort(F.concat(tell(F.array_except(wanted, names), "missing "), tell(F.array_except(names, wanted), "unexpected "), tell(bare, "no value_basis in ")))
 
 
+def declarations(document: Column, questions: list[str], outcomes: list[str]) -> Column:
+    """What a document's declarations lack: its questions' ids must be the given ones in their order, its outcomes the given ones in any; an empty array if nothing, both for a document that is none."""
+    ids = F.transform(F.from_json(F.get_json_object(document, "$.questions"), "array<struct<id:string>>"), lambda q: q["id"])
+    named = F.from_json(F.get_json_object(document, "$.outcomes"), "array<string>")
+    given = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    bad = F.array(
+        F.when(~F.coalesce(same_members(named, given(outcomes)), F.lit(False)), "outcomes are not the declared ones"),
+        F.when(~F.coalesce(same_order(ids, given(questions)), F.lit(False)), "questions are not the declared ones in their order"),
+    )
+    return F.filter(bad, lambda x: x.isNotNull())
+
+
+def unbound(documents: DataFrame, pins: DataFrame) -> DataFrame:
+    """(name, binds, pinned, reason) of bindings that don't hold. documents: name, text (JSON with an object bindings from names to hashes); pins: name, sha256, each name once.
+
+    A binding must name a pin and have its hash. A pin that a document lacks is no fault of it; documents without bindings have none.
+    """
+    bindings = F.from_json(F.get_json_object("text", "$.bindings"), "map<string,string>")
+    each = documents.select("name", F.explode(bindings).alias("pinned", "binds"))
+    met = each.join(pins.select(F.col("name").alias("pinned"), F.col("sha256").alias("pin")), "pinned", "left")
+    reason = F.when(F.col("pin").isNull(), "nothing is pinned under this name").when(~F.col("pin").eqNullSafe(F.col("binds")), "bound hash differs from the pinned one")
+    return met.withColumn("reason", reason).where("reason is not null").select("name", "binds", "pinned", "reason")
+
+
 def seal(spark, payload: dict, path: str, write: bool = False) -> dict:
     """The seal record of a payload; with write=True also written to path, which must not exist: a seal is never overwritten. The default writes nothing."""
     record = {"seal_payload": payload, "seal_hash": sha256_of(payload)}

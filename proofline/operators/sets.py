@@ -26,6 +26,11 @@ def same_members(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
+def same_order(a: Column, b: Column) -> Column:
+    """Whether two arrays are the same lists, member by member, null with null; null if either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x))
+
+
 def _bounds(present: DataFrame, number: str, first: int | None, last: int | None) -> tuple[int, int]:
     """first and last where given, else the least and the greatest number that is there; an empty range without any."""
     if first is None or last is None:

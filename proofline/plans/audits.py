@@ -41,16 +41,30 @@ def distinct_values(spark, sf_dir):
     return profile.distinct_values(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1", "pages_by_date_of_all")
 def pages_by_date(spark, sf_dir):
-    headers = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey")
-    return profile.pages_by_date(headers, "date", "o_orderkey")
+    return profile.pages_by_date(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey"), "date", "o_orderkey")
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1")
-def pages_by_date_of_all(spark, sf_dir):
-    """pages_by_date over all orders, not every fiftieth key alone."""
-    return profile.pages_by_date(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey"), "date", "o_orderkey")
+@query(
+    """
+    WITH n AS (SELECT user_id, event_type, count(*) AS votes FROM events WHERE value > 20 GROUP BY ALL), v AS (SELECT user_id, arg_max(event_type, ROW(votes, -ascii(event_type))) AS event_type FROM n GROUP BY user_id)
+    SELECT t.user_id, v.event_type, t.truth, CASE WHEN v.event_type IS NULL THEN 'NO CONSENSUS' WHEN v.event_type = t.truth THEN 'MATCH' ELSE 'DIFFERENT' END AS outcome
+    FROM (SELECT user_id, max(event_type) AS truth FROM events GROUP BY user_id) AS t LEFT JOIN v ON t.user_id = v.user_id"""
+)
+def page_truth(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    values = profile.page_value(events, "user_id", "event_type", F.col("value") > 20).where("event_type is not null")
+    return profile.page_truth(values, events.groupBy("user_id").agg(F.max("event_type").alias("truth")), "user_id", "event_type")
+
+
+@query(
+    """
+    SELECT *, round(done * 3600.0 / nullif(elapsed_s, 0), 3) AS per_hour, round(elapsed_s * greatest(1000000 - done, 0) / nullif(done, 0), 3) AS remaining_s
+    FROM (SELECT count(*) FILTER (value > 5) AS done, count(*) FILTER (value <= 5) AS failed, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS elapsed_s FROM events) AS x"""
+)
+def run_throughput(spark, sf_dir):
+    return profile.throughput(table(spark, sf_dir, "events").select("ts", (F.col("value") > 5).alias("ok")), "ts", "ok", 1_000_000)
 
 
 LOCATED_SQL = "SELECT d.doc_id, d.source, d.n_chars, m.median, d.n_chars < m.median * 0.8 AS is_candidate FROM documents AS d JOIN (SELECT source, median(n_chars) AS median FROM documents GROUP BY source) AS m ON d.source = m.source"
@@ -157,4 +171,29 @@ def bound_requirements(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", seal.requirements(F.get(docs, F.col("n_nationkey") % 3), ["B1", "B2"]).alias("lacks"))
 
 
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['questions are not the declared ones in their order'] ELSE ['outcomes are not the declared ones', 'questions are not the declared ones in their order'] END AS lacks FROM nation")
+def declared_questions(spark, sf_dir):
+    docs = F.array(
+        F.lit('{"questions": [{"id": "Q1"}, {"id": "Q2"}], "outcomes": ["B", "A"]}'),
+        F.lit('{"questions": [{"id": "Q2"}, {"id": "Q1"}], "outcomes": ["A", "B", "A"]}'),
+        F.lit('{"outcomes": ["A"]}'),
+    )
+    return table(spark, sf_dir, "nation").select("n_nationkey", seal.declarations(F.get(docs, F.col("n_nationkey") % 3), ["Q1", "Q2"], ["A", "B"]).alias("lacks"))
+
+
+@query(
+    """
+    SELECT o_orderkey::VARCHAR AS name, CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE sha256(n_name) END AS binds, CASE WHEN o_orderkey % 29 = 0 THEN 'nowhere' ELSE n_name END AS pinned,
+        CASE WHEN o_orderkey % 29 = 0 THEN 'nothing is pinned under this name' ELSE 'bound hash differs from the pinned one' END AS reason
+    FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 WHERE o_orderkey % 29 = 0 OR o_orderkey % 31 = 0"""
+)
+def unbound_documents(spark, sf_dir):
+    """A document for each order, bound to a nation; names and hashes are broken by key."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.sha2("n_name", 256).alias("sha256"))
+    k = F.col("o_orderkey")
+    named = table(spark, sf_dir, "orders").select(k, (k % 25).alias("n")).join(F.broadcast(nations), F.col("n") == F.col("n_nationkey"))
+    bound = F.create_map(F.when(k % 29 == 0, "nowhere").otherwise(F.col("n_name")), F.when(k % 31 == 0, "x").otherwise(F.col("sha256")))
+    return seal.unbound(named.select(k.cast("string").alias("name"), F.to_json(F.struct(bound.alias("bindings"))).alias("text")), nations.select(F.col("n_name").alias("name"), "sha256"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -71,7 +71,7 @@ def reconcile_rows(spark, sf_dir):
     FROM full_records"""
 )
 def reconcile_summary(spark, sf_dir):
-    return reconcile.summary(records(spark, sf_dir), *sides(spark, sf_dir), SIDES)
+    return reconcile.summary(*sides(spark, sf_dir), SIDES)
 
 
 @query(
@@ -109,41 +109,26 @@ def set_equality(spark, sf_dir):
     return sets.equal_sets(nations, table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), "k")
 
 
-@query("SELECT n AS number FROM generate_series(1, 2000) AS g(n) WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) ORDER BY n")
-def missing_numbers(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("number"))
-    return sets.missing_numbers(parts, "number", 1, 2000)
-
-
-@query(
-    """
-    SELECT min(n) AS first, max(n) AS last, count(*) AS n FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM generate_series(1, 2000) AS g(n) WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS x GROUP BY island"""
-)
-def missing_ranges(spark, sf_dir):
-    return sets.missing_ranges(table(spark, sf_dir, "part").where("p_size > 10"), "p_partkey", 1, 2000)
-
-
-def _all_parts(spark, sf_dir):
+def _parts(spark, sf_dir):
     """Part numbers that are there, and the least and the greatest of the whole table."""
     parts = table(spark, sf_dir, "part")
     ends = parts.agg(F.min("p_partkey"), F.max("p_partkey")).first()
     return parts.where("p_size > 10"), *((1, 0) if ends[0] is None else ends)
 
 
-@query("SELECT n AS number FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
-def missing_numbers_of_all(spark, sf_dir):
-    """missing_numbers over the whole table, not the numbers 1 to 2000 alone."""
-    parts, first, last = _all_parts(spark, sf_dir)
+@query("SELECT n AS number FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)", "missing_numbers_of_all")
+def missing_numbers(spark, sf_dir):
+    parts, first, last = _parts(spark, sf_dir)
     return sets.missing_numbers(parts.select(F.col("p_partkey").alias("number")), "number", first, last)
 
 
 @query(
     """
-    SELECT min(n) AS first, max(n) AS last, count(*) AS n FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS x GROUP BY island"""
+    SELECT min(n) AS first, max(n) AS last, count(*) AS n FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM (SELECT unnest(generate_series(min(p_partkey), max(p_partkey))) AS n FROM part) AS g WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS x GROUP BY island""",
+    "missing_ranges_of_all",
 )
-def missing_ranges_of_all(spark, sf_dir):
-    """missing_ranges over the whole table."""
-    parts, first, last = _all_parts(spark, sf_dir)
+def missing_ranges(spark, sf_dir):
+    parts, first, last = _parts(spark, sf_dir)
     return sets.missing_ranges(parts, "p_partkey", first, last)
 
 
@@ -154,6 +139,12 @@ def resume_todo(spark, sf_dir):
     return integrity.first_attempts(integrity.todo(orders, done, "o_orderkey"), "o_orderkey", 500)
 
 
+@query("SELECT o_orderkey, o_totalprice > 100000 AS ok FROM orders WHERE o_orderkey <= (SELECT max(k) FROM (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 300) AS x)")
+def attempts_to_successes(spark, sf_dir):
+    """Attempts in order up to the three hundredth that succeeded."""
+    return integrity.first_successes(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") > 100000).alias("ok")), "o_orderkey", 300)
+
+
 @query(
     """
     SELECT e.doc_id, e.quality, CASE WHEN g.quality IS NULL THEN 'NO ROW AT THIS KEY' WHEN g.quality = e.quality THEN 'MATCH' ELSE 'DIFFERENT' END AS outcome

@@ -107,6 +107,11 @@ def sample_every_kth(spark, sf_dir):
     return sampling.every_kth(customers(spark, sf_dir), "o_custkey", "o_orderkey")
 
 
+@query(f"SELECT * FROM (SELECT o_custkey, o_orderkey, CASE WHEN i = 0 THEN 'low' WHEN i = n - 1 THEN 'high' WHEN i = (n - 1) // 2 THEN 'middle' WHEN i % 4 = 0 THEN 'interval' END AS chosen_as FROM ({RANKED_SQL}) AS r) AS s WHERE chosen_as IS NOT NULL")
+def sample_low_middle_high(spark, sf_dir):
+    return sampling.low_middle_high_and_every_kth(customers(spark, sf_dir), "o_custkey", "o_orderkey")
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey = 100 THEN 0 WHEN p_partkey < 100 THEN 2 * (100 - p_partkey) - 1 ELSE 2 * (p_partkey - 100) END AS step FROM part ORDER BY step")
 def order_outward(spark, sf_dir):
     return sampling.outward(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 100).orderBy("step")

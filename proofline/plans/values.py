@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_sha256, domain_violations, is_deterministic
+from ..functions.canonical import domain_violations, facts
 from ..functions.consensus import consensus
 from ..functions.eligibility import DEC_WINDOW, eligibility, in_date_window, in_dec_window, in_frequency_window
 from ..functions.epoch import E_TERMS, MATRIX, b1950_to_j2000
@@ -293,7 +293,7 @@ def rescaled_rectangles(spark, sf_dir):
 def canonical_hash(spark, sf_dir):
     """props are objects of one integer: their canonical form is the text without spaces."""
     props = F.col("props")
-    return table(spark, sf_dir, "events").select("event_id", canonical_sha256(props).alias("canonical_sha256"), is_deterministic(props).alias("deterministic"), F.size(domain_violations(props)).alias("n_violations"))
+    return table(spark, sf_dir, "events").select("event_id", facts(props).alias("f")).select("event_id", F.sha2(F.col("f.canonical").cast("binary"), 256).alias("canonical_sha256"), "f.deterministic", F.size("f.violations").alias("n_violations"))
 
 
 @query(

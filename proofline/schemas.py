@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Closed vocabularies.
 EXTRACTOR_STATES = ["TRANSCRIBED", "MANUAL_REVIEW_REQUIRED", "UNREADABLE"]
 PAGE_STATES = ["SOURCE_INPUT_INVALID", "RA_COLUMN_UNRESOLVED"]
@@ -38,8 +35,3 @@ RUNS = "run string, folder string, first int, last int"
 #: What a joined record carries of each side.
 SIDE_FIELDS = ["row_index", "extractor", "extractor_sha256", "gate_sha256", "extractor_state", "extractor_value", "gate_state", "gate_reason", "local_sha256", "byte_integrity", "source_authenticity"]
 RA_FIELDS = [*SIDE_FIELDS, "ra_column"]
-
-
-def outside(column: Column, domain: list[str]) -> Column:
-    """True for values that a closed vocabulary lacks; null is no value and passes."""
-    return F.coalesce(~column.isin(domain), F.lit(False))

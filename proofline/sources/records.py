@@ -36,12 +36,14 @@ def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy(F.element_at("t", 2).alias("name")).agg(F.max_by(F.element_at("t", 1), F.struct("file", "line_no")).alias("sha1"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, order: str = "line_no") -> DataFrame:
-    """Records of JSON Lines with a number that tells which line came later. Blank lines are passed over, keys that are missing are null, a malformed line raises.
+def json_lines(spark: SparkSession, path: str | list[str], schema: str, order: str = "line_no") -> DataFrame:
+    """Records of JSON Lines with a struct that tells which line came later. Blank lines are passed over, keys that are missing are null, a malformed line raises.
 
-    The number follows file and place, not arrival: monotonically_increasing_id over a scan keeps the order of lines within a file's splits.
+    The struct is (file's path, where its split begins, place in the split), so that lines are in order by path and then by place, however the files' splits are dealt out to tasks.
     """
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn(order, F.monotonically_increasing_id())
+    read = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    return read.select("*", place.alias(order))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

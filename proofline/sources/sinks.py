@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,14 @@ def write_joined(ordered: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("errorifexists").json(f"{path}/summary")
 
 
+def progress_metrics() -> list[Column]:
+    """How many rows pass, and how many of them failed (ok is false; null is no failure)."""
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(F.col("ok"), F.lit(True))).alias("failed")]
+
+
 def observed(rows: DataFrame, name: str = "progress") -> DataFrame:
-    """rows with metrics that a query listener gets: how many rows passed, and how many of them failed."""
-    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(F.col("ok"), F.lit(True))).alias("failed"))
+    """rows with progress_metrics() under a name, by which a query listener gets them while a stream runs. What time is left is told by profile.throughput from the attempts' times."""
+    return rows.observe(name, *progress_metrics())
 
 
 def extractor_json(rows: DataFrame, page: str = "page", fields: tuple[str, ...] = ("row_y", "raw_reads", "normalised", "state", "value")) -> DataFrame:

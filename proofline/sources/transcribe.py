@@ -53,36 +53,42 @@ def bands_of(spark: SparkSession, path: str, columns: DataFrame, from_y: int | N
 
 
 def read_bands_of(spark: SparkSession, path: str, columns: DataFrame, bands: DataFrame, engine: Engine, variants=tuple(VARIANTS)) -> DataFrame:
-    """(page, row_y, raw_reads): what the engine reads in each band, once for each variant, white space trimmed. A page's bands are no more than fit on it."""
+    """(page, row_y, raw_reads, failure, detail): what the engine reads in each band, once for each variant, white space trimmed. A page's bands are no more than fit on it.
+
+    A page on which the engine raises has one row without reads, whose failure is EXTRACTION and whose detail tells the error; the others go on.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 dark = _dark(_grey(r.height, r.width, r.channels, r.data), r.lo, r.hi)
                 rows = []
-                for y0, y1 in ((b["start"], b["end"]) for b in r.bands):
-                    part = dark[max(0, y0 - PADDING) : y1 + PADDING]
-                    rows.append((r.page, [int(y0), int(y1)], [engine(np.where(part > v[2], 0, 255).astype(np.uint8), v) for v in variants]))
-                yield pd.DataFrame(rows, columns=["page", "row_y", "raw_reads"])
+                try:
+                    for y0, y1 in ((b["start"], b["end"]) for b in r.bands):
+                        part = dark[max(0, y0 - PADDING) : y1 + PADDING]
+                        rows.append((r.page, [int(y0), int(y1)], [engine(np.where(part > v[2], 0, 255).astype(np.uint8), v) for v in variants], None, None))
+                except Exception as e:  # whatever an engine raises is this page's failure, not the job's
+                    rows = [(r.page, None, None, "EXTRACTION", f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["page", "row_y", "raw_reads", "failure", "detail"])
 
     gathered = bands.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("bands"))
     todo = images(spark, path).join(columns.select("page", "lo", "hi"), "page").join(gathered, "page")
-    read = todo.mapInPandas(run, "page string, row_y array<int>, raw_reads array<string>")
+    read = todo.mapInPandas(run, "page string, row_y array<int>, raw_reads array<string>, failure string, detail string")
     return read.withColumn("raw_reads", F.transform("raw_reads", clean_read))
 
 
 def transcribe_ra(spark: SparkSession, path: str, engine: Engine) -> DataFrame:
-    """(page, page_state, ra_column, row_y, raw_reads): a row for each band below the header of each page, and a page-level one (row_y null) for pages with a page_state. A page without bands has no row."""
+    """(page, page_state, ra_column, row_y, raw_reads, failure, detail): a row for each band below the header of each page, and a page-level one (row_y null) for pages with a page_state. A page without bands has no row."""
     columns = columns_of(spark, path)
     read = read_bands_of(spark, path, columns, bands_of(spark, path, columns, from_y=segments.HEADER_Y), engine)
     place = F.array("lo", "hi").alias("ra_column")
-    rows = read.join(columns, "page").select("page", "page_state", place, "row_y", "raw_reads")
+    rows = read.join(columns, "page").select("page", "page_state", place, "row_y", "raw_reads", "failure", "detail")
     states = columns.where("page_state is not null").select("page", "page_state")
     return rows.unionByName(states, allowMissingColumns=True)
 
 
 def transcribe_dec(spark: SparkSession, path: str, engine: Engine) -> DataFrame:
-    """(page, row_y, raw_reads): a row for each band of each image in the fixed declination columns, the header's too. Images of any size are read, others that can't be decoded have none."""
+    """(page, row_y, raw_reads, failure, detail): a row for each band of each image in the fixed declination columns, the header's too. Images of any size are read, others that can't be decoded have none."""
     columns = images(spark, path).select("page", F.lit(DEC_COLUMN[0]).alias("lo"), F.lit(DEC_COLUMN[1]).alias("hi"))
     return read_bands_of(spark, path, columns, bands_of(spark, path, columns), engine)
 

@@ -68,7 +68,7 @@ def test_sides_are_null_where_absent(spark):
 def test_summary_and_order(spark):
     left, right = side(spark, D, rows(100, page="p2")), side(spark, rows(140, 100, 120), [("p3", None, None, None, "R", 0), (None, None, None, None, "R", 0)])
     records = R.reconcile(left, right, SIDES)
-    s = R.summary(records, left, right, SIDES).first().asDict()
+    s = R.summary(left, right, SIDES).first().asDict()
     assert (s["dec_rows_indexed"], s["ra_rows_indexed"], s["ra_page_level_records_skipped"], s["dec_page_level_records_skipped"]) == (4, 3, 2, 0)
     assert (s["pages_dec"], s["pages_ra"], s["pages_either_side"], s["n_pages_only_dec"], s["n_pages_only_ra"]) == (2, 3, 4, 1, 1)
     assert (s["n_paired"], s["n_page_missing_on_other_side"], s["row_index_disagreements_among_paired"]) == (3, 1, 3)
@@ -82,3 +82,23 @@ def test_row_order_of_input_is_nothing(spark):
     left = side(spark, D, rows(100, page="p2"))
     b = R.reconcile(left.orderBy("line_no", ascending=False), side(spark, rows(100, 140)).repartition(3), SIDES)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_rows_are_shuffled_once(spark, sf_dir):
+    """Both sides are gathered by the key in one exchange; the pages that one side lacks are broadcast."""
+    from proofline.plans import reconciliation
+
+    plan = reconciliation.QUERIES["reconcile_rows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_many_pages_of_one_side(spark, monkeypatch):
+    left, right = [D, rows(100, page="p2"), rows(100, page=None)], [D]
+    wanted = counts(spark, left, right)[0]
+    monkeypatch.setattr(R, "BROADCAST_PAGES", 0)
+    assert counts(spark, left, right)[0] == wanted == {"PAIRED": 3, "PAGE_MISSING_ON_OTHER_SIDE": 2}
+
+
+def test_last_of_ties_is_the_same_on_every_run(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (1, 4, "z")], "k int, n int, v string")
+    assert {R.last_of_each_key(df.repartition(n), ["k"], "n").first()["v"] for n in (1, 3, 4)} == {"c"}
