@@ -1,11 +1,13 @@
 """Exact top-k inner products by KD-trees, one for each shard of the vectors.
 
-A shard is a bounded number of vectors that a task has read. Its tree splits at medians of the dimension that is widest, down to small
-leaves, and keeps a tight box for every node. A query goes through the nodes best first: no vector in a box scores above
-sum(max(q * low, q * high)), so that the search ends when the best box left can't reach the kth best score. That score is carried on:
+A shard is a bounded number of vectors that a task has read. Its tree looks at them along the shard's principal axes, splits at medians of the axis that is widest, down to small
+leaves, and keeps a tight box and a ball for every node. A query goes through the nodes best first: no vector in a box scores above
+sum(max(q * low, q * high)), and none in a ball above q * centre + |q| * radius; the lesser holds, so that the search ends when the best node left can't reach the kth best score. That score is carried on:
 from shard to shard within a task, and into every task as the kth best that the query has among the other queries of its block.
 
-Queries are sent in blocks of bounded size, each against all rows; tasks return no more than k rows a query, of which the best k are kept.
+What is saved depends on the vectors. Where they lie near a few directions most leaves are never looked at; where they point anywhere in many dimensions no bound can rule a leaf out, and
+the exact search is one of all rows. Queries are sent in blocks of bounded size, each against all rows: a block is so large that its arithmetic, not the reading, takes the time.
+Tasks return no more than k rows a query, of which the best k are kept.
 Components are integers held as 64-bit floats; where a score might not be exact as such, it is computed in Python's integers.
 """
 
@@ -25,7 +27,9 @@ from .common import settle
 
 SHARD_ROWS, LEAF_ROWS = 16_384, 128
 #: Queries of a block, and the bytes of their vectors, at most.
-BLOCK_ROWS, BLOCK_BYTES = 4_096, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 32_768, 16 << 20
+#: Bounds are computed along rotated axes, with rounding errors below this share of the lengths that go into them.
+SLACK = 1e-9
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -36,19 +40,34 @@ class KdTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
+        self.centre: list[np.ndarray] = []
+        self.radius: list[float] = []
         self.children: list[tuple[int, int] | None] = []
         self.spans: list[tuple[int, int]] = []
+        self.widest = float(np.abs(rows).max(initial=0.0))
+        self.axes = self._axes(rows)
         order = np.arange(len(ids))
-        self._build(rows, order, 0, len(ids), leaf_rows)
+        self._build(rows @ self.axes, order, 0, len(ids), leaf_rows)
         self.ids, self.rows = ids[order], rows[order]
-        self.low, self.high = np.array(self.low), np.array(self.high)
-        self.widest = float(np.abs(rows).max(initial=0.0))
+        self.low, self.high, self.centre, self.radius = np.array(self.low), np.array(self.high), np.array(self.centre), np.array(self.radius)
+        self.longest = float(np.sqrt((rows**2).sum(1).max(initial=0.0))) if self.widest < 1e100 else np.inf
+
+    def _axes(self, rows: np.ndarray) -> np.ndarray:
+        """The principal axes as columns; the given ones where there are none or numbers are too large to tell."""
+        n = rows.shape[1]
+        if n < 2 or len(rows) < 2 or self.widest >= 1e100:
+            return np.eye(n)
+        centred = (rows - rows.mean(0)) / max(self.widest, 1.0)
+        return np.linalg.eigh(centred.T @ centred)[1]
 
     def _build(self, rows: np.ndarray, order: np.ndarray, start: int, end: int, leaf_rows: int) -> int:
         own = rows[order[start:end]]
         node = len(self.spans)
         self.low.append(own.min(0))
         self.high.append(own.max(0))
+        self.centre.append(own.mean(0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.radius.append(float(np.sqrt(((own - self.centre[node]) ** 2).sum(1).max())))
         self.spans.append((start, end))
         self.children.append(None)
         wide = self.high[node] - self.low[node]
@@ -60,8 +79,13 @@ class KdTree:
         return node
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and node, the most that a vector in the node's box can score."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """For each query and node, the most that a vector in the node can score."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            turned, lengths = queries @ self.axes, np.sqrt((queries**2).sum(1))[:, None]
+            box = np.maximum(turned, 0) @ self.high.T + np.minimum(turned, 0) @ self.low.T
+            ball = turned @ self.centre.T + lengths * self.radius
+            # fmin passes over what isn't a number; where neither is one, nothing is ruled out.
+            return np.nan_to_num(np.fmin(box, ball), nan=np.inf, posinf=np.inf) + SLACK * (lengths * self.longest + 1)
 
     def search(self, query: np.ndarray, own: int, bounds: np.ndarray, found: Nearest) -> None:
         """Adds what the tree holds to found. own: the id that takes no part."""
@@ -82,6 +106,7 @@ class KdTree:
                         heappush(queue, (-bounds[child], child))
                 continue
             start, end = self.spans[node]
+            found.leaves += 1
             scores = self.rows[start:end] @ query
             for at in np.flatnonzero(scores >= found.least).tolist():
                 if self.ids[start + at] != own:
@@ -93,6 +118,7 @@ class Nearest:
 
     def __init__(self, k: int, floor: float = -np.inf):
         self.k, self.heap, self.least = k, [], floor
+        self.leaves = 0  # how many were looked at
 
     def add(self, score: int, vec_id: int) -> None:
         if score < self.least:

@@ -75,3 +75,29 @@ def test_bounds_hold():
         scores = queries @ tree.rows[a:b].T
         assert (scores.max(1) <= bounds[:, node]).all()
     assert sorted(tree.ids.tolist()) == list(range(700)) and max(b - a for (a, b), c in zip(tree.spans, tree.children) if c is None) <= 20
+
+
+def leaves_seen(rows, queries):
+    """The share of a tree's leaves that searches for ten look at, which find what a search of all rows does."""
+    tree, seen = kdtree.KdTree(np.arange(len(rows)), rows), 0
+    bounds = tree.bounds(queries)
+    for q, b in zip(queries, bounds):
+        found = kdtree.Nearest(10)
+        tree.search(q, -1, b, found)
+        assert sorted(((s, -v) for s, v in found.heap), key=lambda x: (-x[0], x[1])) == sorted(((int(x), i) for i, x in enumerate(rows @ q)), key=lambda x: (-x[0], x[1]))[:10]
+        seen += found.leaves
+    return seen / len(queries) / sum(c is None for c in tree.children)
+
+
+def test_leaves_that_are_never_looked_at():
+    """Vectors near a few directions of many dimensions let most leaves be passed over; vectors that point anywhere don't."""
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    flat = np.floor(1024 * ((rng.normal(size=(16_384, 64)) * np.array([1.0] * 4 + [0.01] * 60)) @ turn))
+    centres = rng.normal(size=(64, 64)) * 3
+    heaps = np.floor(1024 * (centres[rng.integers(0, 64, 16_384)] + rng.normal(size=(16_384, 64)) * 0.05))
+    anywhere = rng.normal(size=(4096, 64))
+    anywhere = np.floor(1024 * anywhere / np.linalg.norm(anywhere, axis=1)[:, None])
+    shares = {name: leaves_seen(rows, rows[:60]) for name, rows in (("flat", flat), ("heaps", heaps), ("anywhere", anywhere))}
+    print(shares)
+    assert shares["flat"] < 0.2 and shares["heaps"] < 0.1
