@@ -50,7 +50,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and rereads it: the lineage ends there, and the loss of an executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of tables that settle() wrote and nothing will read again; other tables are left as they are."""
+    for table in tables:
+        if path := getattr(table, "settled_at", None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cuts, settle
+from .common import LOWER, UPPER, cuts, discard, settle
 
 PAIRS_UP_TO = 32
 #: A worker forgets its words' hashes beyond so many.
@@ -211,7 +211,7 @@ def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of links (a, b). Rounds take the smallest label among neighbours, then the label's label, until none changes; each ends in a written table."""
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    now = kept = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     moved = True
     while moved:
         near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("m"))
@@ -219,7 +219,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = now.select(F.col("node").alias("to"), F.col("label").alias("next"))
         after = settle(step.join(jump, "to").select("node", F.least("to", "next").alias("label"), "was"))
         moved = after.where("label <> was").limit(1).count() > 0
-        now = after.select("node", "label")
+        discard(kept)
+        now, kept = after.select("node", "label"), after
+    discard(both)
     return now
 
 
