@@ -45,6 +45,11 @@ def todo(population: DataFrame, done: DataFrame, page: str = "page") -> DataFram
     return population.join(done.select(page), page, "left_anti")
 
 
+def done_in_order(done: DataFrame, page: str = "page") -> DataFrame:
+    """The pages that are done, each once, in order; null is no page."""
+    return done.select(page).where(F.col(page).isNotNull()).distinct().orderBy(page)
+
+
 def first_attempts(pages: DataFrame, position: str, n: int) -> DataFrame:
     """The first n pages to be attempted, by position."""
     return pages.orderBy(position).limit(n)

@@ -139,6 +139,11 @@ def resume_todo(spark, sf_dir):
     return integrity.first_attempts(integrity.todo(orders, done, "o_orderkey"), "o_orderkey", 500)
 
 
+@query("SELECT DISTINCT l_orderkey AS page FROM lineitem WHERE l_returnflag = 'N' ORDER BY page")
+def done_in_order(spark, sf_dir):
+    return integrity.done_in_order(table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("page")))
+
+
 @query("SELECT o_orderkey, o_totalprice > 100000 AS ok FROM orders WHERE o_orderkey <= (SELECT max(k) FROM (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 300) AS x)")
 def attempts_to_successes(spark, sf_dir):
     """Attempts in order up to the three hundredth that succeeded."""
