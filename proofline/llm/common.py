@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
+__all__ = ["LOWER", "UPPER", "WORD_GAP", "Memo", "ascii_lower", "cuts", "discard", "fold", "labelled", "labelled_sample", "settle", "shared_dir", "shared_root", "unused", "words"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What separates words: every ASCII character that is neither a digit nor a lower-case letter (after ascii_lower).
@@ -64,12 +68,6 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Names for further columns of df that it has none of, made from those given."""
-    taken = {c.lower() for c in df.columns}
-    return [next(n + "_" * k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
-
-
 def cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """(start, end) of runs whose sizes sum to most or just beyond."""
     lo = held = 0

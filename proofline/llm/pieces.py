@@ -35,8 +35,8 @@ from .common import Memo, cuts
 MARK = "▁"
 #: A worker remembers the ids of so many segments, and of as many older ones. Longer segments are searched each time.
 CACHE, CACHED_CHARS = 150_000, 64
-#: Boundaries that a search in lanes holds, those of the longest piece and of what isn't committed; where that doesn't do, the segment is searched by itself. Fewer segments than LANES are, too.
-RING, LANES = 128, 16
+#: Boundaries that a search in lanes holds, those of the longest piece and of what isn't committed; where that doesn't do, the segment is searched by itself. Fewer segments than LANES are, too; AT_ONCE go together.
+RING, LANES, AT_ONCE = 128, 16, 1 << 13
 #: A task encodes so many characters at a time, and gives out rows once it has encoded as many.
 BATCH_CHARS = 1 << 20
 #: What a fallback to bytes costs less than the worst piece.
@@ -338,8 +338,8 @@ class Codec:
         """Short segments are searched in lanes if they are many, all others one by one."""
         short = [x for x in segments if len(x) <= CACHED_CHARS + 1]
         found: dict[str, bytes | None] = {}
-        for lo in range(0, len(short) if len(short) >= LANES else 0, 1 << 14):
-            some = short[lo : lo + (1 << 14)]
+        for lo in range(0, len(short) if len(short) >= LANES else 0, AT_ONCE):
+            some = short[lo : lo + AT_ONCE]
             found.update(zip(some, self.lanes(some)))
         return [self._search(x) if (ids := found.get(x)) is None else ids for x in segments]
 
