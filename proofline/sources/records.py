@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_stem, source_url, tokens
@@ -24,16 +24,15 @@ def population(runs: DataFrame, base_url: str | None = None) -> DataFrame:
     return pages if base_url is None else pages.withColumn("source_url", source_url(base_url, F.col("folder"), F.col("page")))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): the lines of text files, numbered from 0 in each file, blank ones included. A file is read by one task, as only its order tells its lines' numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("_all"))
-    return whole.select("file", F.posexplode(F.split("_all", "\r?\n")).alias("line_no", "value"))
+def _line_order() -> Column:
+    """(file's path, where its split begins, place in the split): lines are in order by path and then by place, however the files' splits are dealt out to tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
 
 
-def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha1): lines of two words, checksum and name; any other line is passed over, and of a name's lines the last one counts."""
-    parts = numbered_lines(spark, path).select("file", "line_no", tokens(F.col("value")).alias("t")).where(F.size("t") == 2)
-    return parts.groupBy(F.element_at("t", 2).alias("name")).agg(F.max_by(F.element_at("t", 1), F.struct("file", "line_no")).alias("sha1"))
+def checksum_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(name, sha1): lines of two words, checksum and name; any other line is passed over, and of a name's lines the last one counts, by path and place. Files of any length are read in splits."""
+    lines = spark.read.text(path).select(tokens(F.col("value")).alias("t"), _line_order().alias("order")).where(F.size("t") == 2)
+    return lines.groupBy(F.element_at("t", 2).alias("name")).agg(F.max_by(F.element_at("t", 1), "order").alias("sha1"))
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str, order: str = "line_no") -> DataFrame:
@@ -42,8 +41,7 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, order: s
     The struct is (file's path, where its split begins, place in the split), so that lines are in order by path and then by place, however the files' splits are dealt out to tasks.
     """
     read = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
-    return read.select("*", place.alias(order))
+    return read.select("*", _line_order().alias(order))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

@@ -213,3 +213,23 @@ def test_successes_and_progress(spark):
     assert [integrity.first_successes(df, "i", n).count() for n in (0, 1, 2, 4, 9)] == [0, 1, 4, 10, 12]
     empty = profile.throughput(spark.createDataFrame([], "t timestamp, ok boolean"), "t", "ok", 5).first()
     assert tuple(empty) == (0, 0, None, None, None)
+
+
+def test_operators_on_empty_tables(spark):
+    df = spark.createDataFrame([], "id int, g int, n int, m boolean, v int, name string, content binary")
+    ranges = spark.createDataFrame([], "g int, first int, last int")
+    for made in (
+        propagate.forward_fill(df, "g", "n", F.col("m"), "v"), propagate.run_segments(df, "g", "n", F.col("m")), propagate.range_join(df, ranges, "g", "n"), sampling.first_middle_last(df, "g", "n"), sampling.at_fractions(df, "g", "n"),
+        sampling.every_kth(df, "g", "n"), sampling.low_middle_high_and_every_kth(df, "g", "n"), sampling.seeded(df, "g", "id", 2, 1), profile.size_locator(df, "g", "v"), profile.cadence(df, "g", "n", "v"), profile.golden_compare(df, df, ["id"], ["v"], "n"),
+        integrity.verified_pages(df, df.select("name", F.lit("a").alias("sha1"))), integrity.done_in_order(df, "id"), integrity.first_successes(df, "n", 3, "m"), seal.unbound(df.select("name", F.lit("{}").alias("text")), df.select("name", F.lit("a").alias("sha256"))),
+    ):
+        assert made.count() == 0
+
+
+def test_nulls_in_any_column(spark):
+    df = spark.createDataFrame([(1, None, 1, True, 5), (2, None, None, True, 6), (3, 1, 2, None, None), (4, 1, 3, True, None), (5, 1, 4, False, 7), (None, None, 2, False, 8)], "id int, g int, n int, m boolean, v int")
+    filled = {r["id"]: (r["filled"], r["origin"], r["source"]) for r in propagate.forward_fill(df, "g", "n", F.col("m"), "v").collect()}
+    assert filled == {1: (5, "READ_DIRECTLY", 1), 2: (None, None, None), 3: (None, None, None), 4: (None, "READ_DIRECTLY", 3), 5: (None, "DERIVED", 3), None: (5, "DERIVED", 1)}
+    assert {r["id"]: r["run"] for r in propagate.run_segments(df, "g", "n", F.col("m")).collect()} == {1: 1, 2: None, 3: 0, 4: 1, 5: 1, None: 1}
+    assert {r["id"]: r["step"] for r in profile.cadence(df, "g", "n", "v").collect()} == {2: None, 1: -1, None: 3, 3: None, 4: None, 5: None}
+    assert sampling.every_kth(df, "g", "n", 1).count() == 6 and integrity.done_in_order(df, "g").count() == 1
