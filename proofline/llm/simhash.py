@@ -32,7 +32,7 @@ CACHE = 200_000
 #: A wide fingerprint's parts as (words of a shingle, 64-bit numbers): blocks to find candidates by, two of 32 bits in each number, and the sketch that verifies them.
 BLOCKS, SKETCH = (2, 24), (5, 16)
 #: In crowded blocks each member is compared with so many of its most connected members.
-HUBS = 8
+HUBS = 4
 
 
 def bits_apart(similarity: float, bits: int = 64 * SKETCH[1]) -> int:
