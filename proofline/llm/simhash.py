@@ -31,14 +31,14 @@ PAIRS_UP_TO = 32
 CACHE = 200_000
 #: A wide fingerprint's parts as (words of a shingle, 64-bit numbers): blocks to find candidates by, two of 32 bits in each number, and the sketch that verifies them.
 BLOCKS, SKETCH = (2, 24), (5, 16)
-#: In crowded blocks each member is compared with so many of its most connected members.
-HUBS = 4
+#: In blocks with more than CROWDED members each is compared with HUBS of them, those in most company.
+CROWDED, HUBS = 8, 4
 
 
-def bits_apart(similarity: float, bits: int = 64 * SKETCH[1]) -> int:
-    """In how many bits fingerprints of shingle sets of this Jaccard similarity differ: by the angle between such sets, and half a standard deviation more."""
+def bits_apart(similarity: float, bits: int = 64 * SKETCH[1], deviations: float = 0.5) -> int:
+    """In how many bits fingerprints of shingle sets of this Jaccard similarity differ: by the angle between such sets, and some standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -174,27 +174,32 @@ def wide_fingerprint_column(text: Column) -> Column:
     return wide(text)
 
 
-def similar_pairs(classes: DataFrame, distance: int, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches differ in at most distance bits, among those that share a block.
+def similar_pairs(classes: DataFrame, similarity: float, pairs_up_to: int = CROWDED) -> DataFrame:
+    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches show the similarity, among those that share a block.
 
-    In a block with more than pairs_up_to members each is compared with the HUBS members that are in most company, which of copies of one text is the text that they were made from:
+    The sketch's first 64 bits travel with each block, and tell apart nearly all that share one by chance (one in a hundred thousand that should pass differs in more of them); only the rest is
+    compared by whole sketches. In a block with more than pairs_up_to members each is compared with the HUBS members that are in most company, which of copies of one text is the text that they were made from:
     what is compared grows with the members, not with their square.
     """
-    low = F.lit((1 << 32) - 1)
+    first, low = bits_apart(similarity, 64, 4.5), F.lit((1 << 32) - 1)
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= first
     blocks = F.flatten(F.transform(F.slice("fp", 1, BLOCKS[1]), lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(low))))
-    keyed = classes.select("node", F.posexplode(blocks).alias("i", "v"))
+    keyed = classes.select("node", F.get("fp", F.lit(BLOCKS[1])).alias("s"), F.posexplode(blocks).alias("i", "v"))
     sizes = keyed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(keyed.join(sizes, ["i", "v"]))
-    few = members.where(F.col("n") <= pairs_up_to).groupBy("i", "v").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    near = few.select(F.posexplode("m").alias("at", "a"), "m").select("a", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("b"))
+    few = members.where(F.col("n") <= pairs_up_to).groupBy("i", "v").agg(F.array_sort(F.collect_list(F.struct("node", "s"))).alias("m"))
+    near = few.select(F.posexplode("m").alias("at", "x"), "m")
+    near = near.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("m", F.col("at") + 2, F.size("m")), lambda y: close(F.col("x")["s"], y["s"]))["node"]).alias("b"))
     many = members.where(F.col("n") > pairs_up_to)
     company = many.groupBy("node").agg(F.sum("n").alias("company"))
-    hubs = many.join(company, "node").groupBy("i", "v", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max(F.struct("company", (-F.col("node")).alias("x"))).alias("top")).select("i", "v", (-F.col("top.x")).alias("hub"))
-    far = many.join(hubs, ["i", "v"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    top = F.max(F.struct("company", (-F.col("node")).alias("x"), "s"))
+    hubs = many.join(company, "node").groupBy("i", "v", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(top.alias("top")).select("i", "v", (-F.col("top.x")).alias("hub"), F.col("top.s").alias("hub_s"))
+    far = many.join(hubs, ["i", "v"]).where((F.col("node") != F.col("hub")) & close(F.col("s"), F.col("hub_s"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = near.unionByName(far).distinct()
     sketch = classes.select("node", F.slice("fp", BLOCKS[1] + 1, SKETCH[1]).alias("s"))
     both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= distance).select("a", "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(apart <= bits_apart(similarity)).select("a", "b")
 
 
 def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -203,7 +208,7 @@ def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
     Keys may be of any type with an order. Rows of one fingerprint, as copies and all texts without words have, are one row here, so that a large group of copies costs no more than a small one.
     """
     classes = settle(each.groupBy("fp").agg(F.min("key").alias("key")).select("key", "fp", F.monotonically_increasing_id().alias("node")))
-    label = components(similar_pairs(classes, bits_apart(similarity)))
+    label = components(similar_pairs(classes, similarity))
     named = classes.select("key", F.col("node").alias("_node")).join(label, F.col("_node") == F.col("node"), "left")
     return named.select("key", F.coalesce("label", "_node").alias("component"))
 
