@@ -214,20 +214,32 @@ def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for each node of links (a, b). Rounds take the smallest label among neighbours, then the label's label, until none changes; each ends in a written table."""
-    both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = kept = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    moved = True
-    while moved:
-        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = now.join(near, now.node == near.a).select("node", F.least("label", "m").alias("to"), F.col("label").alias("was"))
-        jump = now.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        after = settle(step.join(jump, "to").select("node", F.least("to", "next").alias("label"), "was"))
-        moved = after.where("label <> was").limit(1).count() > 0
-        discard(kept)
-        now, kept = after.select("node", "label"), after
-    discard(both)
-    return now
+    """(node, label): the smallest node reachable, for each node of links (a, b).
+
+    In each round every node points to its smallest neighbour if that is smaller than itself, pointers are followed to their ends, and the links between what then is one node are dropped, until no link is
+    left. Each round at least halves the nodes that still have links; each ends in written tables, and what no later round reads is removed.
+    """
+    edges, labels = settle(links.select("a", "b")), None
+    while edges.limit(1).count():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = settle(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        moved = True
+        while moved:
+            after = settle(to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            moved = after.where("moved").limit(1).count() > 0
+            discard(to)
+            to = after
+        ends_of = lambda end: to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        left = edges.join(ends_of("a"), "a").join(ends_of("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+        smaller = settle(left)
+        if labels is None:
+            named = to.select("node", F.col("to").alias("label"))
+        else:
+            named = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        kept = settle(named)
+        discard(edges, to, *([] if labels is None else [labels]))
+        edges, labels = smaller, kept
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def fingerprint_groups(each: DataFrame, distance: int = 2) -> DataFrame:
