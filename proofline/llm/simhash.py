@@ -32,7 +32,7 @@ CACHE = 200_000
 #: A wide fingerprint's parts as (words of a shingle, 64-bit numbers): blocks to find candidates by, two of 32 bits in each number, and the sketch that verifies them.
 BLOCKS, SKETCH = (2, 24), (5, 16)
 #: In blocks with more than CROWDED members each is compared with HUBS of them, those in most company.
-CROWDED, HUBS = 8, 4
+CROWDED, HUBS = 8, 2
 
 
 def bits_apart(similarity: float, bits: int = 64 * SKETCH[1], deviations: float = 0.5) -> int:
