@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, kdtree, licenses, pieces, quality, records, simhash, toxicity, urls
+from . import decontam, extract, fim, kdtree, licenses, pieces, quality, records, rules, simhash, toxicity, turns, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,16 @@ QUERIES: dict[str, Query] = {
     "op8_token_records": _over(records.op8, "documents"),
     "op9_licenses": _over(licenses.op9, "documents"),
     "op10_quality": _over(quality.op10, "documents", "labels"),
+    "op11_repair_turns": _over(turns.op11, "conversations"),
+    "op12_fill_in_middle": _over(fim.op12, "documents"),
+    "op13_quality_rules": _over(rules.op13, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontam.OP1_SQL,
     "op5_top_k": kdtree.OP5_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op11_repair_turns": turns.OP11_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_quality_rules": rules.OP13_SQL,
 }
