@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from .sampling import chunk_of, in_order
+from .sampling import in_order
+from .scans import CHUNK, chunks
 
 
 def page_value(rows: DataFrame, page: str, value: str, keep: Column) -> DataFrame:
@@ -103,17 +104,17 @@ def match_count(compared: DataFrame) -> DataFrame:
 
 
 def validation_outcomes(truth: DataFrame, rows: DataFrame, key: list[str], value: str = "value", state: str = "state", admissible: Column | None = None) -> DataFrame:
-    """Each true row with its outcome, by exact key, once for each output row of its key, as each of them is judged: CORRECT_TRANSCRIPTION, INCORRECT_TRANSCRIPTION, STRUCTURALLY_INVALID, the extractor's own state where there is no value, or UNPAIRED."""
-    ok = F.col("_ok")
-    produced = rows.select(*key, F.col(value).alias("_value"), F.col(state).alias("_state"), (F.lit(True) if admissible is None else admissible).alias("_ok"), F.lit(True).alias("_there"))
+    """Each true row with its outcome, by exact key, once for each output row of its key, as each of them is judged: CORRECT_TRANSCRIPTION, INCORRECT_TRANSCRIPTION, STRUCTURALLY_INVALID, the extractor's own state where there is no value, or UNPAIRED. A null in a key pairs with nothing."""
+    got, got_state, passes, there = unused(truth, "_value", "_state", "_ok", "_there")
+    produced = rows.select(*key, F.col(value).alias(got), F.col(state).alias(got_state), (F.lit(True) if admissible is None else admissible).alias(passes), F.lit(True).alias(there))
     outcome = (
-        F.when(F.col("_there").isNull(), "UNPAIRED")
-        .when(F.col("_value").isNull(), F.col("_state"))
-        .when(~ok, "STRUCTURALLY_INVALID")
-        .when(F.col("_value") == F.col(value), "CORRECT_TRANSCRIPTION")
+        F.when(F.col(there).isNull(), "UNPAIRED")
+        .when(F.col(got).isNull(), F.col(got_state))
+        .when(~F.col(passes), "STRUCTURALLY_INVALID")
+        .when(F.col(got) == F.col(value), "CORRECT_TRANSCRIPTION")
         .otherwise("INCORRECT_TRANSCRIPTION")
     )
-    return truth.join(produced, key, "left").select(*truth.columns, outcome.alias("outcome"))
+    return truth.join(produced, key, "left").select(*[F.col(f"`{c}`") for c in truth.columns], outcome.alias("outcome"))
 
 
 def validation_metrics(outcomes: DataFrame) -> DataFrame:
@@ -148,18 +149,18 @@ def shift_spread(rows: DataFrame, shift: str, window: float) -> DataFrame:
     return rows.agg(spread.alias("spread"), F.round(spread * 100.0 / window, 2).alias("percent_of_window"))
 
 
-def cadence(rows: DataFrame, part: str, order: str, at: str) -> DataFrame:
+def cadence(rows: DataFrame, part: str, order: str, at: str, chunk: int = CHUNK) -> DataFrame:
     """With step, the difference from the row before, null for a part's first: a diagnosis only, which nothing here pairs or fills by.
 
-    Parts are cut into chunks of the order, as samples are; a chunk's first row gets its neighbour from the chunk before, of which one row is known. Ties are broken by the other columns.
+    Parts are cut into chunks along the order, as samples are; a chunk's first row gets its neighbour from the chunk before, of which one row is known. Ties are broken by the other columns.
     """
-    chunk, last, part_, of, before = unused(rows, "_chunk", "_last", "_part", "_of", "_before")
-    cut = rows.withColumn(chunk, chunk_of(rows, order))
-    inside = cut.withColumn(last, F.lag(F.struct(at)).over(Window.partitionBy(part, chunk).orderBy(*in_order(rows, order))))
-    ends = cut.groupBy(F.col(part).alias(part_), F.col(chunk).alias(of)).agg(F.max_by(F.struct(at), F.struct(*in_order(rows, order))).alias("x"))
-    ends = ends.select(part_, of, F.lag("x").over(Window.partitionBy(part_).orderBy(of)).alias(before))
-    met = inside.join(ends, inside[part].eqNullSafe(ends[part_]) & inside[chunk].eqNullSafe(ends[of]))
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(at) - F.coalesce(last, before)[at]).alias("step"))
+    (last,) = unused(rows, "_last")
+    cut = chunks(rows, part, order, chunk)
+    inside = cut.rows.withColumn(last, F.lag(F.struct(at)).over(cut.window(*in_order(rows, order))))
+    ends = cut.summary(F.max_by(F.struct(at), F.struct(*in_order(rows, order))).alias("_x"))
+    enters = ends.select("_of_part", "_of_chunk", F.lag("_x").over(cut.along()).alias("_before"))
+    met, before = cut.enter(inside, enters, "_before")
+    return met.select(*cut.given(), (F.col(at) - F.coalesce(F.col(last), before)[at]).alias("step"))
 
 
 def page_truth(values: DataFrame, truth: DataFrame, page: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.consensus import consensus
+from ..functions.names import unused
 from ..functions.sexagesimal import normalise_dec, normalise_ra
 from ..schemas import SOURCE_AUTHENTICITY
 from .gates import DEC_VERSION, RA_VERSION, dec_gate, ra_gate
@@ -14,10 +15,11 @@ from .gates import DEC_VERSION, RA_VERSION, dec_gate, ra_gate
 def voted_rows(reads: DataFrame, kind: str, raw: str = "raw_reads") -> DataFrame:
     """reads with normalised, extractor_state, extractor_value, gate_state, gate_reason and gate_version. kind: dec or ra. Rows whose reads are null (page-level records) have nulls in all."""
     normalise, gate, version = {"dec": (normalise_dec, dec_gate, DEC_VERSION), "ra": (normalise_ra, ra_gate, RA_VERSION)}[kind]
+    vote, judged = unused(reads, "_v", "_g")
     has = F.col(raw).isNotNull()
-    out = reads.withColumn("normalised", F.transform(raw, normalise)).withColumn("_v", consensus(F.col("normalised")))
-    out = out.withColumns({"extractor_state": F.when(has, F.col("_v.state")), "extractor_value": F.when(has, F.col("_v.value"))}).withColumn("_g", gate(F.col("extractor_value")))
-    return out.withColumns({"gate_state": F.when(has, F.col("_g.state")), "gate_reason": F.when(has, F.col("_g.reason")), "gate_version": F.when(has, F.lit(version))}).drop("_v", "_g")
+    out = reads.withColumn("normalised", F.transform(raw, normalise)).withColumn(vote, consensus(F.col("normalised")))
+    out = out.withColumns({"extractor_state": F.when(has, F.col(vote)["state"]), "extractor_value": F.when(has, F.col(vote)["value"])}).withColumn(judged, gate(F.col("extractor_value")))
+    return out.withColumns({"gate_state": F.when(has, F.col(judged)["state"]), "gate_reason": F.when(has, F.col(judged)["reason"]), "gate_version": F.when(has, F.lit(version))}).drop(vote, judged)
 
 
 def indexed_rows(rows: DataFrame, page: str = "page", row: str = "row_y") -> DataFrame:

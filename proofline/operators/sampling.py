@@ -1,18 +1,16 @@
 """Deterministic samples of ordered runs.
 
-A run's rows are numbered chunk by chunk: rows are ordered within a chunk of the order column, and one row a chunk says how many stand before it, so that no run is
-ordered by one task. Chunks are of CHUNK units of a number, or of as many seconds or days; an order of another kind (text) is one chunk a run. Ties are broken by the row's other columns in
-their order, so that only rows that are the same throughout are interchangeable; a null order stands first.
+A run's rows are numbered chunk by chunk (`scans`): rows are ordered within a chunk of about CHUNK rows, and one row a chunk says how many stand before it, so that no run is
+ordered by one task, whatever its order is made of. Ties are broken by the row's other columns in their order, so that only rows that are the same throughout are interchangeable; they are in one chunk, and a null order stands first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.names import unused
-from .propagate import CHUNK
+from .scans import CHUNK, chunks
 
 
 def in_order(rows: DataFrame, order: str) -> list[Column]:
@@ -20,28 +18,15 @@ def in_order(rows: DataFrame, order: str) -> list[Column]:
     return [F.col(order), *[F.col(f"`{c}`") for c, kind in rows.dtypes if c != order and "map<" not in kind and "variant" not in kind]]
 
 
-def chunk_of(rows: DataFrame, order: str, chunk: int = CHUNK) -> Column:
-    """The chunk of a row's order; chunks are in order as the rows are."""
-    kind = rows.schema[order].dataType
-    if isinstance(kind, NumericType):
-        return F.floor(F.col(order) / chunk).cast("long")
-    if isinstance(kind, DateType):
-        return F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / chunk)
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.floor(F.col(order).cast("timestamp").cast("long") / chunk)
-    return F.lit(0).cast("long")
-
-
 def ranked(rows: DataFrame, run: str, order: str, chunk: int = CHUNK) -> tuple[DataFrame, str, str]:
     """rows with each one's number in its run, from 0, and the run's number of rows, in columns whose names are returned with them. Null runs are one run."""
-    at, i, n, part, of, before = unused(rows, "_chunk", "_i", "_n", "_part", "_of", "_before")
-    cut = rows.withColumn(at, chunk_of(rows, order, chunk))
-    inside = cut.withColumn(i, F.row_number().over(Window.partitionBy(run, at).orderBy(*in_order(rows, order))) - 1)
-    sizes = cut.groupBy(F.col(run).alias(part), F.col(at).alias(of)).agg(F.count(F.lit(1)).alias(n))
-    along = Window.partitionBy(part).orderBy(of)
-    sums = sizes.select(part, of, F.coalesce(F.sum(n).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy(part)).alias(n))
-    met = inside.join(sums, inside[run].eqNullSafe(sums[part]) & inside[at].eqNullSafe(sums[of]))
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(i) + F.col(before)).alias(i), n), i, n
+    i, n = unused(rows, "_i", "_n")
+    cut = chunks(rows, run, order, chunk)
+    inside = cut.rows.withColumns({i: F.row_number().over(cut.window(*in_order(rows, order))) - 1, n: F.count(F.lit(1)).over(cut.window())})
+    sizes = cut.summary(F.count(F.lit(1)).alias("_rows"))
+    before, all_ = F.sum("_rows").over(cut.along().rowsBetween(Window.unboundedPreceding, -1)), F.sum("_rows").over(Window.partitionBy("_of_part"))
+    met, known = cut.enter(inside, sizes.select("_of_part", "_of_chunk", F.struct(F.coalesce(before, F.lit(0)).alias("before"), all_.alias("all")).alias("_known")), "_known")
+    return met.select(*cut.given(), (F.col(i) + F.coalesce(known["before"], F.lit(0))).alias(i), F.coalesce(known["all"], F.col(n)).alias(n)), i, n
 
 
 def first_middle_last(rows: DataFrame, run: str, order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_sha256, facts, sha256_of
 from ..functions.names import unused
+from ..sources.tables import discard, settle
 from .sets import same_members, same_order
 
 
@@ -20,18 +21,64 @@ def sealed_hashes(documents: DataFrame, text: str = "text") -> DataFrame:
     return read.withColumns({"raw_sha256": F.sha2(F.col(text).cast("binary"), 256), "canonical_sha256": F.sha2(F.col(f)["canonical"].cast("binary"), 256), "violations": F.col(f)["violations"]}).drop(f)
 
 
-def chain_breaks(links: DataFrame) -> DataFrame:
-    """(name, reason) of links that don't hold. links: name, payload (JSON text), recorded (its recorded hash), parent (the hash it is bound to; null for a root).
+def ancestries(nodes: DataFrame) -> DataFrame:
+    """(own, root, kind, flawed) of each of nodes (own, parent, bad), each own once: where a node's parents lead to, and whether any node on the way, itself left out, is bad.
 
-    A payload that doesn't hash to its record is broken, and so is a link whose parent is no other link's re-derived hash.
+    kind: ROOT (root is the hash without a parent), MISSING (the last parent isn't there; root is that parent's hash) or CIRCLE (no end; root is null).
+    Pointers are doubled: each round lets what a node points to tell where that one points, so that the rounds are the logarithm of the longest chain. A round in which no further node reaches an end leaves circles, and what leads to them, alone.
     """
-    hashed = links.select("name", "recorded", "parent", canonical_sha256(F.col("payload")).alias("own"))
-    parents = hashed.select(F.col("own").alias("known")).where("known is not null").distinct()
-    met = hashed.join(parents, F.col("parent") == F.col("known"), "left")
+    known = nodes.select(F.col("own").alias("_own"), F.col("parent").alias("_above"), F.col("bad").alias("_bad"))
+    met = nodes.join(known, F.col("parent") == F.col("_own"), "left")
+    # up: the furthest ancestor so far; open: it has a parent itself, not yet looked at.
+    kind = F.when(F.col("parent").isNull(), "ROOT").when(F.col("_own").isNull(), "MISSING").when(F.col("_above").isNull(), "ROOT")
+    now = settle(met.select("own", F.coalesce("parent", "own").alias("up"), kind.alias("kind"), F.coalesce("_bad", F.lit(False)).alias("flawed")))
+    left = now.where("kind is null").count()
+    while left:
+        there = now.select(F.col("own").alias("_own"), F.col("up").alias("_up"), F.col("kind").alias("_kind"), F.col("flawed").alias("_flawed"))
+        further = now.where("kind is null").join(there, F.col("up") == F.col("_own")).select("own", F.col("_up").alias("up"), F.col("_kind").alias("kind"), (F.col("flawed") | F.col("_flawed")).alias("flawed"))
+        after = settle(now.where("kind is not null").unionByName(further))
+        discard(now)
+        now, before, left = after, left, after.where("kind is null").count()
+        if left == before:
+            break
+    return now.select("own", F.when(F.col("kind").isNotNull(), F.col("up")).alias("root"), F.coalesce("kind", F.lit("CIRCLE")).alias("kind"), "flawed")
+
+
+# What breaks a link, in the order in which it is looked for.
+NO_JSON, CHANGED, SELF, TWICE = "payload is no JSON", "re-derived hash differs from the recorded one", "bound to itself", "another link has the same hash"
+UNKNOWN, FORK, CIRCLE, FLAWED, ASTRAY = "parent is not in the chain", "another link is bound to the same parent", "its ancestors run in a circle", "an ancestor is broken", "its root is not the pinned one"
+
+
+def chain_breaks(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(name, reason) of links that don't hold, with the first reason that applies. links: name, payload (JSON text), recorded (its recorded hash), parent (the hash it is bound to; null for a root). roots: the hashes (root) of pinned roots; None pins none.
+
+    A link is known by its re-derived hash. It is broken by itself if its payload is no JSON or doesn't hash to its record, if it is its own parent, if another link has its hash, if its parent is no link's hash, or if another link has its parent
+    (a chain has no forks: neither counts). It is broken by what it hangs on if its ancestors run in a circle, if one of them is broken, or if they end at a root that isn't pinned.
+    """
+    hashed = settle(links.select("name", "recorded", "parent", canonical_sha256(F.col("payload")).alias("own")))
+    by_own = hashed.where("own is not null").groupBy("own").agg(F.count(F.lit(1)).alias("copies"), F.bool_and(F.col("own").eqNullSafe(F.col("recorded"))).alias("kept"), F.min("parent").alias("parent"))
+    children = hashed.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+    selfish = F.coalesce(F.col("parent") == F.col("own"), F.lit(False))
+    forked = children.where("children > 1").select(F.col("parent").alias("_forked"))
+    nodes = by_own.join(forked, F.col("parent") == F.col("_forked"), "left")
+    nodes = settle(nodes.select("own", F.when(~selfish, F.col("parent")).alias("parent"), selfish.alias("selfish"), (F.col("copies") > 1).alias("twice"), F.col("_forked").isNotNull().alias("fork"), (~F.col("kept") | selfish | (F.col("copies") > 1) | F.col("_forked").isNotNull()).alias("bad")))
+    ends = ancestries(nodes.select("own", "parent", "bad")).select(F.col("own").alias("_end_of"), "root", "kind", "flawed")
+    seen = nodes.select(F.col("own").alias("_node"), "selfish", "twice", "fork").join(ends, F.col("_node") == F.col("_end_of"))
+    met = hashed.join(seen, F.col("own") == F.col("_node"), "left")
+    if roots is not None:
+        met = met.join(roots.select(F.col("root").alias("_pin")).distinct(), F.col("root") == F.col("_pin"), "left")
+    pinned = F.lit(True) if roots is None else F.col("_pin").isNotNull()
+    # A node whose parent isn't there is flawed by itself; what hangs on it ends at the same missing hash.
     reason = (
-        F.when(F.col("own").isNull(), "payload is no JSON")
-        .when(~F.col("own").eqNullSafe(F.col("recorded")), "re-derived hash differs from the recorded one")
-        .when(F.col("parent").isNotNull() & F.col("known").isNull(), "parent is not in the chain")
+        F.when(F.col("own").isNull(), NO_JSON)
+        .when(~F.col("own").eqNullSafe(F.col("recorded")), CHANGED)
+        .when(F.col("selfish"), SELF)
+        .when(F.col("twice"), TWICE)
+        .when((F.col("kind") == "MISSING") & (F.col("root") == F.col("parent")), UNKNOWN)
+        .when(F.col("fork"), FORK)
+        .when(F.col("kind") == "CIRCLE", CIRCLE)
+        .when(F.col("flawed") | (F.col("kind") == "MISSING"), FLAWED)
+        .when(~pinned, ASTRAY)
     )
     return met.withColumn("reason", reason).where("reason is not null").select("name", "reason")
 
@@ -72,6 +119,7 @@ def unbound(documents: DataFrame, pins: DataFrame) -> DataFrame:
 
 def seal(spark, payload: dict, path: str, write: bool = False) -> dict:
     """The seal record of a payload; with write=True also written to path, which must not exist: a seal is never overwritten. The default writes nothing."""
+    # The keys and the status of a seal record.
     record = {"seal_payload": payload, "seal_hash": sha256_of(payload)}
     if write:
         record |= {"sealed_utc": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "status": "SEALED"}

@@ -1,27 +1,29 @@
 """Runs of pixels along a profile: text bands and low-ink separators, and the column between two of them.
 
-A profile belongs to one page and is at most as long as the page is high or wide, so that a window by page stays small.
+A profile belongs to one page and is at most as long as the page is high or wide, so that a window by page stays small. Its places are distinct; those that are null or absent belong to no run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 # Thresholds of bands and separators, in shares and pixels.
 ROW_SHARE, ROW_MIN, ROW_MAX, HEADER_Y = 0.08, 6, 40, 260
 SEPARATOR_SHARE, SEPARATOR_MIN = 0.06, 8
 LEFT_LIMIT, RIGHT_LIMIT, FIELD_MIN = 1110, 1150, 60
 
 
-def _runs(profile: DataFrame, page: str, pos: str, on) -> DataFrame:
-    """(page, start, end, at_end): maximal runs of consecutive places where on holds, half open; at_end: the run reaches the page's last place."""
-    by_page = Window.partitionBy(page).orderBy(pos)
-    marked = profile.select(page, pos, F.coalesce(on, F.lit(False)).alias("on"), F.max(pos).over(Window.partitionBy(page)).alias("last"))
-    marked = marked.withColumn("turn", F.col("on") != F.coalesce(F.lag("on").over(by_page), ~F.col("on")))
-    marked = marked.withColumn("run", F.sum(F.col("turn").cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.where("on").groupBy(page, "run").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"), F.first("last").alias("last"))
-    return runs.select(page, "start", "end", (F.col("end") > F.col("last")).alias("at_end"))
+def _runs(profile: DataFrame, page: str, pos: str, on: Column) -> DataFrame:
+    """(page, start, end, at_end): maximal runs of consecutive places where on holds, half open; a place that is absent ends a run. at_end: the run reaches the page's last place."""
+    on_, last, place, run = unused(profile, "_on", "_last", "_place", "_run")
+    by_page = Window.partitionBy(page)
+    marked = profile.select(page, pos, (F.coalesce(on, F.lit(False)) & F.col(pos).isNotNull()).alias(on_), F.max(pos).over(by_page).alias(last)).where(on_)
+    # Among the places where it holds, those of one run are as far from their numbers.
+    runs = marked.withColumn(run, F.col(pos) - F.row_number().over(by_page.orderBy(pos))).groupBy(page, run).agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"), F.first(last).alias(place))
+    return runs.select(page, "start", "end", (F.col("end") > F.col(place)).alias("at_end"))
 
 
 def row_bands(profile: DataFrame, page: str = "page", pos: str = "y", value: str = "ink", share: float = ROW_SHARE, shortest: int = ROW_MIN, longest: int = ROW_MAX, from_y: int | None = None) -> DataFrame:
@@ -32,8 +34,9 @@ def row_bands(profile: DataFrame, page: str = "page", pos: str = "y", value: str
 
 def separators(profile: DataFrame, page: str = "page", pos: str = "x", value: str = "ink", share: float = SEPARATOR_SHARE, shortest: int = SEPARATOR_MIN) -> DataFrame:
     """(page, start, end): runs of at most share of the page's highest ink, shortest or longer. A run open at the last pixel is one whatever its length."""
-    scaled = profile.withColumn("_top", F.max(value).over(Window.partitionBy(page)))
-    runs = _runs(scaled, page, pos, F.col(value) <= F.col("_top") * share)
+    (top,) = unused(profile, "_top")
+    scaled = profile.withColumn(top, F.max(value).over(Window.partitionBy(page)))
+    runs = _runs(scaled, page, pos, F.col(value) <= F.col(top) * share)
     return runs.where(F.col("at_end") | (F.col("end") - F.col("start") >= shortest)).select(page, "start", "end")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .propagate import CHUNK
+#: Positions of a block.
+CHUNK = 4096
 
 
 def presence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from ..functions.canonical import sha256_of
 from ..operators import integrity, profile, seal
 from ..schemas import MISSINGNESS
 from ..sources.records import checksum_manifest
@@ -42,7 +39,7 @@ def distinct_values(spark, sf_dir):
     return profile.distinct_values(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1", "pages_by_date_of_all")
+@query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1")
 def pages_by_date(spark, sf_dir):
     return profile.pages_by_date(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey"), "date", "o_orderkey")
 
@@ -132,59 +129,74 @@ def tool_drift(spark, sf_dir):
     return integrity.drifted(expected, nations.select(name.alias("name"), F.sha2(name, 256).alias("sha256")))
 
 
-@query("SELECT * FROM (VALUES ('c', 're-derived hash differs from the recorded one'), ('d', 'parent is not in the chain'), ('e', 'payload is no JSON')) AS v(name, reason)")
-def hash_chain(spark, sf_dir):
-    """A small chain with three links that don't hold."""
-    a, b = {"x": 1}, {"parent": sha256_of({"x": 1}), "y": ["é", 2]}
-    rows = [
-        ("a", json.dumps(a), sha256_of(a), None),
-        ("b", json.dumps(b, indent=1), sha256_of(b), sha256_of(a)),
-        ("c", json.dumps(b), sha256_of(a), sha256_of(a)),
-        ("d", json.dumps({"z": 3}), sha256_of({"z": 3}), sha256_of({"z": 4})),
-        ("e", "{", None, None),
-    ]
-    return seal.chain_breaks(spark.createDataFrame(rows, "name string, payload string, recorded string, parent string"))
+# A link for each order, bound to the order before it but for every hundredth, a root; what doesn't hold is chosen by key: payloads, records, parents that are not there, links bound to themselves, forks, circles, and roots that aren't pinned (those of odd hundreds).
+LINKS_SQL = """
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9700 <> 11 THEN sha256('{"order":' || o_orderkey || '}') END AS own, sha256('{"order":' || CASE WHEN o_orderkey % 8900 = 13 THEN -1 ELSE o_orderkey END || '}') AS recorded,
+        CASE WHEN o_orderkey % 100 <> 0 THEN sha256('{"order":' || CASE WHEN o_orderkey % 8300 = 17 THEN -2 WHEN o_orderkey % 3000 = 919 THEN o_orderkey WHEN o_orderkey % 3000 = 723 THEN o_orderkey - 2 WHEN o_orderkey % 3000 = 1525 THEN o_orderkey + 40 ELSE o_orderkey - 1 END || '}') END AS parent FROM orders"""
 
 
 @query(
-    """
-    WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 <> 0 THEN sha256('{"order":' || o_orderkey || '}') END AS own, sha256('{"order":' || CASE WHEN o_orderkey % 89 = 0 THEN -1 ELSE o_orderkey END || '}') AS recorded,
-        CASE WHEN o_orderkey % 100 <> 0 THEN sha256('{"order":' || CASE WHEN o_orderkey % 83 = 0 THEN -2 ELSE o_orderkey - 1 END || '}') END AS parent FROM orders)
-    SELECT k::VARCHAR AS name, CASE WHEN own IS NULL THEN 'payload is no JSON' WHEN own <> recorded THEN 're-derived hash differs from the recorded one' ELSE 'parent is not in the chain' END AS reason
-    FROM l WHERE own IS NULL OR own <> recorded OR parent NOT IN (SELECT own FROM l WHERE own IS NOT NULL)"""
+    f"""
+    WITH RECURSIVE l AS ({LINKS_SQL}),
+    forks AS (SELECT parent FROM l WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) > 1),
+    own_flaw AS (
+        SELECT *, CASE WHEN own IS NULL THEN 'payload is no JSON' WHEN own <> recorded THEN 're-derived hash differs from the recorded one' WHEN own = parent THEN 'bound to itself' WHEN parent NOT IN (SELECT own FROM l WHERE own IS NOT NULL) THEN 'parent is not in the chain'
+            WHEN parent IN (SELECT parent FROM forks) THEN 'another link is bound to the same parent' END AS flaw
+        FROM l),
+    reached(own, flawed, root) AS (
+        SELECT own, flaw IS NOT NULL, k FROM own_flaw WHERE own IS NOT NULL AND (parent IS NULL OR own = parent OR flaw = 'parent is not in the chain' OR flaw = 're-derived hash differs from the recorded one' AND parent NOT IN (SELECT own FROM l WHERE own IS NOT NULL))
+        UNION ALL
+        SELECT f.own, r.flawed OR f.flaw IS NOT NULL, r.root FROM own_flaw f JOIN reached r ON f.parent = r.own WHERE f.own <> f.parent),
+    said AS (
+        SELECT f.k, CASE WHEN flaw IS NOT NULL THEN flaw WHEN r.own IS NULL THEN 'its ancestors run in a circle' WHEN r.flawed THEN 'an ancestor is broken' WHEN (r.root // 100) % 2 = 1 THEN 'its root is not the pinned one' END AS reason
+        FROM own_flaw f LEFT JOIN reached r ON f.own = r.own)
+    SELECT k::VARCHAR AS name, reason FROM said WHERE reason IS NOT NULL"""
 )
 def hash_chain_of_orders(spark, sf_dir):
-    """A link for each order, bound to the order before it but for every hundredth; payloads, records and parents are broken by key."""
+    """Followed to its root from each link; the roots of even hundreds are pinned."""
     k = F.col("o_orderkey")
     link = lambda n, form: F.format_string(form, n.cast("long"))
     hashed = lambda n: F.sha2(link(n, '{"order":%d}'), 256)
-    links = table(spark, sf_dir, "orders").select(
+    bound = F.when(k % 8300 == 17, -2).when(k % 3000 == 919, k).when(k % 3000 == 723, k - 2).when(k % 3000 == 1525, k + 40).otherwise(k - 1)
+    orders = table(spark, sf_dir, "orders")
+    links = orders.select(
         k.cast("string").alias("name"),
-        F.when(k % 97 == 0, "{").otherwise(link(k, '{ "order" : %d }')).alias("payload"),
-        hashed(F.when(k % 89 == 0, -1).otherwise(k)).alias("recorded"),
-        F.when(k % 100 != 0, hashed(F.when(k % 83 == 0, -2).otherwise(k - 1))).alias("parent"),
+        F.when(k % 9700 == 11, "{").otherwise(link(k, '{ "order" : %d }')).alias("payload"),
+        hashed(F.when(k % 8900 == 13, -1).otherwise(k)).alias("recorded"),
+        F.when(k % 100 != 0, hashed(bound)).alias("parent"),
     )
-    return seal.chain_breaks(links)
+    roots = orders.where("o_orderkey % 200 = 0").select(hashed(k).alias("root"))
+    return seal.chain_breaks(links, roots)
+
 
+BOUNDS = "SELECT o_orderkey, o_orderkey % 4 <> 0 AS b1, o_orderkey % 5 = 0 AS b3, o_orderkey % 7 <> 0 AS told FROM orders"
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['missing B2', 'unexpected B3'] ELSE ['no value_basis in B1'] END AS lacks FROM nation")
+
+@query(
+    f"""
+    SELECT o_orderkey::VARCHAR AS name, list_sort(list_filter([CASE WHEN NOT b1 THEN 'missing B1' END, CASE WHEN b3 THEN 'unexpected B3' END, CASE WHEN NOT told THEN 'no value_basis in B2' END], lambda x: x IS NOT NULL)) AS lacks FROM ({BOUNDS}) AS b"""
+)
 def bound_requirements(spark, sf_dir):
-    docs = F.array(
-        F.lit('{"bounds": {"B1": {"value_basis": "x"}, "B2": {"value_basis": "y"}}}'),
-        F.lit('{"bounds": {"B1": {"value_basis": "x"}, "B3": {"value_basis": "y"}}}'),
-        F.lit('{"bounds": {"B1": {"v": 1}, "B2": {"value_basis": "y"}}}'),
-    )
-    return table(spark, sf_dir, "nation").select("n_nationkey", seal.requirements(F.get(docs, F.col("n_nationkey") % 3), ["B1", "B2"]).alias("lacks"))
+    """A document of bounds for each order; names and bases are there by key."""
+    k = F.col("o_orderkey")
+    named = lambda there, name, body: F.when(there, F.concat(F.lit(f'"{name}": '), body))
+    basis = F.to_json(F.struct(F.col("o_orderpriority").alias("value_basis")))
+    bounds = F.concat_ws(", ", named(k % 4 != 0, "B1", basis), named(F.lit(True), "B2", F.when(k % 7 != 0, basis).otherwise("{}")), named(k % 5 == 0, "B3", basis))
+    documents = table(spark, sf_dir, "orders").select(k.cast("string").alias("name"), F.concat(F.lit('{"bounds": {'), bounds, F.lit("}}")).alias("text"))
+    return documents.select("name", seal.requirements(F.col("text"), ["B1", "B2"]).alias("lacks"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['questions are not the declared ones in their order'] ELSE ['outcomes are not the declared ones', 'questions are not the declared ones in their order'] END AS lacks FROM nation")
+@query(
+    """
+    SELECT o_orderkey::VARCHAR AS name, list_filter([CASE WHEN o_orderkey % 6 = 0 THEN 'outcomes are not the declared ones' END, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 9 = 0 THEN 'questions are not the declared ones in their order' END], lambda x: x IS NOT NULL) AS lacks FROM orders"""
+)
 def declared_questions(spark, sf_dir):
-    docs = F.array(
-        F.lit('{"questions": [{"id": "Q1"}, {"id": "Q2"}], "outcomes": ["B", "A"]}'),
-        F.lit('{"questions": [{"id": "Q2"}, {"id": "Q1"}], "outcomes": ["A", "B", "A"]}'),
-        F.lit('{"outcomes": ["A"]}'),
-    )
-    return table(spark, sf_dir, "nation").select("n_nationkey", seal.declarations(F.get(docs, F.col("n_nationkey") % 3), ["Q1", "Q2"], ["A", "B"]).alias("lacks"))
+    """A document of declarations for each order; questions are out of order or missing, and outcomes missing or repeated, by key."""
+    k = F.col("o_orderkey")
+    questions = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit('"questions": ['), F.when(k % 4 == 0, '{"id": "Q2"}, {"id": "Q1"}').otherwise('{"id": "Q1"}, {"id": "Q2"}'), F.lit("], ")))
+    outcomes = F.when(k % 6 == 0, '["A"]').when(k % 2 == 0, '["B", "A", "B"]').otherwise('["A", "B"]')
+    documents = table(spark, sf_dir, "orders").select(k.cast("string").alias("name"), F.concat(F.lit("{"), questions, F.lit('"outcomes": '), outcomes, F.lit("}")).alias("text"))
+    return documents.select("name", seal.declarations(F.col("text"), ["Q1", "Q2"], ["A", "B"]).alias("lacks"))
 
 
 @query(

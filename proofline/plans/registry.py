@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["Query", "Registry", "shared_dir", "table"]
 
 
 class Registry:
@@ -16,14 +17,11 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None, *also: str) -> Callable[[Query], Query]:
-        """also: further names under which the query is known."""
-
+    def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(query: Query) -> Query:
-            for name in (query.__name__, *also):
-                self.queries[name] = query
-                if sql is not None:
-                    self.sql[name] = sql
+            self.queries[query.__name__] = query
+            if sql is not None:
+                self.sql[query.__name__] = sql
             return query
 
         return add
@@ -31,13 +29,3 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """The name of a new folder below spark.checkpoint.dir, which the driver and all executors share. Only a local master may do without that setting; a cluster raises."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="proofline-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

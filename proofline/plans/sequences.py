@@ -55,7 +55,7 @@ def row_numbering(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, sum((role = 'user')::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM conversations")
 def run_segments(spark, sf_dir):
-    return propagate.run_segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user", chunk=4)
+    return propagate.run_segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user", chunk=256)
 
 
 @query("SELECT conv_id, run, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT conv_id, turn, sum((role = 'user')::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM conversations) AS x WHERE run > 0 GROUP BY conv_id, run")
@@ -82,7 +82,7 @@ def range_join_runs(spark, sf_dir):
     key = F.col("n_nationkey")
     runs = table(spark, sf_dir, "nation").select(key.alias("run"), F.col("n_regionkey").cast("long").alias("k"), (key * 2).alias("first"), (key * 2 + F.col("n_regionkey")).alias("last"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 5).alias("k"))
-    return propagate.range_join(parts, runs, "k", "p_size", width=8).select("p_partkey", "run")
+    return propagate.range_join(parts, runs, "k", "p_size").select("p_partkey", "run")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

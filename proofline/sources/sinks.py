@@ -16,9 +16,9 @@ def append_failures(verified: DataFrame, path: str, *payload: str) -> None:
     verified.where(~F.col("ok")).drop(*payload).write.mode("append").json(path)
 
 
-def mark_done(verified: DataFrame, path: str, page: str = "page") -> None:
-    """Appends the pages that succeeded; a page that failed is never marked and so is tried again."""
-    verified.where("ok").select(page).distinct().write.mode("append").parquet(path)
+def mark_done(verified: DataFrame, path: str, page: str = "page", *also: str) -> None:
+    """Appends the pages that succeeded, with further columns; a page that failed is never marked and so is tried again."""
+    verified.where("ok").select(page, *also).distinct().write.mode("append").parquet(path)
 
 
 def write_joined(ordered: DataFrame, summary: DataFrame, path: str) -> None:

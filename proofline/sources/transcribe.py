@@ -1,12 +1,12 @@
 """From page images to rows of raw reads: where the field is, where its rows are, and what an engine reads there.
 
-Each step is a pass over the images in tasks, of which profiles or reads come back; what is decided between the passes (column and bands) is
-decided by the relational operators of `operators.segments`.
+transcribe_ra() and transcribe_dec() do all of it in one pass (`kernel`). The steps are there for themselves as well, each a pass over the images of which profiles or reads come back; what is decided between them (column and bands)
+is decided by the relational operators of `operators.segments`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,20 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_read
 from ..operators import segments
-from .records import DEC_COLUMN, INK, LEAST_SIDE, SEARCH, _grey, images, ink_profiles
-
-# How a band is rendered for each of its reads (scale, page segmentation mode, darkness cut), and how far it is padded.
-VARIANTS = [(4, 7, 30), (3, 7, 40), (4, 8, 22)]
-PADDING = 3
-
-#: An engine gets a band as ink (0) on paper (255), and a variant; it gives the text that it reads.
-Engine = Callable[[np.ndarray, tuple[int, int, int]], str]
-
-
-def _dark(grey: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    win = grey[:, lo:hi]
-    return np.clip(np.median(win, axis=1, keepdims=True) - win, 0, None)
-
+from .kernel import DEC, PADDING, RA, VARIANTS, Engine, darkness, page_rows, transcribed
+from .records import INK, LEAST_SIDE, SEARCH, _grey, images, ink_profiles
 
 def columns_of(spark: SparkSession, path: str) -> DataFrame:
     """(page, page_state, lo, hi): the field's pixel columns on each page; page_state is SOURCE_INPUT_INVALID for what is no usable image, RA_COLUMN_UNRESOLVED where the field can't be told."""
@@ -45,7 +33,7 @@ def bands_of(spark: SparkSession, path: str, columns: DataFrame, from_y: int | N
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                ink = (_dark(_grey(r.height, r.width, r.channels, r.data), r.lo, r.hi) > INK).mean(axis=1)
+                ink = (darkness(_grey(r.height, r.width, r.channels, r.data), r.lo, r.hi) > INK).mean(axis=1)
                 yield pd.DataFrame({"page": r.page, "y": np.arange(len(ink)), "ink": ink})
 
     usable = images(spark, path).join(columns.where("lo is not null").select("page", "lo", "hi"), "page")
@@ -61,7 +49,7 @@ def read_bands_of(spark: SparkSession, path: str, columns: DataFrame, bands: Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                dark = _dark(_grey(r.height, r.width, r.channels, r.data), r.lo, r.hi)
+                dark = darkness(_grey(r.height, r.width, r.channels, r.data), r.lo, r.hi)
                 rows = []
                 try:
                     for y0, y1 in ((b["start"], b["end"]) for b in r.bands):
@@ -78,19 +66,13 @@ def read_bands_of(spark: SparkSession, path: str, columns: DataFrame, bands: Dat
 
 
 def transcribe_ra(spark: SparkSession, path: str, engine: Engine) -> DataFrame:
-    """(page, page_state, ra_column, row_y, raw_reads, failure, detail): a row for each band below the header of each page, and a page-level one (row_y null) for pages with a page_state. A page without bands has no row."""
-    columns = columns_of(spark, path)
-    read = read_bands_of(spark, path, columns, bands_of(spark, path, columns, from_y=segments.HEADER_Y), engine)
-    place = F.array("lo", "hi").alias("ra_column")
-    rows = read.join(columns, "page").select("page", "page_state", place, "row_y", "raw_reads", "failure", "detail")
-    states = columns.where("page_state is not null").select("page", "page_state")
-    return rows.unionByName(states, allowMissingColumns=True)
+    """(page, page_state, ra_column, row_y, raw_reads, failure, detail): a row for each band below the header of each page, and a page-level one (row_y null) for pages with a page_state or a failure. A page without bands has no row. Images are read once."""
+    return page_rows(transcribed(images(spark, path, all_=True), engine, RA))
 
 
 def transcribe_dec(spark: SparkSession, path: str, engine: Engine) -> DataFrame:
-    """(page, row_y, raw_reads, failure, detail): a row for each band of each image in the fixed declination columns, the header's too. Images of any size are read, others that can't be decoded have none."""
-    columns = images(spark, path).select("page", F.lit(DEC_COLUMN[0]).alias("lo"), F.lit(DEC_COLUMN[1]).alias("hi"))
-    return read_bands_of(spark, path, columns, bands_of(spark, path, columns), engine)
+    """(page, row_y, raw_reads, failure, detail): a row for each band of each image in the fixed declination columns, the header's too. Images of any size are read, others that can't be decoded have none. Images are read once."""
+    return page_rows(transcribed(images(spark, path), engine, DEC)).select("page", "row_y", "raw_reads", "failure", "detail")
 
 
 __all__ = ["LEAST_SIDE", "VARIANTS", "bands_of", "columns_of", "read_bands_of", "transcribe_dec", "transcribe_ra"]

@@ -156,7 +156,7 @@ def test_names_that_clash(spark):
         (lambda d: profile.cadence(d, "g", "n", "v"), ("id", "step")),
         (lambda d: profile.golden_compare(d, df.where("v > 2"), ["id"], ["v"], "n"), ("id", "outcome")),
         (lambda d: integrity.verified_pages(d.withColumn("name", F.col("id").cast("string")).withColumn("content", F.lit("x")), spark.createDataFrame([("1", "a")], "name string, sha1 string")), ("id", "failure")),
-        (lambda d: propagate.range_join(d, spark.createDataFrame([(1, 2, 9)], "g int, first int, last int"), "g", "n", width=4), ("id", "first")),
+        (lambda d: propagate.range_join(d, spark.createDataFrame([(1, 2, 9)], "g int, first int, last int"), "g", "n"), ("id", "first")),
         (lambda d: seal.sealed_hashes(d.withColumn("text", F.lit("[1]"))), ("id", "canonical_sha256")),
     ):
         same_but_for(make(clashing(df)).collect(), make(df).collect(), *columns)

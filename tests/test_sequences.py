@@ -1,10 +1,13 @@
 """Segments, forward fill, range joins, samples, against plain loops."""
 
+import json
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from proofline.operators import propagate, sampling, segments, sets
+from proofline.functions.canonical import sha256_of
+from proofline.operators import profile, propagate, sampling, scans, seal, segments, sets
 
 
 def runs_of(values, on):
@@ -56,7 +59,7 @@ def test_range_join(spark):
     rng = random.Random(1)
     places = [(rng.randrange(3), rng.randrange(-50, 500)) for _ in range(300)]
     ranges = [(r, rng.randrange(3), a, a + rng.randrange(-3, 90)) for r, a in enumerate(rng.randrange(-50, 450) for _ in range(30))]
-    got = propagate.range_join(spark.createDataFrame(places, "k int, n int"), spark.createDataFrame(ranges, "r int, k int, first int, last int"), "k", "n", width=32)
+    got = propagate.range_join(spark.createDataFrame(places, "k int, n int"), spark.createDataFrame(ranges, "r int, k int, first int, last int"), "k", "n")
     assert sorted((x["k"], x["n"], x["r"]) for x in got.collect()) == sorted((k, n, r) for k, n in places for r, k2, a, b in ranges if k == k2 and a <= n <= b)
 
 
@@ -109,25 +112,109 @@ def test_missing_queries_see_all_parts(spark):
     parts = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").where("p_size > 10").select("p_partkey").collect()]
     ends = spark.read.parquet(f"{sf}/part.parquet").selectExpr("min(p_partkey)", "max(p_partkey)").first()
     gone = set(range(ends[0], ends[1] + 1)) - set(parts)
-    assert max(gone) > 2000 and {r["number"] for r in reconciliation.QUERIES["missing_numbers_of_all"](spark, sf).collect()} == gone
-    assert sum(r["n"] for r in reconciliation.QUERIES["missing_ranges_of_all"](spark, sf).collect()) == len(gone)
+    assert max(gone) > 2000 and {r["number"] for r in reconciliation.QUERIES["missing_numbers"](spark, sf).collect()} == gone
+    assert sum(r["n"] for r in reconciliation.QUERIES["missing_ranges"](spark, sf).collect()) == len(gone)
 
 
 def test_pages_of_every_order(spark):
     from proofline.plans import audits
 
     sf = "/root/testdata/sf0.01"
-    got = {r["date"]: r["pages"] for r in audits.QUERIES["pages_by_date_of_all"](spark, sf).collect()}
+    got = {r["date"]: r["pages"] for r in audits.QUERIES["pages_by_date"](spark, sf).collect()}
     orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(o_orderdate as date) AS d", "o_orderkey AS k").collect()
     assert {(d, k) for d, pages in got.items() for k in pages} == {tuple(r) for r in orders} and any(r["k"] % 50 for r in orders)
 
 
-def test_chain_over_a_table(spark):
-    from proofline.plans import audits
-
-    sf = "/root/testdata/sf0.01"
-    keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
-    got = {int(r["name"]): r["reason"] for r in audits.QUERIES["hash_chain_of_orders"](spark, sf).collect()}
-    there = {k for k in keys if k % 97}
-    wanted = {k: "payload is no JSON" if k % 97 == 0 else "re-derived hash differs from the recorded one" if k % 89 == 0 else "parent is not in the chain" for k in keys if k % 97 == 0 or k % 89 == 0 or k % 100 and (k % 83 == 0 or k - 1 not in there)}
-    assert got == wanted and len(set(got.values())) == 3
+def chain(spark, rows):
+    """Links (name, parent's name or a hash, what is wrong) with payloads of their own."""
+    own = {name: sha256_of({"n": name}) for name, *_ in rows}
+    return spark.createDataFrame([(n, "{" if flaw == "json" else json.dumps({"n": n}, indent=1), "x" if flaw == "hash" else own[n], own.get(p, p)) for n, p, flaw in rows], "name string, payload string, recorded string, parent string"), own
+
+
+def test_chains_to_their_roots(spark):
+    links, own = chain(spark, [
+        ("r", None, ""), ("a", "r", ""), ("b", "a", ""), ("c", "b", "hash"), ("d", "c", ""), ("e", "d", ""), ("s", "s", ""), ("t", "s", ""), ("x", "z", ""), ("y", "x", ""), ("z", "y", ""), ("w", "z", ""), ("q", None, ""), ("p", "q", ""),
+        ("f", "b2", ""), ("g", "b2", ""), ("h", "g", ""), ("b2", "r2", ""), ("r2", None, ""), ("m", "ff", ""), ("n", "m", ""), ("j", "e", "json"), ("k", "j", ""),
+    ])
+    pins = spark.createDataFrame([(own["r"],), (own["r2"],)], "root string")
+    got = {r["name"]: r["reason"] for r in seal.chain_breaks(links, pins).collect()}
+    assert got == {
+        "c": seal.CHANGED, "d": seal.FLAWED, "e": seal.FLAWED, "s": seal.SELF, "t": seal.FORK, "x": seal.FORK, "w": seal.FORK, "y": seal.CIRCLE, "z": seal.CIRCLE, "q": seal.ASTRAY, "p": seal.ASTRAY, "f": seal.FORK, "g": seal.FORK, "h": seal.FLAWED,
+        "m": seal.UNKNOWN, "n": seal.FLAWED, "j": seal.NO_JSON, "k": seal.UNKNOWN,
+    }
+    assert {r["name"] for r in seal.chain_breaks(links).collect()} == set(got) - {"q", "p"}
+    assert seal.chain_breaks(links.limit(0), pins).count() == 0
+
+
+def test_equal_links_and_null_names(spark):
+    links = spark.createDataFrame([("a", "{}", sha256_of({}), None), (None, "{}", sha256_of({}), None), ("b", "[]", sha256_of([]), sha256_of({})), ("c", None, None, None)], "name string, payload string, recorded string, parent string")
+    assert sorted((str(r["name"]), r["reason"]) for r in seal.chain_breaks(links).collect()) == [("None", seal.TWICE), ("a", seal.TWICE), ("b", seal.FLAWED), ("c", seal.NO_JSON)]
+
+
+def test_a_long_chain_in_few_rounds(spark):
+    n = 10_000
+    key = lambda c: F.sha2(c.cast("string"), 256)
+    nodes = spark.range(n).select(key(F.col("id")).alias("own"), F.when(F.col("id") > 0, key(F.col("id") - 1)).alias("parent"), (F.col("id") == 4000).alias("bad"))
+    rounds, settled = [], seal.settle
+    seal.settle = lambda df: rounds.append(1) or settled(df)
+    try:
+        got = seal.ancestries(nodes)
+    finally:
+        seal.settle = settled
+    assert len(rounds) <= 16
+    counts = {(r["kind"], r["flawed"]): r["count"] for r in got.groupBy("kind", "flawed").count().collect()}
+    assert counts == {("ROOT", False): 4001, ("ROOT", True): n - 4001} and got.select("root").distinct().count() == 1
+
+
+def test_sparse_and_text_orders_are_cut_by_rows(spark):
+    """What chunks hold is rows, however far apart their orders are: no more summary rows than chunks, and no chunk much above its share."""
+    n, chunk = 100_000, 1000
+    df = spark.range(n).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("g"), (F.col("id") * 1_000_003).alias("n"), F.format_string("k%012d", F.col("id") * 77).alias("s"), "id", (F.col("id") % 1700 == 5).alias("m"))
+    for order in ("n", "s"):
+        cut = scans.chunks(df, "g", order, chunk)
+        sizes = cut.rows.groupBy("g", cut.at).count().where("g = 'hot'").agg(F.count(F.lit(1)), F.max("count")).first()
+        assert 60 <= sizes[0] <= 130 and sizes[1] <= 5 * chunk and cut.summary(F.count(F.lit(1)).alias("x")).count() <= n / chunk + 20
+        filled = propagate.forward_fill(df, "g", order, F.col("m"), "id", chunk=chunk)
+        plain = Window.partitionBy("g").orderBy(order)
+        wanted = df.withColumns({"want": F.last(F.when(F.col("m"), F.col("id")), ignorenulls=True).over(plain), "i": F.row_number().over(plain) - 1, "back": F.col("id") - F.lag("id").over(plain), "runs": F.sum(F.col("m").cast("int")).over(plain.rowsBetween(Window.unboundedPreceding, 0))}).select("id", "want", "i", "back", "runs")
+        assert filled.join(wanted, "id").where("not (filled <=> want)").count() == 0
+        assert propagate.run_segments(df, "g", order, F.col("m"), chunk=chunk).join(wanted, "id").where("run <> runs").count() == 0
+        r, i, all_ = sampling.ranked(df, "g", order, chunk)
+        assert r.join(wanted.withColumnRenamed("i", "want_i"), "id").where(f"{i} <> want_i").count() == 0 and {x[0] for x in r.where("g = 'hot'").select(all_).distinct().collect()} == {n * 9 // 10}
+        assert profile.cadence(df, "g", order, "id", chunk).join(wanted, "id").where("not (step <=> back)").count() == 0
+
+
+def test_ties_and_nulls_across_cuts(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, *range(40)]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, n int, id int")
+    r, i, all_ = sampling.ranked(df, "g", "n", 50)
+    assert all(sorted(x[i] for x in own) == list(range(len(own))) and {x[all_] for x in own} == {len(own)} for own in ([x for x in r.collect() if x["g"] == g] for g in (None, 1, 2)))
+    assert [x["n"] for g in (None, 1, 2) for x in sorted((x for x in r.collect() if x["g"] == g), key=lambda x: x[i])] == [n for g in (None, 1, 2) for n in sorted((x[1] for x in rows if x[0] == g), key=lambda n: (n is not None, n or 0))]
+
+
+def test_a_giant_range_is_a_few_blocks(spark):
+    ranges = spark.createDataFrame([(0, 1, 0, 10**9), (1, 1, 5, 5), (2, 1, -(10**12), 10**12), (3, 1, 5, 5), (4, 1, 9, 8), (5, 1, None, 4), (6, None, 0, 9), (7, 2, 0, 9)], "r int, k int, first long, last long")
+    blocks = ranges.where("r = 0").select(F.explode(propagate.aligned_blocks(F.col("first"), F.col("last"), propagate.LEVELS)).alias("b")).select("b.*").collect()
+    assert len(blocks) <= 60
+    spans = sorted((b["number"] << b["level"], (b["number"] + 1 << b["level"]) - 1) for b in blocks)
+    assert spans[0][0] == 0 and spans[-1][1] == 10**9 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+    places = spark.createDataFrame([(1, 5), (1, 10**9), (1, 10**9 + 1), (1, -7), (1, 5), (None, 5), (1, None), (3, 5), (2, 9)], "k int, n long")
+    got = propagate.range_join(places, ranges, "k", "n")
+    at = {0: (0, 10**9), 1: (5, 5), 2: (-(10**12), 10**12), 3: (5, 5)}
+    wanted = [(1, n, r) for n in (5, 10**9, 10**9 + 1, -7, 5) for r, (a, b) in at.items() if a <= n <= b] + [(2, 9, 7)]
+    assert sorted((x["k"], x["n"], x["r"]) for x in got.collect()) == sorted(wanted)
+    assert "BroadcastNestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert propagate.range_join(places, ranges.limit(0), "k", "n").count() == 0
+
+
+def test_parts_of_numbers_between_places(spark):
+    places = spark.createDataFrame([("a", 1.5), ("a", 2.0), ("a", -0.5)], "k string, x double")
+    ranges = spark.createDataFrame([("a", 1, 1.25, 1.75), ("a", 2, -1.0, 2.0)], "k string, r int, first double, last double")
+    assert sorted((r["x"], r["r"]) for r in propagate.range_join(places, ranges, "k", "x").collect()) == [(-0.5, 2), (1.5, 1), (1.5, 2), (2.0, 2)]
+
+
+def test_absent_places_end_a_run(spark):
+    df = spark.createDataFrame([("p", x, v) for x, v in ((0, 1.0), (1, 0.0), (5, 0.0), (6, 1.0))] + [("p", None, 0.0)], "page string, _on int, _top double")
+    assert [tuple(r) for r in segments.separators(df, pos="_on", value="_top", shortest=1).orderBy("start").collect()] == [("p", 1, 2), ("p", 5, 6)]
+    assert segments.row_bands(df, pos="_on", value="_top", shortest=1).collect() == [("p", 0, 1)]
