@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
+from ..sources.tables import discard, settle, shared_dir, shared_root
 
-__all__ = ["LOWER", "UPPER", "WORD_GAP", "Memo", "ascii_lower", "cuts", "discard", "fold", "labelled", "labelled_sample", "settle", "shared_dir", "shared_root", "unused", "words"]
+__all__ = ["LOWER", "UPPER", "WORD_GAP", "Memo", "ascii_lower", "cuts", "discard", "fold", "labelled", "labelled_sample", "lookup", "settle", "shared_dir", "shared_root", "unused", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Keys that lookup() broadcasts, at most.
+MOST_CROWDED = 20_000
+
 #: What separates words: every ASCII character that is neither a digit nor a lower-case letter (after ascii_lower).
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,38 +36,17 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only a local master may do without it and gets a temporary folder; a cluster raises, as each executor would write to a disk of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="proofline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The name of a new folder in shared_root()."""
-    return f"{shared_root(spark)}/proofline-{uuid.uuid4().hex}"
-
+def lookup(rows: DataFrame, table: DataFrame, key: str, crowd: str) -> DataFrame:
+    """rows joined with table on a key that table has once and that is never null; crowd is a boolean column of table that marks keys which a great many rows have. It isn't returned.
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and rereads it: the lineage ends there, and the loss of an executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.settled_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes the folders of tables that settle() wrote and nothing will read again; other tables are left as they are."""
-    for table in tables:
-        if path := getattr(table, "settled_at", None):
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    Up to MOST_CROWDED such keys are broadcast with what table has of them, so that their rows stay where they are; the other rows meet table by a shuffle in which no key is crowded. Both tables are read more than once: they should be written ones.
+    """
+    plain, crowded = table.where(~F.col(crowd)).drop(crowd), table.where(F.col(crowd)).drop(crowd)
+    n = crowded.limit(MOST_CROWDED + 1).count()
+    if n == 0 or n > MOST_CROWDED:
+        return rows.join(table.drop(crowd), key)
+    spread = rows.join(F.broadcast(crowded), key)
+    return spread.unionByName(rows.join(F.broadcast(crowded.select(key)), key, "left_anti").join(plain, key))
 
 
 def cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

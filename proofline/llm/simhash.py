@@ -20,22 +20,27 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cuts, discard, settle
+from .common import LOWER, UPPER, cuts, discard, lookup, settle
 
 PAIRS_UP_TO = 32
 #: A worker forgets its words' hashes beyond so many.
 CACHE = 200_000
 #: A wide fingerprint's parts as (words of a shingle, 64-bit numbers): blocks to find candidates by, two of 32 bits in each number, and the sketch that verifies them.
 BLOCKS, SKETCH = (2, 24), (5, 16)
-#: In blocks with more than CROWDED members each is compared with HUBS of them, those in most company.
-CROWDED, HUBS = 8, 2
+#: Bits of a block.
+BLOCK_BITS = 28
+#: In blocks with more than CROWDED members each is compared with HUBS of them first, those in most company; then what isn't in one group yet is compared, CHUNK members of a block against as many at a time.
+CROWDED, HUBS, CHUNK = 8, 2, 2048
+#: Whom links are joined with apart: nodes with more links than this.
+HEAVY = 1000
 
 
-def bits_apart(similarity: float, bits: int = 64 * SKETCH[1], deviations: float = 0.5) -> int:
+def bits_apart(similarity: float, bits: int = 64 * SKETCH[1], deviations: float = 1.0) -> int:
     """In how many bits fingerprints of shingle sets of this Jaccard similarity differ: by the angle between such sets, and some standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
@@ -174,19 +179,23 @@ def wide_fingerprint_column(text: Column) -> Column:
     return wide(text)
 
 
-def similar_pairs(classes: DataFrame, similarity: float, pairs_up_to: int = CROWDED) -> DataFrame:
-    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches show the similarity, among those that share a block.
+def block_members(classes: DataFrame) -> DataFrame:
+    """(node, s, i, v, n): the blocks of classes (node, fp) that others share, with the number of their members and the first 64 bits of each one's sketch. Written once."""
+    mask = F.lit((1 << BLOCK_BITS) - 1)
+    blocks = F.flatten(F.transform(F.slice("fp", 1, BLOCKS[1]), lambda x: F.array(F.shiftrightunsigned(x, 32).bitwiseAND(mask), x.bitwiseAND(mask))))
+    keyed = classes.select("node", F.get("fp", F.lit(BLOCKS[1])).alias("s"), F.posexplode(blocks).alias("i", "v"))
+    sizes = keyed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return settle(keyed.join(sizes, ["i", "v"]))
+
+
+def similar_pairs(classes: DataFrame, members: DataFrame, similarity: float, pairs_up_to: int = CROWDED) -> DataFrame:
+    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches show the similarity: of all that share a block of at most pairs_up_to members, and of each member of a larger one with HUBS of it.
 
     The sketch's first 64 bits travel with each block, and tell apart nearly all that share one by chance (one in a hundred thousand that should pass differs in more of them); only the rest is
-    compared by whole sketches. In a block with more than pairs_up_to members each is compared with the HUBS members that are in most company, which of copies of one text is the text that they were made from:
-    what is compared grows with the members, not with their square.
+    compared by whole sketches. Hubs are the members in most company, which of copies of one text is the text that they were made from: they make such a group one with few links.
     """
-    first, low = bits_apart(similarity, 64, 4.5), F.lit((1 << 32) - 1)
+    first = bits_apart(similarity, 64, 4.5)
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= first
-    blocks = F.flatten(F.transform(F.slice("fp", 1, BLOCKS[1]), lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(low))))
-    keyed = classes.select("node", F.get("fp", F.lit(BLOCKS[1])).alias("s"), F.posexplode(blocks).alias("i", "v"))
-    sizes = keyed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(keyed.join(sizes, ["i", "v"]))
     few = members.where(F.col("n") <= pairs_up_to).groupBy("i", "v").agg(F.array_sort(F.collect_list(F.struct("node", "s"))).alias("m"))
     near = few.select(F.posexplode("m").alias("at", "x"), "m")
     near = near.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("m", F.col("at") + 2, F.size("m")), lambda y: close(F.col("x")["s"], y["s"]))["node"]).alias("b"))
@@ -202,35 +211,96 @@ def similar_pairs(classes: DataFrame, similarity: float, pairs_up_to: int = CROW
     return both.where(apart <= bits_apart(similarity)).select("a", "b")
 
 
+def links_between(labels: np.ndarray, sketches: np.ndarray, first: np.ndarray, most: int) -> set[tuple[int, int]]:
+    """(a, b), a < b: labels that have members within so many bits of each other, compared across all members but those of the most frequent label among themselves. first: which side a member is on; of two sides only members of different ones
+    are compared. Labels that are linked already, directly or through others, needn't be found again, so that what is found is a forest.
+    """
+    kinds, counts = np.unique(labels, return_counts=True)
+    if len(kinds) < 2:
+        return set()
+    of = {int(k): int(k) for k in kinds}
+
+    def root(x: int) -> int:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    two = bool(first.any()) and not first.all()
+    rest = np.flatnonzero(labels != kinds[np.argmax(counts)])
+    found = set()
+    for lo in range(0, len(rest), 64):
+        part = rest[lo : lo + 64]
+        apart = np.zeros((len(part), len(labels)), np.uint16)
+        for k in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[part, None, k] ^ sketches[None, :, k])
+        close = (apart <= most) & (labels[part, None] != labels[None, :])
+        if two:
+            close &= first[part, None] != first[None, :]
+        x, y = np.nonzero(close)
+        for a, b in {(int(a), int(b)) for a, b in zip(labels[part[x]], labels[y])}:
+            p, q = root(a), root(b)
+            if p != q:
+                of[max(p, q)] = min(p, q)
+                found.add((min(a, b), max(a, b)))
+    return found
+
+
+def left_links(classes: DataFrame, members: DataFrame, label: DataFrame, similarity: float, pairs_up_to: int = CROWDED, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b), a < b, between labels of label (node, label; a node that isn't there is its own): those of members of crowded blocks whose sketches show the similarity, all pairs of labels that a block brings together but for those that others already link.
+
+    What links to hubs has made one group is only compared with what it left out. A block's members come in chunks, each pair of chunks to a task of its own, so that a task holds 2 * chunk sketches whatever the block; what tasks give is a forest of labels.
+    """
+    blocks = members.where(F.col("n") > pairs_up_to).groupBy("node").agg(F.collect_list(F.struct("i", "v", "n")).alias("blocks"))
+    own = blocks.join(classes.select("node", F.slice("fp", BLOCKS[1] + 1, SKETCH[1]).alias("s")), "node").join(label, "node", "left")
+    each = own.select(F.coalesce("label", "node").alias("label"), "node", "s", F.explode("blocks").alias("b")).select("label", "s", "b.i", "b.v", F.ceil(F.col("b.n") / chunk).alias("k"), "node")
+    mine = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("k"))
+    dealt = each.withColumn("c", mine).select("label", "s", "i", "v", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    pairs = dealt.select("i", "v", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), (F.col("c") <= F.col("other")).alias("first"), "label", "s")
+    most = bits_apart(similarity)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sketches = np.frombuffer(pa.concat_arrays(table["s"].chunks).flatten().to_numpy().tobytes(), np.uint64).reshape(table.num_rows, -1)
+        found = sorted(links_between(table["label"].to_numpy(), sketches, table["first"].to_numpy(), most))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return pairs.groupBy("i", "v", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar_classes(each: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(key, component): a row for each distinct wide fingerprint of each (key, fp), with its smallest key; those of one component are linked by pairs whose five-word shingles are as similar.
 
     Keys may be of any type with an order. Rows of one fingerprint, as copies and all texts without words have, are one row here, so that a large group of copies costs no more than a small one.
+    Every two that share a block and whose sketches show the similarity are in one component, whatever the block holds.
     """
     classes = settle(each.groupBy("fp").agg(F.min("key").alias("key")).select("key", "fp", F.monotonically_increasing_id().alias("node")))
-    label = components(similar_pairs(classes, similarity))
-    named = classes.select("key", F.col("node").alias("_node")).join(label, F.col("_node") == F.col("node"), "left")
-    return named.select("key", F.coalesce("label", "_node").alias("component"))
+    members = block_members(classes)
+    label = components(similar_pairs(classes, members, similarity))
+    further = components(left_links(classes, members, label, similarity))
+    discard(members)
+    named = classes.select("key", F.col("node").alias("_node")).join(label, F.col("_node") == F.col("node"), "left").select("key", F.coalesce("label", "_node").alias("_label"))
+    return named.join(further, F.col("_label") == F.col("node"), "left").select("key", F.coalesce("label", "_label").alias("component"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of links (a, b).
 
     In each round every node points to its smallest neighbour if that is smaller than itself, pointers are followed to their ends, and the links between what then is one node are dropped, until no link is
-    left. Each round at least halves the nodes that still have links; each ends in written tables, and what no later round reads is removed.
+    left. Nodes with more than HEAVY links are looked up by broadcast, so that a star's links don't meet in one task. Each round at least halves the nodes that still have links; each ends in written tables, and what no later round reads is removed.
     """
     edges, labels = settle(links.select("a", "b")), None
     while edges.limit(1).count():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = settle(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        to = settle(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"), (F.count(F.lit(1)) > HEAVY).alias("heavy")))
         moved = True
         while moved:
-            after = settle(to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            # Many may point to one: as many as have links with it.
+            further = to.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("heavy").alias("crowd"))
+            after = settle(lookup(to, further, "to", "crowd").select("node", F.col("next").alias("to"), "heavy", (F.col("next") != F.col("to")).alias("moved")))
             moved = after.where("moved").limit(1).count() > 0
             discard(to)
             to = after
-        ends_of = lambda end: to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
-        left = edges.join(ends_of("a"), "a").join(ends_of("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+        ends_of = lambda end: to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"), F.col("heavy").alias(f"{end}_heavy"))
+        left = lookup(lookup(edges, ends_of("a"), "a", "a_heavy"), ends_of("b"), "b", "b_heavy").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
         smaller = settle(left)
         if labels is None:
             named = to.select("node", F.col("to").alias("label"))
@@ -243,10 +313,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def fingerprint_groups(each: DataFrame, distance: int = 2) -> DataFrame:
-    """(fp, first_id, component): a row for each distinct fingerprint of each (fp, doc_id), with its smallest id; component is a fingerprint that names those linked to it."""
-    classes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """(fp, first_id, component, crowd): a row for each distinct fingerprint of each (fp, doc_id), with its smallest id; component is a fingerprint that names those linked to it, and crowd tells whether more than HEAVY rows have it."""
+    classes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), (F.count(F.lit(1)) > HEAVY).alias("crowd")))
     label = components(close_pairs(classes, distance))
-    return classes.join(label, classes.fp == label.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("component"))
+    return classes.join(label, classes.fp == label.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("component"), "crowd")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,8 +328,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
     each = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col).cast("string"), shingle).alias("fp")))
     named = fingerprint_groups(each, distance)
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    whole = named.join(first, "component").select("fp", "component_id")
-    return each.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = settle(named.join(first, "component").select("fp", "component_id", "crowd"))
+    return lookup(each, whole, "fp", "crowd").select("doc_id", "fp", "component_id")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -139,3 +139,71 @@ def test_near_copies_of_one_text(spark):
     copies = [got[i] for i in range(1500) if i in got]
     assert sum(c == got[0] for c in copies) >= 0.98 * len(copies)
     assert len({got[10_000 + i] for i in range(300)}) == 300 and got[0] not in {got[10_000 + i] for i in range(300)}
+
+
+def family(pairs, own, apart, rng, words=400):
+    """Pairs of near copies of texts from one template: each pair's first text has `own` words of its own, its second `apart` more."""
+    word = lambda: f"w{rng.randrange(100_000)}"
+    template, rows = [word() for _ in range(words)], []
+    for p in range(pairs):
+        first = list(template)
+        for i in rng.sample(range(words), own):
+            first[i] = word()
+        second = list(first)
+        for i in rng.sample(range(words), apart):
+            second[i] = word()
+        rows += [(2 * p, " ".join(first)), (2 * p + 1, " ".join(second))]
+    return rows
+
+
+def by_all_pairs(fps, similarity=0.8):
+    """The components of wide fingerprints that share a block and whose sketches show the similarity, by comparing all."""
+    a = np.array(fps, np.int64).view(np.uint64)
+    mask, wide = np.uint64((1 << simhash.BLOCK_BITS) - 1), simhash.BLOCKS[1]
+    blocks, sketches = np.concatenate([a[:, :wide] >> np.uint64(32) & mask, a[:, :wide] & mask], axis=1), a[:, wide:]
+    label = list(range(len(a)))
+
+    def find(x):
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    for x in range(len(a)):
+        near = (blocks == blocks[x]).any(1) & (np.bitwise_count(sketches ^ sketches[x]).sum(1) <= simhash.bits_apart(similarity))
+        for y in np.flatnonzero(near).tolist():
+            label[find(y)] = find(x)
+    return [find(x) for x in range(len(a))]
+
+
+@pytest.mark.parametrize("pairs, own, apart, least", [(600, 7, 4, 0.99), (1500, 9, 4, 0.99), (1500, 10, 7, 0.95), (1500, 10, 8, 0.9)])
+def test_families_of_one_template(spark, pairs, own, apart, least):
+    """Blocks are crowded with texts that aren't near copies: the components are those of all pairs that share a block, none is lost, and pairs of a similarity from 0.82 to 0.91 are joined."""
+    rows = family(pairs, own, apart, random.Random(pairs + own))
+    each = simhash.settle(documents(spark, rows).select(F.col("doc_id").alias("key"), simhash.wide_fingerprint_column(F.col("text")).alias("fp")))
+    got = {r["key"]: r["component"] for r in simhash.similar_classes(each).collect()}
+    fps = {r["key"]: r["fp"] for r in each.collect()}
+    wanted = dict(zip(fps, by_all_pairs(list(fps.values()))))
+    assert len({(got[k], wanted[k]) for k in fps}) == len(set(got.values())) == len(set(wanted.values()))
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) >= least * pairs
+
+
+def test_blocks_of_many_chunks(spark, monkeypatch):
+    """A block's chunks meet each other whatever their number."""
+    rows = family(150, 5, 6, random.Random(3), words=200)
+    each = simhash.settle(documents(spark, rows).select(F.col("doc_id").alias("node"), simhash.wide_fingerprint_column(F.col("text")).alias("fp")))
+    members = simhash.block_members(each)
+    none = spark.createDataFrame([], "node long, label long")
+    fps = {r["node"]: r["fp"] for r in each.collect()}
+    wanted = dict(zip(fps, by_all_pairs(list(fps.values()))))
+    for chunk in (7, 64, 4096):
+        links = simhash.left_links(each, members, none, 0.8, 1, chunk)
+        label = {r["node"]: r["label"] for r in simhash.components(links).collect()}
+        got = {k: label.get(k, k) for k in fps}
+        assert len({(got[k], wanted[k]) for k in fps}) == len(set(got.values())) == len(set(wanted.values()))
+
+
+def test_crowded_keys_are_looked_up(spark):
+    rows = spark.range(9000).select((F.col("id") % 3000).alias("x"), F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("fp"))
+    table = spark.createDataFrame([(7, "seven", True), (5000, "other", False), (6000, "crowd", True)], "fp long, name string, crowd boolean")
+    got = simhash.lookup(rows, table, "fp", "crowd")
+    assert {r["name"]: r["count"] for r in got.groupBy("name").count().collect()} == {"seven": 4000, "other": 1, "crowd": 1} and got.columns == ["fp", "x", "name"]
