@@ -4,7 +4,7 @@ The search runs over the characters of a normalised text (a space in front, spac
 score of a path to it and the piece by which that path arrives, for no more boundaries than the longest piece has characters, plus those whose ids
 aren't committed yet. Whenever the backpointers of all surviving boundaries (those that a piece still to come can start from) lead
 back to one boundary, the ids before it are final and are committed, so that memory follows the longest ambiguous stretch, not
-the text.
+the text. Where they don't meet, as in a run of one character, they are looked for again only when twice as much waits, so that time stays linear.
 
 What follows a committed boundary doesn't hang on what came before it. So a text is handled in segments that are guessed from its white space, many at once, a character
 a step, each with the character behind it: if the search commits the segment's end when it has seen that character, the ids hold wherever the same segment and character
@@ -17,6 +17,7 @@ so that decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import struct
@@ -168,6 +169,7 @@ class StreamingViterbi:
         self.back: list[int] = [0]  # where the best path's last piece begins
         self.last: list[int | None] = [None]  # its id; None: a fallback to bytes
         self.tried = 0  # the first boundary from which no piece has been tried
+        self.look = self.BLOCK  # how many boundaries may wait before a meeting is looked for
 
     def feed(self, part: str) -> list[int]:
         self.text += part
@@ -177,11 +179,13 @@ class StreamingViterbi:
         return self._advance(0) + self._commit(len(self.text))
 
     def _advance(self, ahead: int) -> list[int]:
-        """Tries pieces from all boundaries but the last ahead ones, where a piece might not fit in yet, and commits after every block."""
+        """Tries pieces from all boundaries but the last ahead ones, where a piece might not fit in yet, and commits whenever what waits has doubled, a block at least: looking back costs what waits, and so no more than the text in all."""
         out = []
         while self.tried < len(self.text) - ahead:
             self._try_block(min(self.tried + self.BLOCK, len(self.text) - ahead))
-            out += self._commit(self._meeting())
+            if self.tried >= self.look:
+                out += self._commit(self._meeting())
+                self.look = max(self.BLOCK, 2 * self.tried)
         return out
 
     def _try_block(self, stop: int) -> None:
@@ -196,12 +200,16 @@ class StreamingViterbi:
 
     def _meeting(self) -> int:
         """The last boundary through which the paths to all surviving boundaries lead: those reached from self.tried on."""
-        alive = {j for j in range(self.tried, len(self.best)) if self.best[j] > -math.inf}
-        while len(alive) > 1:
-            furthest = max(alive)
-            alive.discard(furthest)
-            alive.add(self.back[furthest])
-        return alive.pop()
+        order = [-j for j in range(len(self.best) - 1, self.tried - 1, -1) if self.best[j] > -math.inf]
+        alive = set(order)  # the furthest one first
+        while len(order) > 1:
+            to = -self.back[-order[0]]
+            if to in alive:
+                heapq.heappop(order)
+            else:
+                alive.add(to)
+                heapq.heapreplace(order, to)
+        return -order[0]
 
     def _commit(self, at: int) -> list[int]:
         """Gives out the ids before boundary at, and forgets what they stand for."""

@@ -1,8 +1,10 @@
 """SentencePiece coding against the library and a whole search; token-id records against the files."""
 
+import math
 import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -212,3 +214,20 @@ def test_damage_is_found(spark):
     with pytest.raises(Exception, match="damaged"):
         records.read_records(manifest, folder).collect()
     assert os.path.exists(path + ".idx")
+
+
+@pytest.mark.parametrize("unit", ["a", "=", "ab", "\n", "\U0001f600"])
+def test_four_megabytes_of_one_run(unit):
+    """Paths that never meet cost linear time; the ids are those of the same search without commits, on a part."""
+    own = pieces.codec(pieces.default_model())
+    text = unit * (4_000_000 // len(unit))
+    began = time.process_time()
+    ids = own.encode(text)
+    assert time.process_time() - began < 60 and own.decode(ids.tolist()) == text
+    short = unit * (20_000 // len(unit))
+    vocabulary = own.pieces
+    for part in (short, short + " x " + short):
+        marked = pieces.MARK + part.replace(" ", pieces.MARK)
+        best, back, last = [0.0] + [-math.inf] * len(marked), [0] * (len(marked) + 1), [None] * (len(marked) + 1)
+        vocabulary.relax(marked, 0, len(marked), best, back, last)
+        assert own.encode(part).tolist() == vocabulary.follow(marked, len(marked), back, last)
