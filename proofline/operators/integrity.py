@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import unused
 from ..schemas import SOURCE_AUTHENTICITY
+from .sampling import in_order
 
 # Fixed values.
 LEAST_BYTES = 50_000
@@ -51,8 +52,8 @@ def done_in_order(done: DataFrame, page: str = "page") -> DataFrame:
 
 
 def first_attempts(pages: DataFrame, position: str, n: int) -> DataFrame:
-    """The first n pages to be attempted, by position."""
-    return pages.orderBy(position).limit(n)
+    """The first n pages to be attempted, by position, nulls first; pages that tie are in order of their other columns, so that the choice is the same on every run."""
+    return pages.orderBy(*in_order(pages, position)).limit(n)
 
 
 def first_successes(attempts: DataFrame, position: str, n: int, ok: str = "ok") -> DataFrame:

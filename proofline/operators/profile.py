@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from .sampling import in_order
+from .sampling import in_order, ranked
 from .scans import CHUNK, chunks
 
 
 def page_value(rows: DataFrame, page: str, value: str, keep: Column) -> DataFrame:
     """(page, value, votes) for every page: its most frequent value among rows that keep holds for, the smallest of equals; null without any."""
-    pages = rows.select(page).distinct()
-    counted = rows.where(keep & F.col(value).isNotNull()).groupBy(page, value).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy(page).agg(F.max("n").alias("votes"))
-    top = counted.join(best, page).where("n = votes").groupBy(page).agg(F.min(value).alias(value), F.first("votes").alias("votes"))
-    return pages.join(top, page, "left").select(page, value, F.coalesce("votes", F.lit(0)).cast("long").alias("votes"))
+    good = keep & F.col(value).isNotNull()
+    counted = rows.groupBy(page, F.when(good, F.col(value)).alias(value)).agg(F.count_if(good).alias("n"))
+    best = F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))).alias("x")
+    return counted.groupBy(page).agg(best).select(page, F.col("x.v").alias(value), F.coalesce(-F.col("x.n"), F.lit(0)).cast("long").alias("votes"))
 
 
 def state_distribution(rows: DataFrame, state: str) -> DataFrame:
@@ -60,21 +59,35 @@ def constancy_class(rows: DataFrame, run: str, value: str, legible: Column) -> D
 
 
 def distinct_values(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, values): each key's distinct values in order, one row a value before they are gathered."""
+    """(key, values): each key's distinct values in order, one row a value before they are gathered: a whole list for each key, as far as one fits in a row; value_pieces() has no such bound."""
     return rows.select(key, value).where(F.col(value).isNotNull()).distinct().groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
 
 
+def value_pieces(rows: DataFrame, key: str, value: str, size: int = 1000, chunk: int = CHUNK) -> DataFrame:
+    """(key, piece, pieces, values): each key's distinct values in order, in numbered pieces of so many, the last of a key may have fewer; pieces tells how many the key has. A piece is a range of the key's values, so that no task holds more of a key than one."""
+    each = rows.select(key, value).where(F.col(value).isNotNull()).distinct()
+    ordered, i, n = ranked(each, key, value, chunk)
+    pieces = F.ceil(F.col(n) / size).alias("pieces")
+    return ordered.groupBy(key, F.floor(F.col(i) / size).alias("piece"), pieces).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def pages_by_date(headers: DataFrame, date: str, page: str) -> DataFrame:
-    """(date, pages): the header pages of each date, in order."""
+    """(date, pages): the header pages of each date, in order. Of dates with any number of pages value_pieces() gives numbered pieces."""
     return distinct_values(headers, date, page).withColumnRenamed("values", "pages")
 
 
-def size_locator(listing: DataFrame, folder: str, size: str, share: float = 0.8) -> DataFrame:
-    """With median and is_candidate: files smaller than share of their folder's median size. Sizes are counted first, so that a folder's files are never gathered."""
+def medians(rows: DataFrame, part: str, value: str, chunk: int = CHUNK) -> DataFrame:
+    """(part, median): the middle value of each part, the mean of both of an even number. Values are ranked chunk by chunk, so that no task and no aggregate holds a part's values; nulls don't count, and a part without any has no row."""
+    ordered, i, n = ranked(rows.select(part, value).where(F.col(value).isNotNull()), part, value, chunk)
+    middle = F.col(i).between(F.floor((F.col(n) - 1) / 2), F.ceil((F.col(n) - 1) / 2))
+    return ordered.where(middle).groupBy(part).agg(F.avg(value).alias("median"))
+
+
+def size_locator(listing: DataFrame, folder: str, size: str, share: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """With median and is_candidate: files smaller than share of their folder's median size. A folder of any number of files is ranked in chunks."""
     (f,) = unused(listing, "_f")
-    counts = listing.where(F.col(size).isNotNull()).groupBy(F.col(folder).alias(f), F.col(size).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    medians = counts.groupBy(f).agg(F.expr("percentile(s, 0.5, n)").alias("median"))
-    return listing.join(medians, listing[folder].eqNullSafe(medians[f]), "left").drop(f).withColumn("is_candidate", F.coalesce(F.col(size) < F.col("median") * share, F.lit(False)))
+    middle = medians(listing, folder, size, chunk).withColumnRenamed(folder, f)
+    return listing.join(middle, listing[folder].eqNullSafe(middle[f]), "left").drop(f).withColumn("is_candidate", F.coalesce(F.col(size) < F.col("median") * share, F.lit(False)))
 
 
 def locator_quality(rows: DataFrame, flagged: Column, positive: Column) -> DataFrame:

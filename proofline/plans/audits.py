@@ -39,6 +39,16 @@ def distinct_values(spark, sf_dir):
     return profile.distinct_values(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
 
 
+@query(
+    """
+    SELECT o_orderpriority, i // 1000 AS piece, ceil(n / 1000.0)::BIGINT AS pieces, list(o_orderkey ORDER BY o_orderkey) AS values
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM (SELECT DISTINCT o_orderpriority, o_orderkey FROM orders)) GROUP BY 1, 2, 3"""
+)
+def value_pieces(spark, sf_dir):
+    """The orders of each priority in pieces of a thousand."""
+    return profile.value_pieces(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", 1000, chunk=20_000)
+
+
 @query("SELECT CAST(o_orderdate AS DATE) AS date, list_sort(list(DISTINCT o_orderkey)) AS pages FROM orders GROUP BY 1")
 def pages_by_date(spark, sf_dir):
     return profile.pages_by_date(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderkey"), "date", "o_orderkey")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from ..functions.text import page_stem, source_url, tokens
 
 #: Smaller scans are no pages.
@@ -54,14 +55,28 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "").alias("stem"), "length")
 
 
+def malformed(text: Column) -> Column:
+    """Whether a text is no JSON that gate_rows() can read: a key that an object has twice counts as malformed. Null is not."""
+    return text.isNotNull() & F.try_parse_json(text).isNull()
+
+
+def gate_rows(text: DataFrame, column: str = "text") -> DataFrame:
+    """(page, row): the rows of extractor output as VARIANT, each document parsed once: an object of lists by page, or one bare list, whose page is null.
+
+    Documents of another shape, malformed ones (see malformed()) and null ones have no rows, nor has a page whose value is no list. Numbers keep up to 38 digits but for zeros at the end, larger ones are doubles, beyond their range infinite.
+    """
+    (doc,) = unused(text, "_doc")
+    rows_of = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    pages = F.map_entries(F.try_variant_get(F.col(doc), "$", "map<string,variant>"))
+    bare = rows_of(F.col(doc))
+    entries = F.when(bare.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("page"), bare.alias("rows")))).otherwise(F.transform(pages, lambda e: F.struct(e["key"].alias("page"), rows_of(e["value"]).alias("rows"))))
+    each = text.select(F.try_parse_json(column).alias(doc)).select(F.explode(entries).alias("e")).select("e.page", "e.rows")
+    return each.select("page", F.explode("rows").alias("row"))
+
+
 def gate_input(text: DataFrame, column: str = "text") -> DataFrame:
-    """(page, row): the rows of extractor output as JSON text: an object of lists by page, or one bare list, whose page is null."""
-    by_page = F.from_json(column, "map<string,array<string>>")
-    bare = F.from_json(column, "array<string>")
-    kind = F.substring(F.ltrim(column), 1, 1)
-    objects = text.where(kind == "{").select(F.explode(by_page).alias("page", "rows")).select("page", F.explode("rows").alias("row"))
-    lists = text.where(kind == "[").select(F.lit(None).cast("string").alias("page"), F.explode(bare).alias("row"))
-    return objects.unionByName(lists)
+    """(page, row): the rows of gate_rows() as JSON text."""
+    return gate_rows(text, column).select("page", F.to_json("row").alias("row"))
 
 
 def _grey(height: int, width: int, channels: int, data: bytes) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,19 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.sinks import replace_pages
+from .progress import ProgressTable
 
 
-def resume(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, folder: str = "folder", page: str = "page", fmt: str = "parquet") -> StreamingQuery:
+def resume(
+    spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, folder: str = "folder", page: str = "page", fmt: str = "parquet", progress: str | None = None, total: int | None = None, files_at_once: int | None = None
+) -> StreamingQuery:
     """Takes the files of source that no earlier run took, applies work, and writes its rows by page. A batch that is repeated after a failure replaces its own pages.
 
+    progress: where to append a row after each batch, with the rate and, given a total, the time left (`progress.ProgressTable`); files_at_once: files of a batch, all by default.
     checkpoint and out are to be in storage that all executors share. Returns the query, to be awaited.
     """
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
+    reader = spark.readStream.schema(schema).format(fmt)
+    stream = (reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)).load(source)
 
     def write(batch: DataFrame, _: int) -> None:
         replace_pages(work(batch), out, folder, page)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if progress is not None:
+        name = f"resume-{uuid.uuid4().hex}"
+        spark.streams.addListener(ProgressTable(spark, progress, name, total))
+        writer = writer.queryName(name)
+    return writer.start()
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:

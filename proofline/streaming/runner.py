@@ -6,6 +6,7 @@ marked it done, so that a run which was cut off leaves nothing that counts.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -142,3 +143,21 @@ def run_pages(population: DataFrame, manifest: DataFrame, read: ReadPage | Reade
     sinks.mark_done(outcome.select("page", "ok", mark), f"{run.out}/done", "page", "attempt")
     remove(spark, work)
     return spark.read.parquet(f"{run.out}/attempts/attempt={stamp}").select("page", "ok", "failure", "detail")
+
+
+def run_in_slices(population: DataFrame, manifest: DataFrame, read: ReadPage | Reader, run: Run, slices: int, **more) -> Iterator[DataFrame]:
+    """run_pages() over one slice of the population after the other, yielding each one's outcome; pages are dealt out by a hash of their names.
+
+    After each slice a row is appended to progress, below run.out, as JSON: at, done (of the whole population, earlier runs included), failed (in this call), total, per_hour (done ones in this call) and remaining_s at that rate, null
+    before anything is done. What runs on reads it while the run goes on.
+    """
+    spark = population.sparkSession
+    total, began, failed, new = population.select("page").distinct().count(), time.time(), 0, 0
+    for k in range(slices):
+        outcome = run_pages(population.where(F.pmod(F.xxhash64("page"), F.lit(slices)) == k), manifest, read, run, **more)
+        counts = outcome.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed")).first()
+        failed, new = failed + counts["failed"], new + counts["ok"]
+        done, elapsed = population.select("page").distinct().join(done_pages(spark, run.out).select("page").distinct(), "page", "left_semi").count(), time.time() - began
+        row = (time.time(), done, failed, total, new * 3600 / elapsed, (total - done) * elapsed / new if new else None)
+        spark.createDataFrame([row], "at double, done long, failed long, total long, per_hour double, remaining_s double").coalesce(1).write.mode("append").json(f"{run.out}/progress")
+        yield outcome

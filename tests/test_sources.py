@@ -40,6 +40,18 @@ def test_gate_input(spark):
     assert sorted((r["page"] or "", r["row"]) for r in records.gate_input(text).collect()) == [("", '{"value":"b"}'), ("p", '{"value":"a"}'), ("p", '{"value":null}')]
 
 
+def test_gate_input_of_any_shape(spark):
+    """One parse a document; what is malformed or of another shape has no rows, and is told apart."""
+    texts = ['{"p": [{"value": "a", "n": 1.50}, {"value": null}, 3], "q": [], "r": 1}', '[{"value": "b"}]', "{bad", "3", None, '{"p": [1], "p": [2]}', '{"s": [12345678901234567890123456789, 1e400, [1, {"k": "\u00e9"}]]}', ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = records.gate_input(df)
+    assert sorted((r["page"] or "", r["row"]) for r in got.collect()) == sorted([("", '{"value":"b"}'), ("p", '{"n":1.5,"value":"a"}'), ("p", '{"value":null}'), ("p", "3"), ("s", "12345678901234567890123456789"), ("s", '"Infinity"'), ("s", '[1,{"k":"é"}]')])
+    assert [r[0] for r in df.select(records.malformed(F.col("text"))).collect()] == [False, False, True, False, False, True, False, True]
+    typed = records.gate_rows(df).select(F.try_variant_get("row", "$.value", "string").alias("value")).where("value is not null")
+    assert sorted(r["value"] for r in typed.collect()) == ["a", "b"]
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("parseJson(") == 1
+
+
 def png(path, width, height, pixel):
     """A grey PNG file."""
     raw = b"".join(b"\0" + bytes(pixel(x, y) for x in range(width)) for y in range(height))

@@ -109,3 +109,62 @@ def test_canonical_is_idempotent(value):
 def test_violations():
     assert violations('{"a": 1, "b": ["x", {"c": "y"}]}') == []
     assert violations('{"a": true, "status": "x", "b": [null, 1.5]}') == ["forbidden field name status at $", "forbidden scalar type NoneType at $.b[0]", "forbidden scalar type bool at $.a", "forbidden scalar type float at $.b[1]"]
+
+
+def test_medians_of_any_number(spark):
+    """In chunks of few rows and in one: ties, even counts, nulls, a null part, parts without values."""
+    import random
+    import statistics
+
+    from proofline.operators import profile
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, rng.randrange(20), rng.randrange(10**12)])) for g in (None, "a", "b", "c") for _ in range({"a": 4001, "b": 2, "c": 1}.get(g, 300))] + [("d", None), ("e", 5), ("e", 5), ("e", 8), ("e", 9)]
+    df = spark.createDataFrame(rows, "folder string, size long")
+    of = {}
+    for g, v in rows:
+        if v is not None:
+            of.setdefault(g, []).append(v)
+    for chunk in (50, 1 << 20):
+        got = {r["folder"]: r["median"] for r in profile.medians(df, "folder", "size", chunk).collect()}
+        assert got == {g: float(statistics.median(v)) for g, v in of.items()}
+        flagged = profile.size_locator(df, "folder", "size", chunk=chunk)
+        assert sorted(map(str, flagged.where("is_candidate").select("folder", "size").collect())) == sorted(f"Row(folder={g!r}, size={v})" for g, own in of.items() for v in own if v < statistics.median(own) * 0.8) and flagged.count() == len(rows)
+    assert profile.medians(df.limit(0), "folder", "size").count() == 0
+
+
+def test_lists_in_numbered_pieces(spark):
+    from proofline.operators import profile
+
+    df = spark.createDataFrame([(k, v) for k in ("a", "b", None) for v in range({"a": 2500, "b": 3}.get(k, 10))] * 2 + [("a", None), ("z", None)], "k string, v int")
+    for chunk in (300, 1 << 20):
+        pieces = profile.value_pieces(df, "k", "v", 1000, chunk).collect()
+        assert sorted((str(r["k"]), r["piece"], r["pieces"], len(r["values"])) for r in pieces) == [("None", 0, 1, 10), ("a", 0, 3, 1000), ("a", 1, 3, 1000), ("a", 2, 3, 500), ("b", 0, 1, 3)]
+        whole = {r["k"]: r["values"] for r in profile.distinct_values(df, "k", "v").collect()}
+        assert {k: [v for r in sorted((r for r in pieces if r["k"] == k), key=lambda r: r["piece"]) for v in r["values"]] for k in whole} == whole
+
+
+def test_modes_with_ties_and_nulls(spark):
+    from proofline.operators import profile
+
+    df = spark.createDataFrame([("p", "b", True), ("p", "a", True), ("p", "c", False), ("q", None, True), ("r", "x", True), ("r", "x", True), ("r", "a", True), (None, "y", True), (None, None, None)], "page string, value string, good boolean")
+    got = {r["page"]: (r["value"], r["votes"]) for r in profile.page_value(df, "page", "value", F.col("good")).collect()}
+    assert got == {"p": ("a", 1), "q": (None, 0), "r": ("x", 2), None: ("y", 1)}
+
+
+def test_outcomes_whatever_the_columns_are_called(spark):
+    from proofline.operators import profile
+    from proofline.operators.rows import voted_rows
+
+    truth = spark.createDataFrame([(1, "a", "t", "u"), (2, "b", "t", "u"), (None, "c", "t", "u")], "k int, value string, _value string, _ok string")
+    rows = spark.createDataFrame([(1, "a", "S"), (None, "c", "S")], "k int, value string, state string")
+    assert sorted((r["value"], r["_value"], r["_ok"], r["outcome"]) for r in profile.validation_outcomes(truth, rows, ["k"]).collect()) == [("a", "t", "u", "CORRECT_TRANSCRIPTION"), ("b", "t", "u", "UNPAIRED"), ("c", "t", "u", "UNPAIRED")]
+    reads = spark.createDataFrame([(["-30 15"] * 3, "v", "g")], "raw_reads array<string>, _v string, _g string")
+    assert voted_rows(reads, "dec").select("_v", "_g", "gate_state").collect() == [("v", "g", "STRUCTURALLY_ADMISSIBLE")]
+
+
+def test_first_attempts_that_tie(spark):
+    from proofline.operators import integrity
+
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (None, "z")], "position int, page string")
+    assert all([r["page"] for r in integrity.first_attempts(df.orderBy(F.rand(s)), "position", 3).collect()] == ["z", "a", "b"] for s in (1, 2, 3))
