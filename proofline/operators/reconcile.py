@@ -1,8 +1,8 @@
 """Exact reconciliation of two extracted sides.
 
 Rows pair by identity alone, page and row together: never by nearness, value, order or tolerance. Both sides are gathered in one grouping by the key, which collapses
-each to one row a key, so that duplicates never multiply; the last row of a key, by a stated order, stands for it. That is the only time that rows are shuffled: no
-join is needed to pair them, and what else decides, pages that one side lacks, is a short list.
+each to one row a key, so that duplicates never multiply; the last row of a key, by a stated order, stands for it. No join is needed to pair them, and what else decides, pages that one side lacks, is a short
+list that is broadcast, so that rows are shuffled once; where it isn't short (BROADCAST_PAGES), Spark shuffles what was paired a second time, by page.
 """
 
 from __future__ import annotations

@@ -11,6 +11,15 @@ def replace_pages(rows: DataFrame, path: str, folder: str = "folder", page: str
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder, page).parquet(path)
 
 
+#: The column that says which batch wrote a row.
+BATCH = "batch_number"
+
+
+def replace_batch(rows: DataFrame, path: str, number: int) -> None:
+    """Writes a batch's rows below a folder of its own; a batch that is written again replaces what it had, and no other's. Unlike replace_pages() this makes no folder for each page."""
+    rows.withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
 def append_failures(verified: DataFrame, path: str, *payload: str) -> None:
     """Appends what failed, without payload columns, as JSON Lines."""
     verified.where(~F.col("ok")).drop(*payload).write.mode("append").json(path)

@@ -182,6 +182,16 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert taken == [1, 1] and latest(spark, out).count() == 2 and {r["page"] for r in done_pages(spark, out).collect()} == {"p1", "p2"}
 
 
+def test_a_later_batch_replaces_a_page(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    rows = lambda *r: spark.createDataFrame(list(r), "folder string, page string, v int")
+    sinks.replace_batch(rows(("012", "p1", 1), ("012", "p2", 1), (None, None, 1)), out, 0)
+    sinks.replace_batch(rows(("012", "p2", 2), ("012", "p2", 3), ("013", "p1", 2)), out, 1)
+    sinks.replace_batch(rows(("012", "p2", 4), ("013", "p1", 2)), out, 1)  # the same batch again
+    got = sorted(map(str, (tuple(r) for r in latest(spark, out).select("folder", "page", "v").collect())))
+    assert got == sorted(map(str, [("012", "p1", 1), ("012", "p2", 4), ("013", "p1", 2), (None, None, 1)])) and len(list((tmp_path / "out").glob("batch*"))) == 2
+
+
 def test_validation_metrics(spark):
     outcomes = ["CORRECT_TRANSCRIPTION"] * 65 + ["STRUCTURALLY_INVALID"] * 2 + ["MANUAL_REVIEW_REQUIRED"] * 22 + ["UNREADABLE"] * 2
     m = profile.validation_metrics(spark.createDataFrame([(o,) for o in outcomes], "outcome string")).first()
