@@ -5,14 +5,14 @@ vector: the sum of learned vectors of the tags, classes and ids above it (hashed
 (hashed), and a few measures. A bidirectional LSTM in numpy reads the whole sequence and labels every block main text or not.
 
 It is trained here, in a few seconds, on pages that a seeded generator composes of menus, headers, notices, adverts, sidebars,
-forms, articles, reader comments and footers in many layouts, whose labels are known; its weights are written to the shared folder and reread by whoever comes later.
+forms, articles, reader comments and footers in many layouts, whose labels are known; its weights stand beside this module (`python -m proofline.llm.extract` learns and writes them).
 It is applied in tasks, batch by batch.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,11 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cuts, shared_root
+from .common import cuts
 
 # Elements of HTML by how they are read.
 INLINE = frozenset(
@@ -588,22 +587,16 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Labeller
     return Labeller().fit([numbered(b, slots, paths) for b, _ in made], [y for _, y in made], epochs)
 
 
-def kept_labeller(spark: SparkSession) -> Labeller:
-    """The trained network: its weights are reread where the shared folder has them, under a name that stands for this module and its parameters; else they are learned and written there."""
-    with open(__file__, "rb") as f:
-        name = hashlib.sha256(f.read() + repr((PAGES, EPOCHS)).encode()).hexdigest()[:24]
-    path, names = f"{shared_root(spark)}/proofline-labeller-{name}", sorted(Labeller().weights)
-    try:
-        found = {r["name"]: r for r in spark.read.schema("name string, shape array<int>, value binary").parquet(path).collect()}
-    except AnalysisException:
-        found = {}  # no such folder yet
-    if sorted(found) != names:
-        net = trained()
-        rows = [(k, [*w.shape], w.tobytes()) for k, w in net.weights.items()]
-        spark.createDataFrame(rows, "name string, shape array<int>, value binary").coalesce(1).write.mode("overwrite").parquet(path)
-        return net
+#: The weights that trained() gives, kept with the module; a test learns them anew.
+WEIGHTS = os.path.join(os.path.dirname(__file__), "labeller.npz")
+
+
+@lru_cache(maxsize=1)
+def kept_labeller() -> Labeller:
+    """The trained network, its weights read from WEIGHTS."""
     net = Labeller()
-    net.weights = {k: np.frombuffer(r["value"]).reshape(r["shape"]) for k, r in found.items()}
+    with np.load(WEIGHTS, allow_pickle=False) as kept:
+        net.weights = {k: kept[k] for k in net.weights}
     return net
 
 
@@ -623,7 +616,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A null or empty page, one without text, and one without main text have an empty text. Repeated rows and null ids stay; columns other than keep aren't returned.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(kept_labeller(pages.sparkSession))  # of fixed size
+    sent = pages.sparkSession.sparkContext.broadcast(kept_labeller())  # of fixed size
 
     @F.pandas_udf("string")
     def text(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -640,3 +633,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 def op6(pages: DataFrame) -> DataFrame:
     """Every page's main text and its number of code points."""
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **trained().weights)

@@ -19,8 +19,9 @@ from functools import reduce
 from heapq import heappop, heappush, heapreplace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -140,19 +141,45 @@ class Block:
     floor: np.ndarray
 
 
-def _floors(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """A lower bound of each query's kth best score: its kth best among queries of other ids (each id once). Queries whose scores floats can't hold have none."""
-    floor = np.full(len(ids), -np.inf)
+def _floors(block: Block, start: int, end: int, k: int) -> np.ndarray:
+    """A lower bound of the kth best score of queries start to end: the kth best among the block's queries of other ids (each id once). Queries whose scores floats can't hold have none."""
+    ids, rows = block.ids, block.rows
+    floor = np.full(end - start, -np.inf)
     _, first = np.unique(ids, return_index=True)
     if len(first) <= k or not rows.shape[1] or np.abs(rows).max() ** 2 * rows.shape[1] >= EXACT:
         return floor
-    for lo in range(0, len(ids), 256):
-        scores = rows[lo : lo + 256] @ rows[first].T
-        scores[ids[lo : lo + 256, None] == ids[None, first]] = -np.inf
-        floor[lo : lo + 256] = np.partition(scores, -k, axis=1)[:, -k]
+    others = rows[first].T
+    for lo in range(start, end, 256):
+        scores = rows[lo : min(lo + 256, end)] @ others
+        scores[ids[lo : min(lo + 256, end), None] == ids[None, first]] = -np.inf
+        floor[lo - start : lo - start + len(scores)] = np.partition(scores, -k, axis=1)[:, -k]
     return floor
 
 
+#: Queries whose floors a task finds at a time.
+FLOORS_AT_ONCE = 1024
+
+
+def with_floors(spark: SparkSession, block: dict[int, Block], k: int) -> dict[int, Block]:
+    """The block with its queries' floors, which tasks find: what comes back is a number for each query."""
+    if not block:
+        return block
+    sent = spark.sparkContext.broadcast(block)
+    parts = [(n, lo, min(lo + FLOORS_AT_ONCE, len(b.ids))) for n, b in block.items() for lo in range(0, len(b.ids), FLOORS_AT_ONCE)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            floors = [_floors(sent.value[n], lo, hi, k).tolist() for n, lo, hi in zip(f["n"], f["lo"], f["hi"])]
+            yield pd.DataFrame({"n": f["n"], "lo": f["lo"], "floors": floors})
+
+    found = spark.createDataFrame(parts, "n int, lo long, hi long").repartition(len(parts)).mapInPandas(run, "n int, lo long, floors array<double>").collect()
+    out = {n: Block(b.ids, b.rows, np.full(len(b.ids), -np.inf)) for n, b in block.items()}
+    for r in found:
+        out[r["n"]].floor[r["lo"] : r["lo"] + len(r["floors"])] = r["floors"]
+    sent.destroy()
+    return out
+
+
 def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, rows) of a batch for each dimension in it, without rows that hold a null or a non-finite component; components become floor(1024 x)."""
     ids = ids.to_numpy(zero_copy_only=False)
@@ -167,7 +194,7 @@ def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, n
 
 
 def _block(queries: DataFrame, k: int) -> dict[int, Block]:
-    """The queries of one block, by dimension. They are collected: the block's size is bounded."""
+    """The queries of one block, by dimension, with their floors. They are collected: the block's size is bounded."""
     table = queries.toArrow().combine_chunks()
     found: dict[int, list] = {}
     for batch in table.to_batches():
@@ -176,8 +203,8 @@ def _block(queries: DataFrame, k: int) -> dict[int, Block]:
     out = {}
     for n, parts in found.items():
         ids, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        out[n] = Block(ids, rows, _floors(ids, rows, k))
-    return out
+        out[n] = Block(ids, rows, np.full(len(ids), -np.inf))
+    return with_floors(queries.sparkSession, out, k)
 
 
 def _search_block(vectors: DataFrame, block: dict[int, Block], k: int) -> DataFrame:
