@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile, propagate, sampling, segments
+from ..sources import kernel
 from .registry import Registry, table
 
 query = Registry()
@@ -37,17 +38,32 @@ def separators(spark, sf_dir):
     return segments.separators(profiles(spark, sf_dir), "page", "pos", "ink", 0.3, 3)
 
 
-@query(
-    f"""
+LOCATED_SQL = f"""
     WITH s AS (SELECT page, start, "end" FROM ({_runs_sql("ink <= top * 0.06")}) AS s WHERE at_end OR "end" - start >= 8),
     p AS (SELECT page, max(ink) AS top FROM ({PROFILE_SQL}) AS p GROUP BY page),
     l AS (SELECT page, arg_max("end", ROW("end" - start, -start)) AS lo FROM s WHERE "end" <= 30 GROUP BY page), r AS (SELECT page, arg_max(start, ROW("end" - start, -start)) AS hi FROM s WHERE start >= 34 GROUP BY page)
     SELECT p.page, CASE WHEN top > 0 AND hi - lo >= 4 THEN lo END AS lo, CASE WHEN top > 0 AND hi - lo >= 4 THEN hi END AS hi FROM p LEFT JOIN l ON l.page = p.page LEFT JOIN r ON r.page = p.page"""
-)
+
+
+@query(LOCATED_SQL)
 def locate_column(spark, sf_dir):
     return segments.locate_column(profiles(spark, sf_dir), "page", "pos", "ink", 30, 34, 4)
 
 
+@query(BANDS_SQL)
+def row_bands_in_arrays(spark, sf_dir):
+    """As row_bands, each profile read as an array in one pass."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), F.col("embedding").alias("ink"))
+    return kernel.bands_of_arrays(vectors, share=0.0, shortest=2, longest=5)
+
+
+@query(LOCATED_SQL)
+def locate_column_in_arrays(spark, sf_dir):
+    """As locate_column, each profile read as an array in one pass."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), F.col("embedding").alias("ink"))
+    return kernel.fields_of_arrays(vectors, left_limit=30, right_limit=34, narrowest=4)
+
+
 @query(f"""SELECT *, (row_number() OVER (PARTITION BY page ORDER BY start) - 1)::INTEGER AS row_index FROM ({BANDS_SQL}) AS b WHERE start >= 4""")
 def row_numbering(spark, sf_dir):
     return segments.numbered_rows(segments.row_bands(profiles(spark, sf_dir), "page", "pos", "ink", 0.0, 2, 5, from_y=4))

@@ -124,3 +124,36 @@ def page_rows(pages: DataFrame, *keep: str) -> DataFrame:
     there = pages.where(whole | (F.size("rows") > 0))
     each = there.select(*keep, "page", "page_state", "ra_column", "failure", "detail", F.explode_outer(F.when(whole, F.array().cast("array<struct<row_y:array<int>,raw_reads:array<string>>>")).otherwise(F.col("rows"))).alias("_row"))
     return each.select(*keep, "page", "page_state", "ra_column", F.col("_row")["row_y"].alias("row_y"), F.col("_row")["raw_reads"].alias("raw_reads"), "failure", "detail")
+
+
+def bands_of_arrays(profiles: DataFrame, page: str = "page", ink: str = "ink", share: float = ROW_SHARE, shortest: int = ROW_MIN, longest: int = ROW_MAX, from_y: int | None = None) -> DataFrame:
+    """(page, start, end): segments.row_bands() of profiles that are arrays, one a row: no row for a pixel, no window and no shuffle. Nulls in a profile are no ink; null profiles have no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *band) for i, own in enumerate(_arrays(b.column(1))) for band in bands(own, share, shortest, longest, from_y)]
+            at = pa.array([i for i, *_ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array([f[k] for f in found], pa.int32()) for k in (1, 2))], ["page", "start", "end"])
+
+    kind = profiles.schema[page].dataType.simpleString()
+    return profiles.select(F.col(page).alias("page"), F.col(ink).cast("array<double>").alias("ink")).mapInArrow(run, f"page {kind}, start int, end int")
+
+
+def fields_of_arrays(profiles: DataFrame, page: str = "page", ink: str = "ink", first: int = 0, left_limit: int = LEFT_LIMIT, right_limit: int = RIGHT_LIMIT, narrowest: int = FIELD_MIN) -> DataFrame:
+    """(page, lo, hi): segments.locate_column() of profiles that are arrays from column first on, a row for each; null where the field can't be told, as in null and empty profiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [field(own, first, left_limit, right_limit, narrowest) or (None, None) for own in _arrays(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))], ["page", "lo", "hi"])
+
+    kind = profiles.schema[page].dataType.simpleString()
+    return profiles.select(F.col(page).alias("page"), F.col(ink).cast("array<double>").alias("ink")).mapInArrow(run, f"page {kind}, lo int, hi int")
+
+
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays; nulls in them are no ink, and a null list is empty."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    values = np.nan_to_num(values, nan=0.0)
+    for i in range(len(column)):
+        yield values[offsets[i] : offsets[i + 1]] if column[i].is_valid else values[:0]
