@@ -34,8 +34,8 @@ CACHE = 200_000
 BLOCKS, SKETCH = (2, 24), (5, 16)
 #: Bits of a block.
 BLOCK_BITS = 28
-#: In blocks with more than CROWDED members each is compared with HUBS of them first, those in most company; then what isn't in one group yet is compared, CHUNK members of a block against as many at a time.
-CROWDED, HUBS, CHUNK = 8, 2, 2048
+#: In blocks with more than CROWDED members each is compared with a hub first, the one in most company; then what isn't in one group yet is compared, CHUNK members of a block against as many at a time.
+CROWDED, CHUNK = 8, 2048
 #: Whom links are joined with apart: nodes with more links than this.
 HEAVY = 1000
 
@@ -189,10 +189,10 @@ def block_members(classes: DataFrame) -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, members: DataFrame, similarity: float, pairs_up_to: int = CROWDED) -> DataFrame:
-    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches show the similarity: of all that share a block of at most pairs_up_to members, and of each member of a larger one with HUBS of it.
+    """Links (a, b), a < b, between rows of classes (node, fp) whose sketches show the similarity: of all that share a block of at most pairs_up_to members, and of each member of a larger one with its hub.
 
     The sketch's first 64 bits travel with each block, and tell apart nearly all that share one by chance (one in a hundred thousand that should pass differs in more of them); only the rest is
-    compared by whole sketches. Hubs are the members in most company, which of copies of one text is the text that they were made from: they make such a group one with few links.
+    compared by whole sketches. The hub is the member in most company, which of copies of one text is the text that they were made from: it makes such a group one with few links.
     """
     first = bits_apart(similarity, 64, 4.5)
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= first
@@ -202,7 +202,7 @@ def similar_pairs(classes: DataFrame, members: DataFrame, similarity: float, pai
     many = members.where(F.col("n") > pairs_up_to)
     company = many.groupBy("node").agg(F.sum("n").alias("company"))
     top = F.max(F.struct("company", (-F.col("node")).alias("x"), "s"))
-    hubs = many.join(company, "node").groupBy("i", "v", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(top.alias("top")).select("i", "v", (-F.col("top.x")).alias("hub"), F.col("top.s").alias("hub_s"))
+    hubs = many.join(company, "node").groupBy("i", "v").agg(top.alias("top")).select("i", "v", (-F.col("top.x")).alias("hub"), F.col("top.s").alias("hub_s"))
     far = many.join(hubs, ["i", "v"]).where((F.col("node") != F.col("hub")) & close(F.col("s"), F.col("hub_s"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = near.unionByName(far).distinct()
     sketch = classes.select("node", F.slice("fp", BLOCKS[1] + 1, SKETCH[1]).alias("s"))
