@@ -21,27 +21,41 @@ def sealed_hashes(documents: DataFrame, text: str = "text") -> DataFrame:
     return read.withColumns({"raw_sha256": F.sha2(F.col(text).cast("binary"), 256), "canonical_sha256": F.sha2(F.col(f)["canonical"].cast("binary"), 256), "violations": F.col(f)["violations"]}).drop(f)
 
 
+def digest(text: Column) -> Column:
+    """The 32 bytes of a SHA-256 written as 64 lower-case hex digits; null for any other text."""
+    return F.when(text.rlike("^[0-9a-f]{64}\\z"), F.unhex(text))
+
+
+def followed(now: DataFrame) -> DataFrame:
+    """Rows (own, up, kind, flawed, fork), each own once, with every pointer followed to its end. up: the furthest ancestor so far, whose own parent isn't looked at yet; kind: what end it is, null if none; flawed: whether a node on the way is bad; fork: what else makes the node itself bad, told to those that point at it.
+
+    Pointers are doubled: each round lets what a node points to tell where that one points, so that the rounds are the logarithm of the longest chain. A round in which no further node reaches an end leaves circles, and what leads to them, alone: their kind stays null.
+    A round writes only the nodes that had no end before it; those that had one stay where they were written.
+    """
+    ended, open_ = now.where("kind is not null"), now.where("kind is null")
+    left = open_.count()
+    while left:
+        there = ended.unionByName(open_).select(F.col("own").alias("_own"), F.col("up").alias("_up"), F.col("kind").alias("_kind"), F.col("flawed").alias("_flawed"), F.col("fork").alias("_fork"))
+        # Sorted and merged at every size: no plan that holds for small tables only.
+        met = open_.join(there.hint("merge"), F.col("up") == F.col("_own"))
+        further = settle(met.select("own", F.col("_up").alias("up"), F.col("_kind").alias("kind"), (F.col("flawed") | F.col("_fork") | F.col("_flawed")).alias("flawed"), "fork"))
+        ended, open_ = ended.unionByName(further.where("kind is not null")), further.where("kind is null")
+        before, left = left, open_.count()
+        if left == before:
+            break
+    return ended.unionByName(open_)
+
+
 def ancestries(nodes: DataFrame) -> DataFrame:
     """(own, root, kind, flawed) of each of nodes (own, parent, bad), each own once: where a node's parents lead to, and whether any node on the way, itself left out, is bad.
 
     kind: ROOT (root is the hash without a parent), MISSING (the last parent isn't there; root is that parent's hash) or CIRCLE (no end; root is null).
-    Pointers are doubled: each round lets what a node points to tell where that one points, so that the rounds are the logarithm of the longest chain. A round in which no further node reaches an end leaves circles, and what leads to them, alone.
     """
     known = nodes.select(F.col("own").alias("_own"), F.col("parent").alias("_above"), F.col("bad").alias("_bad"))
     met = nodes.join(known, F.col("parent") == F.col("_own"), "left")
-    # up: the furthest ancestor so far; open: it has a parent itself, not yet looked at.
     kind = F.when(F.col("parent").isNull(), "ROOT").when(F.col("_own").isNull(), "MISSING").when(F.col("_above").isNull(), "ROOT")
-    now = settle(met.select("own", F.coalesce("parent", "own").alias("up"), kind.alias("kind"), F.coalesce("_bad", F.lit(False)).alias("flawed")))
-    left = now.where("kind is null").count()
-    while left:
-        there = now.select(F.col("own").alias("_own"), F.col("up").alias("_up"), F.col("kind").alias("_kind"), F.col("flawed").alias("_flawed"))
-        further = now.where("kind is null").join(there, F.col("up") == F.col("_own")).select("own", F.col("_up").alias("up"), F.col("_kind").alias("kind"), (F.col("flawed") | F.col("_flawed")).alias("flawed"))
-        after = settle(now.where("kind is not null").unionByName(further))
-        discard(now)
-        now, before, left = after, left, after.where("kind is null").count()
-        if left == before:
-            break
-    return now.select("own", F.when(F.col("kind").isNotNull(), F.col("up")).alias("root"), F.coalesce("kind", F.lit("CIRCLE")).alias("kind"), "flawed")
+    ends = followed(settle(met.select("own", F.coalesce("parent", "own").alias("up"), kind.alias("kind"), F.coalesce("_bad", F.lit(False)).alias("flawed"), F.lit(False).alias("fork"))))
+    return ends.select("own", F.when(F.col("kind").isNotNull(), F.col("up")).alias("root"), F.coalesce("kind", F.lit("CIRCLE")).alias("kind"), "flawed")
 
 
 # What breaks a link, in the order in which it is looked for.
@@ -55,32 +69,65 @@ def chain_breaks(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     A link is known by its re-derived hash. It is broken by itself if its payload is no JSON or doesn't hash to its record, if it is its own parent, if another link has its hash, if its parent is no link's hash, or if another link has its parent
     (a chain has no forks: neither counts). It is broken by what it hangs on if its ancestors run in a circle, if one of them is broken, or if they end at a root that isn't pinned.
     """
-    hashed = settle(links.select("name", "recorded", "parent", canonical_sha256(F.col("payload")).alias("own")))
-    by_own = hashed.where("own is not null").groupBy("own").agg(F.count(F.lit(1)).alias("copies"), F.bool_and(F.col("own").eqNullSafe(F.col("recorded"))).alias("kept"), F.min("parent").alias("parent"))
-    children = hashed.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
-    selfish = F.coalesce(F.col("parent") == F.col("own"), F.lit(False))
-    forked = children.where("children > 1").select(F.col("parent").alias("_forked"))
-    nodes = by_own.join(forked, F.col("parent") == F.col("_forked"), "left")
-    nodes = settle(nodes.select("own", F.when(~selfish, F.col("parent")).alias("parent"), selfish.alias("selfish"), (F.col("copies") > 1).alias("twice"), F.col("_forked").isNotNull().alias("fork"), (~F.col("kept") | selfish | (F.col("copies") > 1) | F.col("_forked").isNotNull()).alias("bad")))
-    ends = ancestries(nodes.select("own", "parent", "bad")).select(F.col("own").alias("_end_of"), "root", "kind", "flawed")
-    seen = nodes.select(F.col("own").alias("_node"), "selfish", "twice", "fork").join(ends, F.col("_node") == F.col("_end_of"))
-    met = hashed.join(seen, F.col("own") == F.col("_node"), "left")
-    if roots is not None:
-        met = met.join(roots.select(F.col("root").alias("_pin")).distinct(), F.col("root") == F.col("_pin"), "left")
-    pinned = F.lit(True) if roots is None else F.col("_pin").isNotNull()
-    # A node whose parent isn't there is flawed by itself; what hangs on it ends at the same missing hash.
+    # Hashes are met twice, by what they are of and by what they are bound to; everything after that goes by a link's number.
+    # A parent that isn't written as a hash is no link's; its text is kept only to choose among the parents of equal links.
+    told = F.col("parent").cast("string")
+    parent = digest(told)
+    own = canonical_sha256(F.col("payload"))
+    read = links.select("name", F.col("recorded").eqNullSafe(own).alias("kept"), F.unhex(own).alias("own"), parent.alias("parent"), F.when(parent.isNull(), told).alias("other"))
+    hashed = settle(read.withColumn("id", F.monotonically_increasing_id()))
+    marked = _with_equals(hashed)
+    own_reason = F.when(F.col("own").isNull(), NO_JSON).when(~F.col("kept"), CHANGED).when(F.col("selfish"), SELF).when(F.col("twice"), TWICE)
+    ends = followed(settle(_bound(marked, roots)))
+    # A node whose parent isn't there is flawed by itself and points at a number of its own; what hangs on it ends at the same.
     reason = (
-        F.when(F.col("own").isNull(), NO_JSON)
-        .when(~F.col("own").eqNullSafe(F.col("recorded")), CHANGED)
-        .when(F.col("selfish"), SELF)
-        .when(F.col("twice"), TWICE)
-        .when((F.col("kind") == "MISSING") & (F.col("root") == F.col("parent")), UNKNOWN)
+        F.when((F.col("kind") == "MISSING") & (F.col("up") == -1 - F.col("own")), UNKNOWN)
         .when(F.col("fork"), FORK)
-        .when(F.col("kind") == "CIRCLE", CIRCLE)
+        .when(F.col("kind").isNull(), CIRCLE)
         .when(F.col("flawed") | (F.col("kind") == "MISSING"), FLAWED)
-        .when(~pinned, ASTRAY)
+        .when(F.col("kind") == "ROOT", F.lit(None) if roots is None else F.lit(ASTRAY))
     )
-    return met.withColumn("reason", reason).where("reason is not null").select("name", "reason")
+    by_end = ends.select(F.col("own").alias("_node"), reason.alias("reason")).where("reason is not null")
+    judged = marked.select("id", "name", own_reason.alias("reason"))
+    hanging = judged.where("reason is null").select("id", "name").join(by_end.hint("merge"), F.col("id") == F.col("_node"))
+    return judged.where("reason is not null").select("name", "reason").unionByName(hanging.select("name", "reason"))
+
+
+def _with_equals(hashed: DataFrame) -> DataFrame:
+    """Links with what they share with those of the same hash: twice (there are others), first (whether this one stands for all), above and lost (the parent of all: the least as text; lost if it isn't written as a hash) and selfish (it is their own hash). Equal hashes are looked for by 8 bytes first, and the links with such are compared whole."""
+    short = F.xxhash64("own")
+    alike = settle(hashed.where("own is not null").select(short.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"))
+    shared = hashed.withColumns({"twice": F.lit(False), "first": F.lit(True), "above": F.col("parent"), "lost": F.col("other").isNotNull()})
+    if not alike.isEmpty():
+        text = F.least(F.lower(F.hex(F.min("parent"))), F.min("other"))
+        equal = hashed.where("own is not null").join(alike, short == F.col("_h")).groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_first"), F.min("parent").alias("_parent"), text.alias("_text")).where("n > 1")
+        lost = F.coalesce(F.col("_text") != F.lower(F.hex("_parent")), F.col("_text").isNotNull())
+        equal = settle(equal.select(F.col("own").alias("_equal"), "_first", "_parent", lost.alias("_lost")))
+        met = hashed.join(equal, F.col("own") == F.col("_equal"), "left")
+        twice = F.col("_equal").isNotNull()
+        pick = lambda there, own: F.when(twice, F.col(there)).otherwise(own)
+        shared = settle(met.select(*hashed.columns, twice.alias("twice"), pick("_first", F.col("id")).eqNullSafe(F.col("id")).alias("first"), pick("_parent", F.col("parent")).alias("above"), pick("_lost", F.col("other").isNotNull()).alias("lost")))
+    selfish = ~F.col("lost") & F.coalesce(F.col("above") == F.col("own"), F.lit(False))
+    return shared.withColumns({"selfish": selfish, "above": F.when(~selfish & ~F.col("lost"), F.col("above"))})
+
+
+def _bound(marked: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The nodes as rows for followed(), by number, each pointing to its parent's. kind: PINNED or ROOT (up has no parent) or MISSING (up is -1 - the number of the node whose parent isn't there)."""
+    nodes = marked.where("own is not null and first")
+    top = F.col("above").isNull() & ~F.col("lost")
+    bad = ~F.col("kept") | F.col("selfish") | F.col("twice")
+    # What there is to one hash: the node that has it, the links that are bound to it, and whether it is pinned.
+    said = nodes.select(F.col("own").alias("hash"), F.col("id").alias("node"), top.alias("top"), bad.alias("bad"))
+    said = said.unionByName(marked.where("parent is not null").select(F.col("parent").alias("hash"), F.lit(1).alias("child")), allowMissingColumns=True)
+    pins = marked.limit(0).select(F.col("own").alias("hash")) if roots is None else roots.select(digest(F.col("root")).alias("hash"))
+    said = said.unionByName(pins.where("hash is not null").withColumn("pinned", F.lit(True)), allowMissingColumns=True)
+    by_hash = said.groupBy("hash").agg(F.max("node").alias("node"), F.bool_or("top").alias("top"), F.bool_or("bad").alias("bad"), F.count("child").alias("children"), F.bool_or("pinned").alias("pinned")).where("node is not null")
+    # A node without a parent looks itself up and is its own end; one whose parent isn't written as a hash meets nothing.
+    looks = nodes.select(F.col("id").alias("own"), F.when(top, F.col("own")).otherwise(F.col("above")).alias("at"), (~top).alias("below"))
+    met = looks.join(by_hash.hint("merge"), F.col("at") == F.col("hash"), "left")
+    kind = F.when(F.col("node").isNull(), "MISSING").when(F.col("top") & F.col("pinned"), "PINNED").when(F.col("top"), "ROOT")
+    of_parent = lambda c: F.coalesce(F.col("below") & c, F.lit(False))
+    return met.select("own", F.coalesce("node", -1 - F.col("own")).alias("up"), kind.alias("kind"), of_parent(F.col("bad")).alias("flawed"), of_parent(F.col("children") > 1).alias("fork"))
 
 
 def requirements(document: Column, required: list[str]) -> Column:

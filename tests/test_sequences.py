@@ -166,6 +166,51 @@ def test_a_long_chain_in_few_rounds(spark):
     assert counts == {("ROOT", False): 4001, ("ROOT", True): n - 4001} and got.select("root").distinct().count() == 1
 
 
+def test_parents_that_are_no_hashes_and_equal_links_of_several_parents(spark):
+    """A parent is met only if it is a hash letter by letter; equal links hang, as one, on the least of their parents as text."""
+    links, own = chain(spark, [("r", None, ""), ("a", "r", ""), ("up", "-", ""), ("tail", "-", ""), ("none", "", ""), ("below", "none", "")])
+    odd = {"up": own["r"].upper(), "tail": own["r"] + "\n"}
+    links = links.withColumn("parent", F.coalesce(*[F.when(F.col("name") == n, p) for n, p in odd.items()], "parent"))
+    a = {"n": "twice"}
+    of = lambda name, parent: (name, json.dumps(a), sha256_of(a), parent)
+    more = lambda *rows: links.unionByName(spark.createDataFrame([of(*r) for r in rows], links.schema)).unionByName(spark.createDataFrame([("under", "[7]", sha256_of([7]), sha256_of(a))], links.schema))
+    said = lambda *rows: {r["name"]: r["reason"] for r in seal.chain_breaks(more(*rows)).collect()}
+    alone = {"up": seal.UNKNOWN, "tail": seal.UNKNOWN, "none": seal.UNKNOWN, "below": seal.FLAWED}
+    both = {"e": seal.TWICE, "f": seal.TWICE}
+    assert said(("e", None), ("f", own["a"])) == alone | both | {"under": seal.FLAWED}
+    assert said(("e", own["a"]), ("f", "zz")) == alone | both | {"under": seal.FLAWED}
+    # All hang on the link below them: a circle; a lesser text that is no hash leaves none.
+    assert said(("e", sha256_of([7])), ("f", "zz")) == alone | both | {"under": seal.CIRCLE}
+    assert said(("e", sha256_of([7])), ("f", " ")) == alone | both | {"under": seal.FLAWED}
+    assert said(("e", sha256_of(a)), ("f", "zz")) == alone | {"e": seal.SELF, "f": seal.SELF, "under": seal.FORK}
+
+
+def test_what_a_chain_moves_is_small_for_each_link(spark):
+    """Shuffled, spilled and written bytes of a link in a chain of a hundred: hashes are met once, and rounds carry numbers."""
+    n = 60_000
+    body = lambda c: F.format_string('{"n":%d}', c)
+    i = F.col("id")
+    links = spark.range(n).select(F.concat(F.lit("k"), i.cast("string")).alias("name"), body(i).alias("payload"), F.sha2(body(i), 256).alias("recorded"), F.when(i % 100 != 0, F.sha2(body(i - 1), 256)).alias("parent"))
+    pins = spark.range(0, n, 200).select(F.sha2(body(i), 256).alias("root"))
+    sc = spark.sparkContext
+    store, listed = sc._jsc.sc().statusStore(), lambda: store.stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def moved() -> dict:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = listed()
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        assert seal.chain_breaks(links, pins).groupBy("reason").count().collect() == [(seal.ASTRAY, n // 2)]
+        bytes_ = sum(v for k, v in moved().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < bytes_ < 800 * n, bytes_ / n
+
+
 def test_sparse_and_text_orders_are_cut_by_rows(spark):
     """What chunks hold is rows, however far apart their orders are: no more summary rows than chunks, and no chunk much above its share."""
     n, chunk = 100_000, 1000
